@@ -226,7 +226,7 @@ def _grams(word: str) -> list[str]:
     return sorted({w[i : i + 3] for i in range(len(w) - 2)}) if len(w) > 2 else [w]
 
 
-def similar_words(words: DataFrame, word: str = "word", threshold: float = 0.3, edits: int = 1) -> DataFrame:
+def similar_words(words: DataFrame, word: str = "word", threshold: float = 0.25, edits: int = 1) -> DataFrame:
     """Pairs (a, b) of distinct words, a < b, with trigram cosine >= threshold and edit distance <= edits.
 
     Weights are the square root of idf over the given words (a typing error makes rare
@@ -288,7 +288,7 @@ def similar_words(words: DataFrame, word: str = "word", threshold: float = 0.3,
 _PARSED = "kind string, first string, last string, inits string, nick string, fixed boolean"
 
 
-def link_names(spellings: DataFrame, col: str = "name", threshold: float = 0.3) -> DataFrame:
+def link_names(spellings: DataFrame, col: str = "name", threshold: float = 0.25) -> DataFrame:
     """Each distinct spelling that is a name, with the ``entity`` it belongs to.
 
     Null and blank spellings and placeholders are no names. A spelling that resembles no

@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lacquer.llm import glyphs
+from lacquer.llm import canon, glyphs, names
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": glyphs.p1_found}
+    return {"p1_found": glyphs.p1_found, "p4_found": names.p4_found, "p5_found": canon.p5_found}
 
 
 def oracle_sql() -> dict[str, str]:
