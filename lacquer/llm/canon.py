@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lacquer.llm.glyphs import core, plain_form, repair_text
 from lacquer.llm.names import fold, is_placeholder, osa, parse_name, same_given
@@ -275,7 +276,7 @@ def map_to_reference(records: DataFrame, value: str, kind: str, known: dict[str,
     row; a value with no entry gives -1; repeated rows each come out; of two entries
     equally near none is chosen. Other columns are passed on as they are.
     """
-    schema = records.schema.add("ref_id", "bigint")
+    schema = T.StructType([*records.schema.fields, T.StructField("ref_id", T.LongType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[tuple[str, str], int | None] = {}

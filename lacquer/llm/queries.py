@@ -6,13 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lacquer.llm import canon, glyphs, names
+from lacquer.llm import canon, glyphs, names, packing, reading, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": glyphs.p1_found, "p4_found": names.p4_found, "p5_found": canon.p5_found}
+    return {
+        "p1_found": glyphs.p1_found,
+        "p4_found": names.p4_found,
+        "p5_found": canon.p5_found,
+        "p8_ids": tokens.p8_ids,
+        "p9_containers": packing.p9_containers,
+        "p9_certificate": packing.p9_certificate,
+        "p10_found": reading.p10_found,
+        "p10_profile": reading.p10_profile,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
