@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lacquer.llm import canon, glyphs, names, packing, reading, tokens
+from lacquer.llm import canon, entities, glyphs, names, packing, reading, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "p1_found": glyphs.p1_found,
+        "p2_found": entities.p2_found,
+        "p2_confidence": entities.p2_confidence,
         "p4_found": names.p4_found,
         "p5_found": canon.p5_found,
         "p8_ids": tokens.p8_ids,
