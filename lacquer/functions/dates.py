@@ -34,15 +34,17 @@ def parse_date(text: Column) -> Column:
     Years run from 1930 to 1979, two-digit ones with an apostrophe included; a day up to
     31 is taken in any month.
     """
-    found = []
-    for precision, rx, y, m, d in PATTERNS:
-        every = [F.regexp_extract_all(text, F.lit(rx), F.lit(g)) for g in (y, m, d) if g]
-        one = F.transform(
-            F.arrays_zip(*[e.alias(n) for e, n in zip(every, "ymd", strict=False)]),
-            lambda z, precision=precision, m=m, d=d: _iso(z["y"], z["m"] if m else None, z["d"] if d else None, precision),
-        )
-        found.append(F.try_element_at(F.filter(one, lambda x: x.isNotNull()), F.lit(1)))
-    return F.coalesce(*found)
+    return F.coalesce(*[_first(text, *p) for p in PATTERNS])
+
+
+def _first(text: Column, precision: str, rx: str, y: int, m: int, d: int) -> Column:
+    """The first match of one pattern that is a date."""
+    every = [F.regexp_extract_all(text, F.lit(rx), F.lit(g)).alias(n) for g, n in ((y, "y"), (m, "m"), (d, "d")) if g]
+
+    def iso(z: Column) -> Column:
+        return _iso(z["y"], z["m"] if m else None, z["d"] if d else None, precision)
+
+    return F.try_element_at(F.filter(F.transform(F.arrays_zip(*every), iso), lambda x: x.isNotNull()), F.lit(1))
 
 
 def _iso(y: Column, m: Column | None, d: Column | None, precision: str) -> Column:

@@ -80,6 +80,13 @@ def decades(year: Column) -> Column:
     return F.concat((F.floor(year / 10) * 10).cast("string"), F.lit("s"))
 
 
+def _named(facet: str):
+    def pair(v: Column) -> Column:
+        return F.struct(F.lit(facet).alias("facet"), F.coalesce(v.cast("string"), F.lit("Unknown")).alias("value"))
+
+    return pair
+
+
 def facet_counts(df: DataFrame, facets: dict[str, Column]) -> DataFrame:
     """facet, value, n: rows by each facet's value; array facets count every value, nulls are ``Unknown``.
 
@@ -90,7 +97,7 @@ def facet_counts(df: DataFrame, facets: dict[str, Column]) -> DataFrame:
     for k, c in facets.items():
         vals = F.array_distinct(c) if types[k].startswith("array") else F.array(c.cast("string"))
         vals = F.when(F.size(vals) > 0, vals).otherwise(F.array(F.lit(None).cast("string"))) if types[k].startswith("array") else vals
-        arms.append(F.transform(vals, lambda v, k=k: F.struct(F.lit(k).alias("facet"), F.coalesce(v.cast("string"), F.lit("Unknown")).alias("value"))))
+        arms.append(F.transform(vals, _named(k)))
     return df.select(F.explode(F.concat(*arms)).alias("x")).groupBy("x.facet", "x.value").agg(F.count("*").alias("n"))
 
 
@@ -117,7 +124,7 @@ def crossfilter(df: DataFrame, facets: dict[str, Column], chosen: dict[str, list
     for k in facets:
         vals = F.array_distinct(F.col(k)) if many[k] else F.array(F.col(k))
         open_ = (F.col("_failed") == 0) | ~F.col(f"_ok_{k}")
-        arms.append(F.transform(F.when(open_, F.filter(vals, lambda v: v.isNotNull())).otherwise(F.expr("array()").cast("array<string>")), lambda v, k=k: F.struct(F.lit(k).alias("facet"), v.cast("string").alias("value"))))
+        arms.append(F.transform(F.when(open_, F.filter(vals, lambda v: v.isNotNull())).otherwise(F.expr("array()").cast("array<string>")), _named(k)))
     return base.select(F.explode(F.concat(*arms)).alias("x")).groupBy("x.facet", "x.value").agg(F.count("*").alias("n"))
 
 

@@ -13,6 +13,15 @@ from lacquer.functions.dates import mid_period
 from lacquer.functions.text import flat, leaf
 
 
+#: Rows up to which a literal list or vocabulary counts as small.
+SMALL = 10_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most SMALL rows, as it is otherwise."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
 def ancestors(folder: Column) -> Column:
     """A folder and all folders above it, without the root."""
     parts = F.split(folder, "/")
@@ -46,15 +55,6 @@ def asof_join(left: DataFrame, at: str, right: DataFrame, start: str, by: list[s
     return left.join(small(spans), cond, "left").drop("_until")
 
 
-#: Rows up to which a literal list or vocabulary counts as small.
-SMALL = 10_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most SMALL rows, as it is otherwise."""
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
-
-
 def interval_join(left: DataFrame, at: str, right: DataFrame, start: str, end: str, order: str, by: list[str], key: list[str]) -> DataFrame:
     """Each left row with the first right row (by ``order``) of its ``by`` with start <= date < end.
 
@@ -70,24 +70,22 @@ def interval_join(left: DataFrame, at: str, right: DataFrame, start: str, end: s
     return left.join(hit, key, "left").select(*left.columns, *[F.col(f"_hit.{c}").alias(c) for c in names])
 
 
-def word_runs(text: Column, longest: int) -> Column:
-    """array<struct(run, pos)> of all runs of up to ``longest`` words of a folded text, with the place of the first."""
-    words = F.filter(F.split(F.regexp_replace(flat(text), r"[^\p{L}\p{N}']+", " "), " "), lambda w: w != "")
-    n = F.size(words)
-    one = lambda i, k: F.struct(F.array_join(F.slice(words, i, k), " ").alias("run"), i.alias("pos"))
-    runs = F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - i + 1)), lambda k: one(i, k)))
-    return F.when(n > 0, F.flatten(runs))
-
-
-def vocabulary(vocab: DataFrame, key: str) -> DataFrame:
-    """A vocabulary keyed by the same words as :func:`word_runs`."""
-    return vocab.withColumn("_run", F.array_join(F.filter(F.split(F.regexp_replace(flat(F.col(key)), r"[^\p{L}\p{N}']+", " "), " "), lambda w: w != ""), " ")).where("_run <> ''")
+def text_words(text: Column) -> Column:
+    """The folded words of a text in order."""
+    return F.filter(F.split(F.regexp_replace(flat(text), r"[^\p{L}\p{N}']+", " "), " "), lambda w: w != "")
 
 
 def dictionary_hits(texts: DataFrame, key: str, text: str, vocab: DataFrame, term: str, longest: int = 6) -> DataFrame:
-    """Every whole-word occurrence of a vocabulary term: key, pos, and the vocabulary's columns."""
-    runs = texts.select(key, F.explode(word_runs(F.col(text), longest)).alias("_x")).select(key, F.col("_x.run").alias("_run"), F.col("_x.pos").alias("pos"))
-    return runs.join(vocabulary(vocab, term), "_run").drop("_run")
+    """Every whole-word occurrence of a vocabulary term: key, pos (from 1), and the vocabulary's columns.
+
+    A text's words are made once and spread; each meets the terms that begin with it and
+    the following words decide. Terms of more than ``longest`` words match nothing.
+    """
+    words = texts.select(F.col(key), text_words(F.col(text)).alias("_w")).select(key, "_w", F.posexplode("_w").alias("_p", "_first"))
+    words = words.select(key, (F.col("_p") + 1).alias("pos"), "_first", F.concat(F.array_join(F.slice("_w", F.col("_p") + 1, F.lit(longest)), " "), F.lit(" ")).alias("_run"))
+    v = vocab.withColumn("_term", F.array_join(text_words(F.col(term)), " ")).where("_term <> ''").withColumn("_first", F.substring_index("_term", " ", 1))
+    met = words.join(small(v), "_first").where(F.col("_run").startswith(F.concat("_term", F.lit(" "))))
+    return met.drop("_first", "_run", "_term")
 
 
 def dictionary_best(texts: DataFrame, key: str, path: str, vocab: DataFrame, term: str, order: str) -> DataFrame:
