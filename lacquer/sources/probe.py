@@ -133,7 +133,8 @@ def cue_tracks(sheets: DataFrame, key: str, text: str) -> DataFrame:
 
 def decode_bytes(c: Column) -> Column:
     """Bytes as text: UTF-8 where it is valid, else Latin-1; a byte order mark is taken off."""
-    utf8 = F.when(F.is_valid_utf8(F.decode(c, "ISO-8859-1")) & (F.encode(F.decode(c, "UTF-8"), "UTF-8") == c), F.decode(c, "UTF-8"))
+    plain = c.cast("string")
+    utf8 = F.when(F.is_valid_utf8(plain), plain)
     return F.regexp_replace(F.coalesce(utf8, F.decode(c, "ISO-8859-1")), "^﻿", "")
 
 
