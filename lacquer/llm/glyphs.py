@@ -116,7 +116,7 @@ def repairs(word: str) -> list[str]:
     order = scripts_by_weight(word)
     if len(order) < 2:
         return []
-    return [r for s in order if (r := respell(word, s)) is not None]
+    return [r for s in dict.fromkeys([*order, "LATIN"]) if (r := respell(word, s)) is not None]
 
 
 def repair_text(plain: str, known: frozenset[str] | set[str]) -> str:
@@ -188,7 +188,8 @@ def consistent_form(df: DataFrame, keys: list[str], fields: list[str]) -> DataFr
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fixed = [repair_text(p, set(h)) for p, h in zip(pdf["plain"], pdf["hits"], strict=True)]
-            yield pdf[[*nk, "field", "value"]].assign(fixed=fixed)
+            out = pdf[[*nk, "field", "value"]].assign(fixed=fixed)
+            yield out.loc[out.index.repeat(pdf["times"])]
 
     done = odd.where(~F.col("value").rlike(MIXED)).mapInPandas(simple, head + ", fixed string")
     bad = odd.where(F.col("value").rlike(MIXED)).mapInPandas(mixed, head + ", plain string, cands array<string>")
@@ -201,10 +202,10 @@ def consistent_form(df: DataFrame, keys: list[str], fields: list[str]) -> DataFr
         .join(cands, "word", "left_semi")
     )
     hits = (
-        bad.select(*nk, "field", "value", "plain", F.explode_outer("cands").alias("word"))
+        bad.select(*nk, "field", "value", "plain", F.posexplode_outer("cands").alias("nth", "word"))
         .join(words.withColumn("hit", F.col("word")), "word", "left")
         .groupBy(*nk, "field", "value", "plain")
-        .agg(F.collect_set("hit").alias("hits"))
+        .agg(F.collect_set("hit").alias("hits"), F.count_if(F.coalesce("nth", F.lit(0)) == 0).alias("times"))
     )
     out = plain.unionByName(done).unionByName(hits.mapInPandas(settle, head + ", fixed string"))
     return out.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], "field", "value", "fixed")
