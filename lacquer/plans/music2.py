@@ -555,3 +555,58 @@ def nested_manifest(spark, d):
     return m.select("release_id", F.greatest(F.size(F.coalesce("tracks", F.expr("cast(array() as array<struct<row_id:bigint,path:string>>)"))), F.lit(0)).cast("bigint").alias("tracks"))
 
 
+
+
+@query()
+def works_resolved(spark, d):
+    """The work of every track, by its segment and its album's title."""
+    from lacquer.operators.works import resolve_works
+
+    real = table(spark, d, "releases").where("track_count > 0").select("release_id", F.coalesce("title", "folder_name").alias("album"))
+    t = table(spark, d, "tracks").join(real.select("release_id"), "release_id", "left_semi")
+    t = t.select("row_id", "release_id", F.coalesce("disc_number", F.lit(0)).alias("disc"), F.col("track_number").alias("number"), "title", "composer")
+    return resolve_works(t, real)
+
+
+@query()
+def leaders_in_folders(spark, d):
+    """Listed composers named in folder names, with the guards of credits, and leaders by the shape of the name."""
+    from lacquer.operators import credits
+
+    ref = table(spark, d, "ref_values").where("kind = 'composer'")
+    surname, given = F.trim(F.substring_index("canon", ",", 1)), F.trim(F.substring_index("canon", ",", -1))
+    vocab = ref.select(surname.alias("surname"), F.concat_ws(" ", given, surname).alias("name"), F.lit(False).alias("guarded"), F.lit(False).alias("ambiguous"))
+    r = table(spark, d, "releases").where("folder_name is not null")
+    known = credits.leaders(r, "release_id", "folder_name", vocab)
+    shaped = credits.leader_by_shape(F.col("path"))
+    j = r.join(known, "release_id", "left").withColumn("s", shaped)
+    c = credits.credit(F.col("name"), F.col("confidence"), F.col("s"), F.col("folder_name").rlike(text.GROUP), F.lit(True))
+    return j.select("release_id", c["name"].alias("leader"), c["confidence"].alias("confidence"))
+
+
+@query("""
+WITH m AS (SELECT lineup_id, list_filter(list_transform(members, lambda x: trim(x.name)), lambda n: n IS NOT NULL AND n <> '') AS band FROM lineups)
+SELECT lineup_id, coalesce(list_aggregate(band, 'string_agg', '; '), '') AS names, CASE WHEN len(band) > 0 THEN 'lineup' END AS source FROM m
+""")
+def personnel_source(spark, d):
+    from lacquer.operators.credits import personnel
+
+    lu = table(spark, d, "lineups")
+    band = F.filter(F.transform("members", lambda m: F.trim(m["name"])), lambda n: n.isNotNull() & (n != ""))
+    p = personnel(F.lit(None).cast("array<string>"), band)
+    return lu.select("lineup_id", F.array_join(p["names"], "; ").alias("names"), p["source"].alias("source"))
+
+
+@query("""
+WITH v AS (SELECT release_id, artist_tag AS value, count(*) AS n FROM tracks WHERE release_id IS NOT NULL AND trim(artist_tag) <> '' GROUP BY 1, 2),
+b AS (SELECT release_id, arg_max(value, {'n': n, 'v': value}) AS best, count(*) AS vals FROM v GROUP BY 1)
+SELECT b.release_id, CASE WHEN b.best = r.album_artist THEN 'same' WHEN vals > 1 THEN 'contested' WHEN trim(coalesce(r.album_artist, '')) <> '' THEN 'would overwrite' ELSE 'review' END AS stage
+FROM b LEFT JOIN releases r USING (release_id)
+""")
+def decision_stages(spark, d):
+    from lacquer.operators.reconcile import score_stage
+
+    v = table(spark, d, "tracks").where("release_id is not null").where(F.trim("artist_tag") != "").groupBy("release_id", F.col("artist_tag").alias("value")).agg(F.count("*").alias("n"))
+    b = v.groupBy("release_id").agg(F.max_by("value", F.struct("n", "value")).alias("best"), F.count("*").alias("vals"))
+    p = b.select("release_id", "best", F.when(F.col("vals") > 1, "contested").otherwise("low").alias("state"), F.lit(0.5).alias("strength"))
+    return score_stage(p, table(spark, d, "releases").select("release_id", "album_artist"), "release_id", "album_artist").select("release_id", "stage")
