@@ -27,15 +27,14 @@ def session_groups(spark, d):
 
 
 @query("""
-WITH t AS (SELECT lower(tune) AS key, tune, row_id, recording_date, venue FROM tracks WHERE trim(tune) <> '' AND regexp_full_match(tune, '[ -~]*')),
+WITH t AS (SELECT regexp_replace(lower(strip_accents(tune)), '[^\p{L}\p{N}]+', '', 'g') AS key, tune, row_id, recording_date, venue FROM tracks WHERE trim(tune) <> ''),
 c AS (SELECT key, tune, count(*) AS n, min(row_id) AS p FROM t GROUP BY 1, 2),
 m AS (SELECT key, arg_max(tune, {'n': n, 'p': -p}) AS title FROM c GROUP BY 1)
 SELECT key, title, count(*) AS performances, count(*) FILTER (venue IS NOT NULL) AS at_venues, min(recording_date) AS first_recorded, max(recording_date) AS last_recorded
 FROM t JOIN m USING (key) GROUP BY 1, 2
 """)
 def tune_groups(spark, d):
-    # lower case of letters beyond ASCII differs between engines
-    t = table(spark, d, "tracks").where((F.trim("tune") != "") & F.col("tune").rlike("^[ -~]*$")).withColumn("key", F.lower("tune"))
+    t = table(spark, d, "tracks").where(F.trim("tune") != "").withColumn("key", F.regexp_replace(text.fold(F.col("tune")), r"[^\p{L}\p{N}]+", ""))
     title = groups.majority(t, ["key"], "tune", "row_id", "title")
     g = t.groupBy("key").agg(F.count("*").alias("performances"), F.count_if(F.col("venue").isNotNull()).alias("at_venues"), F.min("recording_date").alias("first_recorded"), F.max("recording_date").alias("last_recorded"))
     return g.join(title, "key")
@@ -245,12 +244,13 @@ def topk_examples(spark, d):
 
 
 @query("""
-WITH x AS (SELECT DISTINCT filename FROM tracks WHERE regexp_matches(filename, '^[0-9]{1,3} [A-Za-z ]+\\.[a-z]+$'))
-SELECT filename, dense_rank() OVER (ORDER BY CAST(regexp_extract(filename, '^([0-9]+)', 1) AS INTEGER), lower(regexp_replace(filename, '^[0-9]+', ''))) AS rank FROM x
+WITH x AS (SELECT row_id, release_id, regexp_replace(regexp_replace(lower(filename), '(\\d+)', '000000000000\\1', 'g'), '0+(\\d{12})', '\\1', 'g') AS k FROM tracks WHERE release_id IS NOT NULL AND filename IS NOT NULL)
+SELECT row_id, dense_rank() OVER (PARTITION BY release_id ORDER BY k) AS place FROM x
 """)
 def natural_rank(spark, d):
-    x = table(spark, d, "tracks").where(F.col("filename").rlike(r"^[0-9]{1,3} [A-Za-z ]+\.[a-z]+$")).select("filename").distinct()
-    return x.select("filename", F.dense_rank().over(Window.orderBy(ordered.natural_key(F.col("filename")))).cast("bigint").alias("rank"))
+    t = table(spark, d, "tracks").where("release_id is not null and filename is not null")
+    w = Window.partitionBy("release_id").orderBy(ordered.natural_key(F.col("filename")))
+    return t.select("row_id", F.dense_rank().over(w).cast("bigint").alias("place"))
 
 
 @query("""
@@ -275,25 +275,25 @@ def catalogue_rank(spark, d):
 # ------------------------------------------------------------------ text and rules
 
 
-@query("SELECT row_id, lower(strip_accents(title)) AS folded, regexp_replace(lower(strip_accents(title)), '[^a-z0-9]+', '', 'g') AS key FROM tracks WHERE regexp_full_match(title, '[ -~À-ɏ]*')")
+@query("SELECT row_id, lower(strip_accents(title)) AS folded, regexp_replace(lower(strip_accents(title)), '[^a-z0-9]+', '', 'g') AS key FROM tracks WHERE title IS NOT NULL")
 def accent_fold(spark, d):
-    t = table(spark, d, "tracks").where(F.col("title").rlike("^[ -~À-ɏ]*$"))
+    t = table(spark, d, "tracks").where("title is not null")
     return t.select("row_id", text.fold(F.col("title")).alias("folded"), text.letters_key(F.col("title")).alias("key"))
 
 
 @query("""
-WITH t AS (SELECT row_id, title, trim(regexp_replace(title, '(?i)^\\s*(?:\\d{1,2}-\\d{1,3}\\s+|(?:cd\\s*\\d+\\s*[-._)]?\\s*)?\\d{1,3}\\s*[-._)\\s]\\s*)([^\\d\\s].*)$', '\\1')) AS s FROM tracks WHERE regexp_full_match(title, '[ -~]*')),
+WITH t AS (SELECT row_id, title, trim(regexp_replace(title, '(?i)^\\s*(?:\\d{1,2}-\\d{1,3}\\s+|(?:cd\\s*\\d+\\s*[-._)]?\\s*)?\\d{1,3}\\s*[-._)\\s]\\s*)([^\\d\\s].*)$', '\\1'), ' ') AS s FROM tracks WHERE title IS NOT NULL),
 u AS (SELECT row_id, title, regexp_replace(regexp_replace(s, '(?i)\\((?:alternate\\s+)?take\\s*(\\d+)\\)|\\btake\\s*(\\d+)\\b|\\balt(?:ernate)?\\s*take\\b|\\(alternate\\)|\\[alt\\]', '', 'g'),
    '(?i)\\[[^\\]]*\\]|\\((?:live|mono|stereo|remaster(?:ed)?|alternate|incomplete|part\\s*\\d+|edit)[^)]*\\)', '', 'g') AS s FROM t),
 v AS (SELECT row_id, title, regexp_replace(regexp_replace(regexp_replace(s, '[(\\[]\\s*[)\\]]', ' ', 'g'), '\\s{2,}', ' ', 'g'), '^[ \\-_.]+|[ \\-_.]+$', '', 'g') AS s FROM u)
 SELECT row_id, nullif(s, '') AS tune_title,
-  nullif(regexp_replace(replace(regexp_replace(lower(replace(s, '_', ' ')), '\\b(?:the|a|an)\\b', '', 'g'), 'favourite', 'favorite'), '[^a-z0-9]', '', 'g'), '') AS tune_key,
+  nullif(regexp_replace(replace(regexp_replace(lower(strip_accents(regexp_replace(s, '[_·‐-―⁃]+', ' ', 'g'))), '\\b(?:the|a|an)\\b', '', 'g'), 'favourite', 'favorite'), '[^a-z0-9]', '', 'g'), '') AS tune_key,
   CASE WHEN regexp_extract(title, '(?i)\\((?:alternate\\s+)?take\\s*(\\d+)\\)', 1) <> '' THEN regexp_extract(title, '(?i)\\((?:alternate\\s+)?take\\s*(\\d+)\\)', 1)
        WHEN regexp_extract(title, '(?i)\\btake\\s*(\\d+)\\b', 1) <> '' THEN regexp_extract(title, '(?i)\\btake\\s*(\\d+)\\b', 1)
        WHEN regexp_matches(title, '(?i)\\balt(?:ernate)?\\s*take\\b|\\(alternate\\)|\\[alt\\]') THEN 'alt' END AS take FROM v
 """)
 def tune_keys(spark, d):
-    t = table(spark, d, "tracks").where(F.col("title").rlike("^[ -~]*$"))
+    t = table(spark, d, "tracks").where("title is not null")
     return t.select("row_id", text.tune_title(F.col("title")).alias("tune_title"), text.tune_key(F.col("title")).alias("tune_key"), text.take_of(F.col("title")).alias("take"))
 
 
@@ -453,7 +453,7 @@ def release_facts(spark, d):
 @query("""
 WITH h AS (
   SELECT 'HIGH' AS severity, 'date outside window' AS "check", CAST(row_id AS VARCHAR) AS l FROM tracks WHERE recording_date IS NOT NULL AND NOT (recording_date >= '1925' AND recording_date <= '2025-12-31')
-  UNION ALL SELECT 'MED', 'junk title', CAST(row_id AS VARCHAR) FROM tracks WHERE title IS NOT NULL AND (trim(title) = '' OR regexp_full_match(trim(title), '[\\d\\W_]+') OR regexp_matches(trim(title), '(?i)^(track|untitled|audio|unknown|cd\\d)') OR length(trim(title)) <= 2) AND regexp_full_match(title, '[ -~]*')
+  UNION ALL SELECT 'MED', 'junk title', CAST(row_id AS VARCHAR) FROM tracks WHERE title IS NOT NULL AND (trim(title) = '' OR regexp_full_match(trim(title), '[\\d\\W_]+') OR regexp_matches(trim(title), '(?i)^(track|untitled|audio|unknown|cd\\d)') OR length(trim(title)) <= 2)
   UNION ALL SELECT 'LOW', 'undated', CAST(row_id AS VARCHAR) FROM tracks WHERE recording_date IS NULL
   UNION ALL SELECT 'LOW', 'no personnel', CAST(row_id AS VARCHAR) FROM tracks WHERE coalesce(trim(personnel), '') = ''
   UNION ALL SELECT 'HIGH', 'release without tracks', release_id FROM releases r WHERE NOT EXISTS (SELECT 1 FROM tracks t WHERE t.release_id = r.release_id)
@@ -469,7 +469,7 @@ def audit_report(spark, d):
     date = F.col("recording_date")
     one_pass = [
         ("HIGH", "date outside window", date.isNotNull() & ~date.between("1925", "2025-12-31")),
-        ("MED", "junk title", audit.junk_title(F.col("title")) & F.col("title").rlike("^[ -~]*$")),
+        ("MED", "junk title", audit.junk_title(F.col("title"))),
         ("LOW", "undated", date.isNull()),
         ("LOW", "no personnel", F.coalesce(F.trim("personnel"), F.lit("")) == ""),
     ]
@@ -487,12 +487,12 @@ def audit_report(spark, d):
 
 
 @query("""
-WITH t AS (SELECT codec, coalesce(recording_date, '9999') AS o1, row_id, CASE WHEN coalesce(duration_seconds, 0) > 0 THEN CAST(CAST(floor(duration_seconds) AS BIGINT) AS VARCHAR) ELSE '-1' END AS s, coalesce(nullif(trim(regexp_replace(title, '\\s+', ' ', 'g')), ''), '') AS l, path FROM tracks WHERE codec IS NOT NULL AND regexp_full_match(coalesce(title, ''), '[ -~]*'))
+WITH t AS (SELECT codec, coalesce(recording_date, '9999') AS o1, row_id, CASE WHEN coalesce(duration_seconds, 0) > 0 THEN CAST(CAST(floor(duration_seconds) AS BIGINT) AS VARCHAR) ELSE '-1' END AS s, coalesce(nullif(trim(regexp_replace(title, '[\\s\\p{Z}]+', ' ', 'g')), ''), '') AS l, path FROM tracks WHERE codec IS NOT NULL)
 SELECT codec, count(*) AS entries, md5('#EXTM3U' || chr(13) || chr(10) || '#PLAYLIST:' || codec || chr(13) || chr(10) || string_agg('#EXTINF:' || s || ',' || l || chr(13) || chr(10) || path, chr(13) || chr(10) ORDER BY o1, row_id) || chr(13) || chr(10)) AS digest
 FROM t WHERE path IS NOT NULL GROUP BY codec
 """)
 def playlist_text(spark, d):
-    t = table(spark, d, "tracks").where("codec is not null and path is not null").where(F.coalesce("title", F.lit("")).rlike("^[ -~]*$"))
+    t = table(spark, d, "tracks").where("codec is not null and path is not null")
     order = [F.coalesce("recording_date", F.lit("9999")), F.col("row_id")]
     p = sinks.playlist_text(t, ["codec"], order, F.col("codec"), F.col("title"), F.floor("duration_seconds"), F.col("path"))
     return p.select("codec", "entries", F.md5("text").alias("digest"))
