@@ -183,3 +183,22 @@ def mine(df: DataFrame, name: str, pos: str, example: str, least: int) -> DataFr
 def longest_by(df: DataFrame, key: Column, value: str, pos: str) -> DataFrame:
     """The longest value of each key, the first on ties."""
     return df.where(F.col(value).isNotNull()).groupBy(key.alias("key")).agg(F.max_by(value, F.struct(F.length(value), -F.col(pos))).alias("value"), F.count("*").alias("n"))
+
+
+def copies(members: DataFrame, cluster: str, member: str, tier_rank: str, size: str, identical: str, confidence: str) -> DataFrame:
+    """Clusters with their copies, best first, which of them to keep (0), and whether the rest is safe to remove.
+
+    The best copy has the best quality, then the largest size, then the smallest name;
+    removing others is safe only in clusters of high confidence and identical content.
+    """
+    one = F.struct(F.col(tier_rank).alias("rank"), (-F.coalesce(F.col(size), F.lit(0))).alias("o"), F.col(member).alias("member"), F.col(size).alias("size"))
+    g = members.groupBy(cluster).agg(F.array_sort(F.collect_list(one)).alias("x"), F.bool_and(identical).alias("_i"), F.bool_and(F.col(confidence) == "high").alias("_c"))
+    listed = F.transform("x", lambda e: F.struct(e["member"].alias("member"), e["size"].alias("size")))
+    return g.select(cluster, listed.alias("copies"), F.lit(0).alias("keep"), (F.col("_i") & F.col("_c")).alias("safe"))
+
+
+def attach_proposals(rows: DataFrame, proposals: DataFrame, key: str, candidate: str, score: str) -> DataFrame:
+    """Rows with their candidates' ids, best first, the best one and its score; none for rows without any."""
+    c = F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("o"), F.col(candidate).alias("c"))))
+    p = proposals.groupBy(key).agg(c.alias("_x")).select(key, F.transform("_x", lambda e: e["c"]).alias("candidates"), F.element_at("_x", 1)["c"].alias("best"), (-F.element_at("_x", 1)["o"]).alias("certainty"))
+    return rows.join(p, key, "left")

@@ -113,9 +113,9 @@ def test_rules(spark):
     assert one(spark, rules.authority, "A/1961, November 18, Paris") == "unofficial"
     assert one(spark, rules.authority, "A/1961 - Great Album Title Of Mine Here") == "official"
     assert one(spark, lambda c, b, r: rules.quality_tier(c, b, r), "flac", 24, 44100) == "Hi-Res"
-    assert one(spark, lambda c, a: rules.role(c, "john coltrane", ["miles davis"], a), "X/John Coltrane - Y", "") == "leader"
-    assert one(spark, lambda c, a: rules.role(c, "john coltrane", ["miles davis"], a), "X/Miles Davis - Y", "") == "sideman"
-    assert one(spark, lambda c, a: rules.role(c, "john coltrane", ["miles davis"], a), "X/Miles Davis and John Coltrane", "") == "co-leader"
+    assert one(spark, lambda c, a: rules.role(c, "ann one", ["bela two"], a), "X/Ann One - Y", "") == "leader"
+    assert one(spark, lambda c, a: rules.role(c, "ann one", ["bela two"], a), "X/Bela Two - Y", "") == "sideman"
+    assert one(spark, lambda c, a: rules.role(c, "ann one", ["bela two"], a), "X/Bela Two and Ann One", "") == "co-leader"
 
 
 def test_tags_and_artists(spark):
@@ -130,3 +130,8 @@ def test_tags_and_artists(spark):
 
 def test_html(spark):
     assert one(spark, text.html_text, "<p>A &amp; B<br>C</p>") == "A & B\nC"
+
+
+def test_reconcile_key(spark):
+    assert one(spark, text.reconcile_key, "The Étude (live), No. 3") == "etude no 3"
+    assert one(spark, lambda c: text.reconcile_key(c, accents=True), "The Étude [x]") == "étude"

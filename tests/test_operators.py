@@ -70,12 +70,12 @@ def test_set_overlap_loses_no_pair(spark):
 
 
 def test_dictionary_joins(spark):
-    texts = spark.createDataFrame([(1, "A/The Cats (Tommy Flanagan)"), (2, "Complete Copenhagen"), (3, "Om live")], "id int, p string")
-    vocab = spark.createDataFrame([("The Cats", 1), ("Tommy Flanagan", 2), ("Om", 3), ("Copenhagen", 4), ("A", 5)], "term string, ord int")
+    texts = spark.createDataFrame([(1, "A/The Cats (Cy Three)"), (2, "Complete Copenhagen"), (3, "Om live")], "id int, p string")
+    vocab = spark.createDataFrame([("The Cats", 1), ("Cy Three", 2), ("Om", 3), ("Copenhagen", 4), ("A", 5)], "term string, ord int")
     got = {r.id: r.term for r in joins.dictionary_best(texts, "id", "p", vocab, "term", "ord").collect()}
     assert got == {1: "The Cats", 2: "Copenhagen", 3: "Om"}
-    names = spark.createDataFrame([("philly joe jones", "P"), ("jones", "J"), ("elvin", "E")], "alias string, name string")
-    t = spark.createDataFrame([(1, "Elvin, Philly Joe Jones and Elvin")], "id int, t string")
+    names = spark.createDataFrame([("phil j jones", "P"), ("jones", "J"), ("elvin", "E")], "alias string, name string")
+    t = spark.createDataFrame([(1, "Elvin, Phil J Jones and Elvin")], "id int, t string")
     assert joins.dictionary_all(t, "id", "t", names, "alias", "name").first()["names"] == ["E", "P"]
 
 
@@ -121,3 +121,37 @@ def test_crossfilter_matches_plain_counts(spark):
         assert got.get(("c", v), 0) == sum(1 for c, m in rows if "x" in m and c == v)
     for v in "xyz":
         assert got.get(("m", v), 0) == sum(1 for c, m in rows if c == "a" and v in m)
+
+
+def test_copies_and_proposals(spark):
+    df = spark.createDataFrame([("c", "b", 1, 5, True, "high"), ("c", "a", 1, 9, True, "high"), ("d", "x", 2, 1, True, "low"), ("d", "y", 1, 1, True, "low")], "c string, m string, r int, s bigint, i boolean, k string")
+    got = {r.c: ([x["member"] for x in r.copies], r.safe) for r in groups.copies(df, "c", "m", "r", "s", "i", "k").collect()}
+    assert got == {"c": (["a", "b"], True), "d": (["y", "x"], False)}
+    rows = spark.createDataFrame([("p",), ("q",)], "path string")
+    prop = spark.createDataFrame([("p", "s1", 0.4), ("p", "s2", 0.9)], "path string, cand string, score double")
+    out = {r.path: (r.candidates, r.best, r.certainty) for r in groups.attach_proposals(rows, prop, "path", "cand", "score").collect()}
+    assert out == {"p": (["s2", "s1"], "s2", 0.9), "q": (None, None, None)}
+
+
+def test_credits(spark):
+    from lacquer.operators import credits
+
+    vocab = spark.createDataFrame([("Terry", "Andrew Terry", False, False), ("Reiner", "Fritz Reiner", False, False), ("Mahler", "Gustav Mahler", True, False)], "surname string, name string, guarded boolean, ambiguous boolean")
+    t = spark.createDataFrame([(1, "Clark Terry Live", []), (2, "CSO Reiner PCM", []), (3, "Mahler 5", []), (4, "Gustav Mahler, Orchestra", []), (5, "a reiner thing", []), (6, "Reiner Quartet", []), (7, "Reiner", ["Reiner, F."])], "id int, t string, b array<string>")
+    got = {r.id: r.name for r in credits.leaders(t, "id", "t", vocab, "b").collect()}
+    assert got == {2: "Fritz Reiner", 4: "Gustav Mahler"}
+    shapes = {"X/Some 5 CSO_Baren PCM": "Baren", "Great Orchestra, Klemp": "Klemp", "Plain Title": None}
+    df = spark.createDataFrame([(k,) for k in shapes], "p string").select("p", credits.leader_by_shape(F.col("p"))["name"].alias("n"))
+    assert {r.p: r.n for r in df.collect()} == shapes
+    assert [r.x for r in spark.createDataFrame([("Egmont Overture",), ("Simone Young",), ("Jaqueline du",)], "n string").select(credits.looks_like_person(F.col("n")).alias("x")).collect()] == [False, True, False]
+
+
+def test_works(spark):
+    from lacquer.operators.works import album_works, resolve_works
+
+    a = spark.createDataFrame([("Someone - Requiem K.626, Adagio & Fugue K.546",), ("Nothing here",)], "a string").select(album_works(F.col("a")).alias("w")).collect()
+    assert [(x["title"], x["system"], x["number"]) for x in a[0].w] == [("Requiem", "K", "626"), ("Adagio & Fugue", "K", "546")] and a[1].w == []
+    t = [(1, "r", 0, 1, "Sonata - 1. Allegro", None), (2, "r", 0, 2, "Sonata - 2. Largo", "C"), (3, "r", 0, 3, "Suite - 1. Aria", "C")]
+    got = resolve_works(spark.createDataFrame(t, "row_id int, release_id string, disc int, number int, title string, composer string"), spark.createDataFrame([("r", "Album")], "release_id string, album string"))
+    rows = {r.row_id: (r.segment, r.work, r.composer) for r in got.collect()}
+    assert rows == {1: (1, "Sonata", "C"), 2: (1, "Sonata", "C"), 3: (2, "Suite", "C")}
