@@ -9,8 +9,8 @@ weight. As harmonic values shrink towards the mean, every iteration is calibrate
 clamped documents. A document's level is the median of its sentences' difficulty, so
 single sentences may be easier or harder, and lines without weight do not count.
 
-Scale. One iteration is one narrow pass over the documents in which each task sums up
-its own words before a small shuffle. Words are kept in ``BUCKETS`` hash buckets, which
+Scale. The texts are taken apart once, into checkpointed word numbers. One iteration is
+one narrow pass over those in which each task sums up its own words before a small shuffle. Words are kept in ``BUCKETS`` hash buckets, which
 bounds what is sent to the tasks whatever the vocabulary; the graded examples are
 bounded by ``max_labels`` (those with the smallest hash of their id). Nothing about
 single documents goes to the driver.
@@ -28,6 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacquer.session import cut
+
 BANDS = ("easy", "middle", "hard")
 #: Hash buckets for words; a bucket takes 12 bytes where it is sent, so 50 MB at most.
 BUCKETS = 1 << 22
@@ -73,29 +75,29 @@ class State:
         return np.interp(x, at, to)
 
 
+def encoded(text: str, seen: dict[str, int]) -> tuple[bytes, bytes]:
+    """A text's words as hash buckets and its sentences' lengths, both as 32-bit integers."""
+    words: list[int] = []
+    lengths: list[int] = []
+    for ws in sentences(text):
+        for w in ws:
+            b = seen.get(w)
+            if b is None:
+                b = seen[w] = xxhash.xxh64_intdigest(w) % BUCKETS
+            words.append(b)
+        lengths.append(len(ws))
+    return np.array(words, dtype=np.int32).tobytes(), np.array(lengths, dtype=np.int32).tobytes()
+
+
 class Block:
-    """Documents of a batch as flat arrays."""
-
-    def __init__(self, texts: list[str | None], seen: dict[str, int]):
-        if len(seen) > 500_000:
-            seen.clear()
-        words: list[int] = []
-        lengths: list[int] = []
-        doc: list[int] = []
-        for i, t in enumerate(texts):
-            for ws in sentences(t or ""):
-                for w in ws:
-                    b = seen.get(w)
-                    if b is None:
-                        b = seen[w] = xxhash.xxh64_intdigest(w) % BUCKETS
-                    words.append(b)
-                lengths.append(len(ws))
-                doc.append(i)
-        self.word = np.array(words, dtype=np.int32)
-        self.length = np.array(lengths, dtype=np.int64)
-        self.of_word = np.repeat(np.arange(len(lengths)), self.length)
-        self.doc = np.array(doc, dtype=np.int64)
-        self.docs = len(texts)
+    """Encoded documents of a batch as flat arrays."""
+
+    def __init__(self, words: list[bytes], lengths: list[bytes]):
+        self.word = np.frombuffer(b"".join(words), dtype=np.int32)
+        self.length = np.frombuffer(b"".join(lengths), dtype=np.int32).astype(np.int64)
+        self.of_word = np.repeat(np.arange(len(self.length)), self.length)
+        self.doc = np.repeat(np.arange(len(lengths)), [len(x) // 4 for x in lengths])
+        self.docs = len(lengths)
 
     def scores(self, state: State) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Difficulty and confidence of each sentence, and difficulty of each document."""
@@ -151,7 +153,18 @@ def reading_levels(
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[key]
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull())
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[str, int] = {}
+        for pdf in batches:
+            if len(seen) > 500_000:
+                seen.clear()
+            both = [encoded(t, seen) for t in pdf["t"]]
+            yield pd.DataFrame({"k": pdf["k"], "w": [x for x, _ in both], "s": [x for _, x in both], "n": [len(t.split()) for t in pdf["t"]]})
+
+    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull())
+    # every iteration passes over the documents: their texts are taken apart once
+    rows = cut(texts.mapInPandas(encode, f"k {kind}, w binary, s binary, n int"))
     known = graded(labels, key, band, max_labels).toPandas()
     clamp = dict(zip(known["k"], known["y"], strict=True))
     prior = float(known["y"].mean()) if len(known) else 1.0
@@ -160,9 +173,8 @@ def reading_levels(
     sums_schema = "b int, n double, m double, q double"
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, int] = {}
         for pdf in batches:
-            b = Block(pdf["t"].tolist(), seen)
+            b = Block(pdf["w"].tolist(), pdf["s"].tolist())
             y = np.array([sent_clamp.value[k] for k in pdf["k"]], dtype=float)
             v = y[b.doc][b.of_word] if len(b.word) else np.zeros(0)
             yield _sums(b.word, np.ones(len(b.word)), v)
@@ -173,9 +185,8 @@ def reading_levels(
         sent = spark.sparkContext.broadcast(state)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            seen: dict[str, int] = {}
             for pdf in batches:
-                b = Block(pdf["t"].tolist(), seen)
+                b = Block(pdf["w"].tolist(), pdf["s"].tolist())
                 _, conf, doc = b.scores(sent.value)
                 y = [sent_clamp.value[k] for k in pdf["k"]]
                 yield pd.DataFrame({"y": y, "x": doc, "c": -1.0})
@@ -195,10 +206,9 @@ def reading_levels(
         sent = spark.sparkContext.broadcast(state)
 
         def spread(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            seen: dict[str, int] = {}
             s = sent.value
             for pdf in batches:
-                b = Block(pdf["t"].tolist(), seen)
+                b = Block(pdf["w"].tolist(), pdf["s"].tolist())
                 if not len(b.word):
                     continue
                 own, conf, doc = b.scores(s)
@@ -215,11 +225,10 @@ def reading_levels(
     sent = spark.sparkContext.broadcast(state)
 
     def grade(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, int] = {}
         s = sent.value
         for pdf in batches:
-            pdf = pdf[[len(t.split()) >= min_words for t in pdf["t"]]].reset_index(drop=True)
-            b = Block(pdf["t"].tolist(), seen)
+            pdf = pdf[pdf["n"] >= min_words].reset_index(drop=True)
+            b = Block(pdf["w"].tolist(), pdf["s"].tolist())
             own, conf, doc = b.scores(s)
             mine, level = s.calibrated(own), s.calibrated(doc)
             keep = conf >= 0.3 * s.usual
