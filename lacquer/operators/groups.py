@@ -48,32 +48,45 @@ def merge_works(works: DataFrame, bucket: list[str], work: str, mark: str, size:
     return joined.select(work, F.when(together, F.col("_s")).otherwise(F.col(work)).alias("survivor"))
 
 
+def member_print(member: Column) -> list[Column]:
+    """Aggregates that are equal for equal multisets of members: how many, and the sum and the exclusive or of two hashes.
+
+    They are combined on the map side, so no group is ever gathered.
+    """
+    return [
+        F.count("*").alias("n"),
+        F.sum(F.xxhash64(F.lit("a"), member).cast("decimal(38,0)")).alias("h1"),
+        F.bit_xor(F.xxhash64(F.lit("b"), member)).alias("h2"),
+    ]
+
+
 def clusters(df: DataFrame, rules: list[tuple[str, str, Column]], member: str, size: str) -> DataFrame:
     """Clusters of members with an equal key under one of several rules, the earlier rule winning.
 
     ``rules`` are (kind, confidence, key column); a null or blank key is none. Two rules
-    that give the same members give one cluster. Columns: kind, confidence, members,
-    sizes, reclaimable (all sizes but the largest).
+    that give the same members give one cluster. Columns: kind, confidence, key, n,
+    first_member, last_member, reclaimable (all sizes but the largest). The members of a
+    cluster are the rows with its key: see :func:`cluster_members`.
     """
-    arms = []
-    for prio, (kind, confidence, key) in enumerate(rules):
-        g = df.select(F.lit(prio).alias("prio"), F.lit(kind).alias("kind"), F.lit(confidence).alias("confidence"), key.alias("key"), F.col(member).alias("m"), F.col(size).alias("s"))
-        g = g.where("key is not null and key <> ''").groupBy("prio", "kind", "confidence", "key")
-        arms.append(g.agg(F.array_sort(F.collect_list(F.struct("m", "s"))).alias("x")).where(F.size("x") > 1))
-    found = reduce(DataFrame.unionByName, arms).withColumn("members", F.transform("x", lambda e: e["m"])).withColumn("sizes", F.transform("x", lambda e: e["s"]))
-    best = found.groupBy("members").agg(F.min_by(F.struct("kind", "confidence", "sizes"), F.col("prio")).alias("b"))
-    total = F.aggregate("b.sizes", F.lit(0).cast("bigint"), lambda a, e: a + F.coalesce(e, F.lit(0)))
-    return best.select("b.kind", "b.confidence", "members", "b.sizes", (total - F.coalesce(F.array_max("b.sizes"), F.lit(0))).alias("reclaimable"))
+    keyed = cluster_members(df, rules, member, size)
+    g = keyed.groupBy("prio", "kind", "confidence", "key").agg(
+        *member_print(F.col("member")), F.min("member").alias("first_member"), F.max("member").alias("last_member"), (F.sum(F.coalesce("size", F.lit(0))) - F.max(F.coalesce("size", F.lit(0)))).alias("reclaimable")
+    )
+    cols = ["kind", "confidence", "key", "first_member", "last_member", "reclaimable"]
+    best = g.where("n > 1").groupBy("n", "h1", "h2").agg(F.min_by(F.struct(*cols), F.struct("prio", "key")).alias("b"))
+    return best.select("n", "b.*")
 
 
-def multiset_key(df: DataFrame, by: str, cols: list[str]) -> DataFrame:
-    """A hash of each group's rows in sorted order: groups with the same rows, copies included, have the same.
+def cluster_members(df: DataFrame, rules: list[tuple[str, str, Column]], member: str, size: str) -> DataFrame:
+    """One row per member and rule that gives it a key: prio, kind, confidence, key, member, size."""
+    arms = F.array(*[F.struct(F.lit(i).alias("prio"), F.lit(k).alias("kind"), F.lit(c).alias("confidence"), key.cast("string").alias("key")) for i, (k, c, key) in enumerate(rules)])
+    rows = df.select(F.col(member).alias("member"), F.col(size).cast("bigint").alias("size"), F.explode(arms).alias("x"))
+    return rows.select("x.*", "member", "size").where("key is not null and key <> ''")
 
-    Rows are counted first, so a group's hash is built of its distinct rows.
-    """
-    counted = df.groupBy(by, *cols).agg(F.count("*").alias("_n"))
-    row = F.sha2(F.to_json(F.struct(*cols, "_n"), {"ignoreNullFields": "false"}), 256)
-    return counted.groupBy(by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(row)), ","), 256).alias("fingerprint"), F.sum("_n").alias("rows"))
+
+def multiset_key(df: DataFrame, by: str, cols: list[str]) -> DataFrame:
+    """n, h1, h2 of each group: groups with the same rows, copies included, have the same."""
+    return df.groupBy(by).agg(*member_print(F.struct(*cols)))
 
 
 def decades(year: Column) -> Column:

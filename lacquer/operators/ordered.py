@@ -41,24 +41,49 @@ def state_groups(lines: DataFrame, by: str, pos: str, opens: Column) -> DataFram
     return lines.withColumn("group", F.sum(F.when(opens, 1).otherwise(0)).over(w)).where(F.col("group") > 0)
 
 
+def spread_number(df: DataFrame, by: list[str], order: list[str], out: str) -> DataFrame:
+    """``row_number() over (partition by by order by order)`` that splits a hot group over tasks.
+
+    Rows are range-partitioned by group and order; a row's number is its place in its
+    partition plus the group's rows in earlier partitions, of which there is one count
+    per group and partition.
+    """
+    from lacquer.session import cut
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c) for c in [*by, *order]]
+    placed = cut(df.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id()))
+    local = placed.withColumn("_i", F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order)))
+    sizes = placed.groupBy("_part", *by).agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    off = sizes.select(F.col("_part").alias("_q"), *[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], before.alias("_off"))
+    same = F.col("_part") == F.col("_q")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_b{i}"))
+    return local.join(off, same).select(*df.columns, (F.col("_i") + F.col("_off")).alias(out))
+
+
 def distinct_names(df: DataFrame, facet: str, name: str, extra: str, pos: str, out: str = "unique_name") -> DataFrame:
     """Names that are unique in a facet whatever their case.
 
     The first keeps its name, a second tries "name (extra)", later ones and those whose
     try is taken get "name #2", "#3" and so on.
     """
-    w = Window.partitionBy(facet, F.lower(name)).orderBy(pos)
-    d = df.withColumn("_n", F.row_number().over(w))
+    d = spread_number(df.withColumn("_l", F.lower(name)), [facet, "_l"], [pos], "_n")
     tried = F.when(F.col("_n") == 1, F.col(name)).when(F.trim(F.col(extra)) != "", F.concat(F.col(name), F.lit(" ("), F.col(extra), F.lit(")"))).otherwise(F.col(name))
-    d = d.withColumn("_t", tried).withColumn("_m", F.row_number().over(Window.partitionBy(facet, F.lower("_t")).orderBy("_n", pos)))
-    return d.withColumn(out, F.when(F.col("_m") == 1, F.col("_t")).otherwise(F.concat(F.col("_t"), F.lit(" #"), F.col("_m").cast("string")))).drop("_n", "_t", "_m")
+    d = d.withColumn("_t", tried).withColumn("_l", F.lower("_t"))
+    d = spread_number(d, [facet, "_l"], ["_n", pos], "_m")
+    return d.withColumn(out, F.when(F.col("_m") == 1, F.col("_t")).otherwise(F.concat(F.col("_t"), F.lit(" #"), F.col("_m").cast("string")))).drop("_l", "_n", "_t", "_m")
 
 
 def top_with_rest(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
-    """The first ``k`` rows of each group with ``rank`` and ``more``, how many the group has besides."""
-    w = Window.partitionBy(*by)
-    d = df.withColumn("rank", F.row_number().over(w.orderBy(*order))).withColumn("more", F.greatest(F.count("*").over(w) - k, F.lit(0)))
-    return d.where(F.col("rank") <= k)
+    """The first ``k`` rows of each group with ``rank`` and ``more``, how many the group has besides.
+
+    The ranking is limited before its shuffle, so of a hot group only ``k`` rows a task move.
+    """
+    first = df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
+    total = df.groupBy(*by).agg(F.count("*").alias("_t"))
+    return first.join(total, by).withColumn("more", F.greatest(F.col("_t") - k, F.lit(0))).drop("_t")
 
 
 def natural_key(c: Column, width: int = 12) -> Column:

@@ -29,6 +29,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def released(spark: SparkSession, d: str) -> DataFrame:
+    """Tracks of real releases; a folder of loose files (track_count 0) is none."""
+    return table(spark, d, "tracks").join(table(spark, d, "releases").where("track_count > 0").select("release_id"), "release_id", "left_semi")
+
+
 # ------------------------------------------------------------- scans and projections
 
 
@@ -310,8 +315,7 @@ def unique_prefix(spark, d):
 
 
 def _tunes(spark, d) -> DataFrame:
-    real = table(spark, d, "releases").where("track_count > 0").select("release_id")
-    return table(spark, d, "tracks").join(real, "release_id", "left_semi").select("release_id", F.trim("tune").alias("tune")).where("tune <> ''")
+    return released(spark, d).select("release_id", F.trim("tune").alias("tune")).where("tune <> ''")
 
 
 def _ext_tunes(spark, d) -> DataFrame:
@@ -343,13 +347,13 @@ def overlap_best(spark, d):
 
 
 @query("""
-WITH a AS (SELECT release_id, row_number() OVER (PARTITION BY release_id ORDER BY disc_number, track_number, row_id) AS pos, title, count(*) OVER (PARTITION BY release_id) AS n FROM tracks WHERE release_id IS NOT NULL),
+WITH a AS (SELECT release_id, row_number() OVER (PARTITION BY release_id ORDER BY disc_number, track_number, row_id) AS pos, title, count(*) OVER (PARTITION BY release_id) AS n FROM tracks JOIN (SELECT release_id FROM releases WHERE track_count > 0) USING (release_id)),
 m AS (SELECT release_id, min(ext_release_id) AS ext_release_id FROM releases r JOIN ext_releases e ON lower(r.title) = lower(e.title) GROUP BY 1),
 b AS (SELECT m.release_id, row_number() OVER (PARTITION BY m.release_id ORDER BY disc_number, track_number, title, length_ms) AS pos, x.title AS ext_title, count(*) OVER (PARTITION BY m.release_id) AS n FROM m JOIN ext_tracks x USING (ext_release_id))
 SELECT release_id, pos, title, ext_title FROM a JOIN b USING (release_id, pos, n)
 """)
 def zip_equal_length(spark, d):
-    t = table(spark, d, "tracks").where("release_id is not null")
+    t = released(spark, d)
     a = t.select("release_id", F.row_number().over(Window.partitionBy("release_id").orderBy(F.col("disc_number").asc_nulls_last(), F.col("track_number").asc_nulls_last(), "row_id")).alias("pos"), "title")
     r = table(spark, d, "releases").select("release_id", F.lower("title").alias("k"))
     e = table(spark, d, "ext_releases").select("ext_release_id", F.lower("title").alias("k"))
@@ -404,7 +408,7 @@ def greedy_match(spark, d):
     """Track lengths of releases matched one to one with those of the external release of the same title."""
     r = table(spark, d, "releases").where("track_count > 0").select("release_id", F.lower("title").alias("k"))
     e = table(spark, d, "ext_releases").select("ext_release_id", F.lower("title").alias("k"))
-    ours = table(spark, d, "tracks").where("duration_seconds is not null").groupBy("release_id").agg(F.collect_list("duration_seconds").alias("ours"))
+    ours = released(spark, d).where("duration_seconds is not null").groupBy("release_id").agg(F.collect_list("duration_seconds").alias("ours"))
     theirs = table(spark, d, "ext_tracks").where("length_ms is not null").groupBy("ext_release_id").agg(F.collect_list(F.col("length_ms") / 1000).alias("theirs"))
     pairs = r.join(e, "k").join(ours, "release_id").join(theirs, "ext_release_id")
     n = joins.greedy_match(F.col("ours"), F.col("theirs"), 5.0)

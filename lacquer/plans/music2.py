@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lacquer.functions import dates, rules, text
 from lacquer.operators import audit, groups, ordered
-from lacquer.plans.music import query, table
+from lacquer.plans.music import query, released, table
 from lacquer.sinks import tables as sinks
 
 # --------------------------------------------------------------------- aggregations
@@ -67,11 +67,12 @@ def work_merge(spark, d):
 @query("""
 WITH c AS (SELECT release_id, filename, size_bytes, count(*) AS n FROM tracks WHERE release_id IS NOT NULL GROUP BY 1, 2, 3),
 k AS (SELECT release_id, md5(string_agg(coalesce(filename, '~') || '|' || coalesce(CAST(size_bytes AS VARCHAR), '~') || '|' || n, ',' ORDER BY filename, size_bytes, n)) AS h FROM c GROUP BY 1)
-SELECT list_aggregate(list_sort(list(release_id)), 'string_agg', '; ') AS members, count(*) AS n FROM k GROUP BY h HAVING count(*) > 1
+SELECT count(*) AS n, min(release_id) AS first_release, max(release_id) AS last_release FROM k GROUP BY h HAVING count(*) > 1
 """)
 def duplicate_contents(spark, d):
     k = groups.multiset_key(table(spark, d, "tracks").where("release_id is not null"), "release_id", ["filename", "size_bytes"])
-    return k.groupBy("fingerprint").agg(F.array_join(F.array_sort(F.collect_list("release_id")), "; ").alias("members"), F.count("*").alias("n")).where("n > 1").drop("fingerprint")
+    g = k.groupBy(F.col("n").alias("rows"), "h1", "h2").agg(F.count("*").alias("n"), F.min("release_id").alias("first_release"), F.max("release_id").alias("last_release"))
+    return g.where("n > 1").select("n", "first_release", "last_release")
 
 
 @query("""
@@ -82,7 +83,7 @@ k AS (
   UNION ALL SELECT 1, 'title', 'low', nullif(substr(regexp_replace(lower(strip_accents(title)), '[^a-z0-9]+', '', 'g'), 1, 40), ''), release_id, bytes FROM r WHERE lower(title) NOT IN ('loose files', 'untitled session')),
 g AS (SELECT prio, kind, confidence, key, list_sort(list(release_id)) AS members, CAST(sum(bytes) AS BIGINT) AS s, max(bytes) AS m FROM k WHERE key IS NOT NULL GROUP BY 1, 2, 3, 4 HAVING count(*) > 1),
 d AS (SELECT arg_min({'kind': kind, 'confidence': confidence, 's': s, 'm': m}, prio) AS b, members FROM g GROUP BY members)
-SELECT b.kind AS kind, b.confidence AS confidence, list_aggregate(members, 'string_agg', '; ') AS members, b.s - b.m AS reclaimable FROM d
+SELECT b.kind AS kind, b.confidence AS confidence, CAST(len(members) AS BIGINT) AS n, members[1] AS first_member, members[-1] AS last_member, b.s - b.m AS reclaimable FROM d
 """)
 def duplicate_clusters(spark, d):
     b = table(spark, d, "tracks").groupBy("release_id").agg(F.sum("size_bytes").alias("bytes"))
@@ -93,7 +94,7 @@ def duplicate_clusters(spark, d):
         ("title", "low", F.when(~F.lower("title").isin("loose files", "untitled session"), title)),
     ]
     c = groups.clusters(r, by_rule, "release_id", "bytes")
-    return c.select("kind", "confidence", F.array_join("members", "; ").alias("members"), "reclaimable")
+    return c.select("kind", "confidence", "n", "first_member", "last_member", "reclaimable")
 
 
 @query("""
@@ -189,14 +190,14 @@ def works_on_several_releases(spark, d):
 
 
 @query("""
-WITH t AS (SELECT row_id, release_id, coalesce(disc_number, 0) AS disc, composer AS label, track_number AS no FROM tracks WHERE release_id IS NOT NULL),
+WITH t AS (SELECT row_id, release_id, coalesce(disc_number, 0) AS disc, composer AS label, track_number AS no FROM tracks JOIN (SELECT release_id FROM releases WHERE track_count > 0) USING (release_id)),
 a AS (SELECT *, row_number() OVER w = 1 AS fst, label IS DISTINCT FROM lag(label) OVER w AS chg FROM t WINDOW w AS (PARTITION BY release_id, disc ORDER BY no NULLS FIRST, row_id)),
 b AS (SELECT *, sum(CASE WHEN chg AND NOT fst AND no IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY release_id, disc ORDER BY no NULLS FIRST, row_id ROWS UNBOUNDED PRECEDING) AS run FROM a),
 c AS (SELECT *, last_value(no IGNORE NULLS) OVER (PARTITION BY release_id, disc, run ORDER BY no NULLS FIRST, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS carried FROM b)
 SELECT row_id, CAST(sum(CASE WHEN fst OR chg OR coalesce(no <= carried, false) THEN 1 ELSE 0 END) OVER (PARTITION BY release_id, disc ORDER BY no NULLS FIRST, row_id ROWS UNBOUNDED PRECEDING) AS INTEGER) AS segment FROM c
 """)
 def work_segments(spark, d):
-    t = table(spark, d, "tracks").where("release_id is not null").select("row_id", "release_id", F.coalesce("disc_number", F.lit(0)).alias("disc"), "composer", "track_number")
+    t = released(spark, d).select("row_id", "release_id", F.coalesce("disc_number", F.lit(0)).alias("disc"), "composer", "track_number")
     return ordered.segments(t, ["release_id", "disc"], ["track_number", "row_id"], "composer", "track_number").select("row_id", "segment")
 
 
@@ -244,20 +245,20 @@ def topk_examples(spark, d):
 
 
 @query("""
-WITH x AS (SELECT row_id, release_id, regexp_replace(regexp_replace(lower(filename), '(\\d+)', '000000000000\\1', 'g'), '0+(\\d{12})', '\\1', 'g') AS k FROM tracks WHERE release_id IS NOT NULL AND filename IS NOT NULL)
+WITH x AS (SELECT row_id, release_id, regexp_replace(regexp_replace(lower(filename), '(\\d+)', '000000000000\\1', 'g'), '0+(\\d{12})', '\\1', 'g') AS k FROM tracks JOIN (SELECT release_id FROM releases WHERE track_count > 0) USING (release_id) WHERE filename IS NOT NULL)
 SELECT row_id, dense_rank() OVER (PARTITION BY release_id ORDER BY k) AS place FROM x
 """)
 def natural_rank(spark, d):
-    t = table(spark, d, "tracks").where("release_id is not null and filename is not null")
+    t = released(spark, d).where("filename is not null")
     w = Window.partitionBy("release_id").orderBy(ordered.natural_key(F.col("filename")))
     return t.select("row_id", F.dense_rank().over(w).cast("bigint").alias("place"))
 
 
 @query("""
-SELECT row_id, row_number() OVER (PARTITION BY release_id ORDER BY coalesce(nullif(recording_date, ''), '9999'), coalesce(tune, ''), coalesce(track_number, 0), path, row_id) AS place FROM tracks WHERE release_id IS NOT NULL
+SELECT row_id, row_number() OVER (PARTITION BY release_id ORDER BY coalesce(nullif(recording_date, ''), '9999'), coalesce(tune, ''), coalesce(track_number, 0), path, row_id) AS place FROM tracks JOIN (SELECT release_id FROM releases WHERE track_count > 0) USING (release_id)
 """)
 def chronological_place(spark, d):
-    t = table(spark, d, "tracks").where("release_id is not null")
+    t = released(spark, d)
     keys = ordered.chronological(F.col("recording_date"), F.col("tune"), F.col("track_number"), F.col("path"))
     return t.select("row_id", F.row_number().over(Window.partitionBy("release_id").orderBy(*keys, "row_id")).cast("bigint").alias("place"))
 
@@ -487,15 +488,15 @@ def audit_report(spark, d):
 
 
 @query("""
-WITH t AS (SELECT codec, coalesce(recording_date, '9999') AS o1, row_id, CASE WHEN coalesce(duration_seconds, 0) > 0 THEN CAST(CAST(floor(duration_seconds) AS BIGINT) AS VARCHAR) ELSE '-1' END AS s, coalesce(nullif(trim(regexp_replace(title, '[\\s\\p{Z}]+', ' ', 'g')), ''), '') AS l, path FROM tracks WHERE codec IS NOT NULL)
-SELECT codec, count(*) AS entries, md5('#EXTM3U' || chr(13) || chr(10) || '#PLAYLIST:' || codec || chr(13) || chr(10) || string_agg('#EXTINF:' || s || ',' || l || chr(13) || chr(10) || path, chr(13) || chr(10) ORDER BY o1, row_id) || chr(13) || chr(10)) AS digest
-FROM t WHERE path IS NOT NULL GROUP BY codec
+SELECT codec, 1 AS place, row_id AS "row", '#EXTINF:' || CASE WHEN coalesce(duration_seconds, 0) > 0 THEN CAST(CAST(floor(duration_seconds) AS BIGINT) AS VARCHAR) ELSE '-1' END || ',' || coalesce(nullif(trim(regexp_replace(title, '[\\s\\p{Z}]+', ' ', 'g')), ''), '') || chr(13) || chr(10) || path AS text
+FROM tracks WHERE codec IS NOT NULL AND path IS NOT NULL
+UNION ALL SELECT DISTINCT codec, 0, CAST(NULL AS BIGINT), '#EXTM3U' || chr(13) || chr(10) || '#PLAYLIST:' || codec FROM tracks WHERE codec IS NOT NULL AND path IS NOT NULL
 """)
-def playlist_text(spark, d):
+def playlists(spark, d):
     t = table(spark, d, "tracks").where("codec is not null and path is not null")
     order = [F.coalesce("recording_date", F.lit("9999")), F.col("row_id")]
-    p = sinks.playlist_text(t, ["codec"], order, F.col("codec"), F.col("title"), F.floor("duration_seconds"), F.col("path"))
-    return p.select("codec", "entries", F.md5("text").alias("digest"))
+    p = sinks.playlist_lines(t, ["codec"], order, F.col("codec"), F.col("title"), F.col("duration_seconds"), F.col("path"))
+    return p.select("codec", "place", F.col("o1").alias("row"), "text")
 
 
 @query("""
@@ -551,10 +552,8 @@ def tag_changes(spark, d):
 def nested_manifest(spark, d):
     """Releases with nested tracks, read back flat."""
     r, t = table(spark, d, "releases").select("release_id", "path"), table(spark, d, "tracks").select("release_id", "row_id", "path").where("release_id is not null")
-    m = sinks.manifest(r, t)
-    return m.select("release_id", F.greatest(F.size(F.coalesce("tracks", F.expr("cast(array() as array<struct<row_id:bigint,path:string>>)"))), F.lit(0)).cast("bigint").alias("tracks"))
-
-
+    m = sinks.manifest(r, t).groupBy("release_id").agg(F.sum(F.coalesce(F.size("tracks"), F.lit(0))).alias("tracks"))
+    return m.select("release_id", F.greatest("tracks", F.lit(0)).cast("bigint").alias("tracks"))
 
 
 @query()
@@ -563,8 +562,7 @@ def works_resolved(spark, d):
     from lacquer.operators.works import resolve_works
 
     real = table(spark, d, "releases").where("track_count > 0").select("release_id", F.coalesce("title", "folder_name").alias("album"))
-    t = table(spark, d, "tracks").join(real.select("release_id"), "release_id", "left_semi")
-    t = t.select("row_id", "release_id", F.coalesce("disc_number", F.lit(0)).alias("disc"), F.col("track_number").alias("number"), "title", "composer")
+    t = released(spark, d).select("row_id", "release_id", F.coalesce("disc_number", F.lit(0)).alias("disc"), F.col("track_number").alias("number"), "title", "composer")
     return resolve_works(t, real)
 
 

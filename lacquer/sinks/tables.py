@@ -34,10 +34,15 @@ def changed(current: Column, proposed: Column) -> Column:
     return ~current.eqNullSafe(proposed)
 
 
-def manifest(releases: DataFrame, tracks: DataFrame, key: str = "release_id") -> DataFrame:
-    """Releases with their tracks nested; a store keeps both tables flat and nests only on request."""
+def manifest(releases: DataFrame, tracks: DataFrame, key: str = "release_id", most: int = 1000) -> DataFrame:
+    """Releases with their tracks nested, ``most`` or fewer a row on average; a store keeps both tables flat.
+
+    A release of more tracks has several rows, told apart by ``chunk``.
+    """
     cols = [c for c in tracks.columns if c != key]
-    nested = tracks.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("tracks"))
+    n = tracks.groupBy(key).agg(F.ceil(F.count("*") / most).cast("bigint").alias("_k"))
+    chunk = F.pmod(F.xxhash64(*cols), F.col("_k")).cast("int")
+    nested = tracks.join(n, key).groupBy(key, chunk.alias("chunk")).agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("tracks"))
     return releases.join(nested, key, "left")
 
 
@@ -58,18 +63,28 @@ def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
     df.orderBy(*order).write.mode("overwrite").option("header", True).csv(path)
 
 
-def playlist_text(df: DataFrame, by: list[str], order: list[Column], title: Column, label: Column, seconds: Column, path: Column) -> DataFrame:
-    """One text per group: header, then length, label and path of every entry in order; lines end in CR LF."""
-    length = F.when(F.coalesce(seconds, F.lit(0)) > 0, seconds.cast("bigint")).otherwise(F.lit(-1)).cast("string")
-    entry = F.concat(F.lit("#EXTINF:"), length, F.lit(","), F.coalesce(squeeze(label), F.lit("")), F.lit("\r\n"), path)
-    rows = df.select(*by, F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]).alias("o"), entry.alias("e"), title.alias("t"))
-    g = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("o", "e"))).alias("x"), F.min("t").alias("t"), F.count("*").alias("entries"))
-    body = F.array_join(F.transform("x", lambda x: x["e"]), "\r\n")
-    return g.select(*by, "entries", F.concat(F.lit("#EXTM3U\r\n#PLAYLIST:"), "t", F.lit("\r\n"), body, F.lit("\r\n")).alias("text"))
+def playlist_entry(label: Column, seconds: Column, path: Column) -> Column:
+    """An entry's two lines: length (-1 if unknown) and label, then the path."""
+    length = F.when(F.coalesce(seconds, F.lit(0)) > 0, F.floor(seconds).cast("bigint")).otherwise(F.lit(-1)).cast("string")
+    return F.concat(F.lit("#EXTINF:"), length, F.lit(","), F.coalesce(squeeze(label), F.lit("")), F.lit("\r\n"), path)
+
+
+def playlist_lines(df: DataFrame, by: list[str], order: list[Column], title: Column, label: Column, seconds: Column, path: Column) -> DataFrame:
+    """Headers and entries of playlists as rows: by, place (0 for the header), the order columns, text.
+
+    No playlist is gathered: a facet may hold most of a library.
+    """
+    keys = [c.alias(f"o{i}") for i, c in enumerate(order)]
+    rows = df.select(*by, F.lit(1).alias("place"), *keys, playlist_entry(label, seconds, path).alias("text"))
+    heads = df.groupBy(*by).agg(F.min(F.concat(F.lit("#EXTM3U\r\n#PLAYLIST:"), title)).alias("text")).withColumn("place", F.lit(0))
+    return rows.unionByName(heads, allowMissingColumns=True)
 
 
-def write_playlists(texts: DataFrame, by: list[str], root: str) -> None:
-    texts.select(*by, F.col("text").alias("value")).write.mode("overwrite").partitionBy(*by).text(root)
+def write_playlists(lines: DataFrame, by: list[str], root: str) -> None:
+    """Text files by facet; a long playlist is several parts that follow each other by name."""
+    order = [*by, "place", *[c for c in lines.columns if c.startswith("o") and c[1:].isdigit()]]
+    sorted_ = lines.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+    sorted_.select(*by, F.col("text").alias("value")).write.mode("overwrite").option("lineSep", "\r\n").partitionBy(*by).text(root)
 
 
 def shareable(df: DataFrame, path_col: str, drop: list[str]) -> DataFrame:

@@ -90,8 +90,13 @@ def test_asof_and_prefix(spark):
 
 def test_clusters_and_names(spark):
     df = spark.createDataFrame([("r1", "k", "t", 5), ("r2", "k", "t", 7), ("r3", "", "t", 1)], "m string, a string, b string, s bigint")
-    got = {tuple(r.members): (r.kind, r.reclaimable) for r in groups.clusters(df, [("A", "high", F.col("a")), ("B", "low", F.col("b"))], "m", "s").collect()}
-    assert got == {("r1", "r2"): ("A", 5), ("r1", "r2", "r3"): ("B", 6)}
+    by_rule = [("A", "high", F.col("a")), ("B", "low", F.col("b")), ("C", "low", F.concat("b", F.lit("!")))]
+    got = {(r.kind, r.n, r.first_member, r.last_member, r.reclaimable) for r in groups.clusters(df, by_rule, "m", "s").collect()}
+    assert got == {("A", 2, "r1", "r2", 5), ("B", 3, "r1", "r3", 6)}
+    rows = spark.createDataFrame([("h", i % 7, i) for i in range(300)] + [("c", 1, 1), (None, 2, 2)], "g string, o int, i int")
+    n = {(r.g, r.o, r.i): r.n for r in ordered.spread_number(rows, ["g"], ["o", "i"], "n").collect()}
+    want = sorted((o, i) for g, o, i in n if g == "h")
+    assert all(n["h", o, i] == k for k, (o, i) in enumerate(want, 1)) and n["c", 1, 1] == n[None, 2, 2] == 1
     n = spark.createDataFrame([("f", "X", "1", 1), ("f", "x", "2", 2), ("f", "X", "2", 3)], "f string, n string, e string, p int")
     assert [r.u for r in ordered.distinct_names(n, "f", "n", "e", "p", "u").orderBy("p").collect()] == ["X", "x (2)", "X (2) #2"]
 

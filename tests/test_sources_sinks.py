@@ -61,8 +61,12 @@ def test_plan_journal_undo(spark, tmp_path):
 
 def test_playlist_export_upsert(spark, tmp_path):
     df = spark.createDataFrame([("f", 2, "b\nc", 61.5, "p/2"), ("f", 1, "a", None, "p/1")], "g string, o int, l string, s double, p string")
-    text = sinks.playlist_text(df, ["g"], [F.col("o")], F.col("g"), F.col("l"), F.col("s"), F.col("p")).first()
-    assert text["text"] == "#EXTM3U\r\n#PLAYLIST:f\r\n#EXTINF:-1,a\r\np/1\r\n#EXTINF:61,b c\r\np/2\r\n" and text["entries"] == 2
+    lines = sinks.playlist_lines(df, ["g"], [F.col("o")], F.col("g"), F.col("l"), F.col("s"), F.col("p"))
+    sinks.write_playlists(lines, ["g"], str(tmp_path / "m3u"))
+    parts = sorted((tmp_path / "m3u" / "g=f").glob("part-*"))
+    assert b"".join(x.read_bytes() for x in parts) == b"#EXTM3U\r\n#PLAYLIST:f\r\n#EXTINF:-1,a\r\np/1\r\n#EXTINF:61,b c\r\np/2\r\n"
+    nested = sinks.manifest(spark.createDataFrame([("r",), ("e",)], "release_id string"), spark.createDataFrame([("r", i) for i in range(50)], "release_id string, i int"), most=10).collect()
+    assert sorted(t.i for r in nested for t in (r.tracks or [])) == list(range(50)) and len({r.chunk for r in nested}) > 3
     lib = spark.createDataFrame([("/home/me/x/a.flac", "AC/DC", "/home/me/x")], "path string, artist string, root string")
     out = sinks.shareable(lib, "path", ["root"])
     assert out.first().asDict() == {"path": "", "artist": "AC/DC"} and sum(r.leaks for r in sinks.leak_counts(out).collect()) == 0
