@@ -348,7 +348,9 @@ def link_names(spellings: DataFrame, col: str = "name", threshold: float = 0.25)
         ids = average_linkage(list(zip(pdf["given"], pdf["inits"], pdf["nick"], pdf["established"], strict=True)))
         return pdf[["home", "given", "inits", "nick"]].assign(cluster=np.array(ids, dtype="int32"))
 
-    clusters = keys.groupBy("home").applyInPandas(cluster, "home string, given string, inits string, nick string, cluster int")
+    # few bytes but much work: keep the partitions that a coalescing by size would merge
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    clusters = keys.repartition(parts, "home").groupBy("home").applyInPandas(cluster, "home string, given string, inits string, nick string, cluster int")
     linked = persons.join(clusters, ["home", "given", "inits", "nick"]).select("name", F.concat_ws("|", F.lit("person"), "home", F.col("cluster").cast("string")).alias("entity"))
     return groups.unionByName(linked)
 
