@@ -337,7 +337,7 @@ def link_names(spellings: DataFrame, col: str = "name", threshold: float = 0.25)
         .groupBy("kind", "word", "given")
         .agg(F.max_by("to", F.struct("to_support", "to")).alias("home"))
     )
-    homed = keyed.join(moves, ["kind", "word", "given"], "left").withColumn("home", F.coalesce("home", "word")).drop("word")
+    homed = cut(keyed.join(moves, ["kind", "word", "given"], "left").withColumn("home", F.coalesce("home", "word")).drop("word"))
 
     groups = homed.where("kind <> 'person'").select("name", F.concat_ws("|", "kind", "home").alias("entity"))
     persons = homed.where("kind = 'person'").drop("kind")
