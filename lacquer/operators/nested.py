@@ -164,7 +164,7 @@ def nested_tags(shredded: DataFrame, key: str, parts: dict[str, str]) -> DataFra
         rows = shredded.where(element | single | listed | single_listed).select(
             F.lit(src).alias("src"),
             key,
-            F.when(element | listed, F.element_at("ordinals", 1)).otherwise(F.lit(0)).cast("int").alias("pos"),
+            F.when(element | listed, F.try_element_at("ordinals", F.lit(1))).otherwise(F.lit(0)).cast("int").alias("pos"),
             (listed | single_listed).alias("_listed"),
             F.when(listed | single_listed, pair).otherwise(named).alias("_kv"),
         )
