@@ -27,7 +27,7 @@ def session_groups(spark, d):
 
 
 @query("""
-WITH t AS (SELECT regexp_replace(lower(strip_accents(tune)), '[^\p{L}\p{N}]+', '', 'g') AS key, tune, row_id, recording_date, venue FROM tracks WHERE trim(tune) <> ''),
+WITH t AS (SELECT regexp_replace(lower(strip_accents(tune)), '[^\\p{L}\\p{N}]+', '', 'g') AS key, tune, row_id, recording_date, venue FROM tracks WHERE trim(tune) <> ''),
 c AS (SELECT key, tune, count(*) AS n, min(row_id) AS p FROM t GROUP BY 1, 2),
 m AS (SELECT key, arg_max(tune, {'n': n, 'p': -p}) AS title FROM c GROUP BY 1)
 SELECT key, title, count(*) AS performances, count(*) FILTER (venue IS NOT NULL) AS at_venues, min(recording_date) AS first_recorded, max(recording_date) AS last_recorded
