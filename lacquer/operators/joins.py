@@ -164,9 +164,9 @@ def zip_equal(left: DataFrame, right: DataFrame, by: str, pos: str) -> DataFrame
 
     ``pos`` counts from 1 in each ``by``.
     """
-    a = left.withColumn("_n", F.count("*").over(Window.partitionBy(by)))
-    b = right.withColumn("_n", F.count("*").over(Window.partitionBy(by)))
-    return a.join(b, [by, pos, "_n"]).drop("_n")
+    size = lambda df: df.groupBy(by).agg(F.max(pos).alias("_n"))
+    same = size(left).join(size(right), [by, "_n"]).select(by)
+    return left.join(right, [by, pos]).join(same, by, "left_semi")
 
 
 def candidate_state(pairs: DataFrame, key: str, candidate: str, date: str, own: str) -> DataFrame:

@@ -9,18 +9,24 @@ from pyspark.sql import functions as F
 def segments(df: DataFrame, by: list[str], order: list[str], label: str, number: str) -> DataFrame:
     """``segment``, counted from 1 in each group: a new one starts where the label changes or the number doesn't rise.
 
-    Numbers are carried over rows without one until the label changes. Two windows over
-    one partitioning; the carried number is the last one since the last change of label.
+    Numbers are carried over rows without one until the label changes. A hot group is
+    split over tasks as in :func:`spread_number`; a part is given the label before it, the
+    number carried so far and the segments counted so far.
     """
-    w = Window.partitionBy(*by).orderBy(*order)
-    prev = F.lag(label).over(w)
-    d = df.withColumn("_first", F.row_number().over(w) == 1).withColumn("_hard", ~F.col(label).eqNullSafe(prev) & ~F.col("_first"))
-    d = d.withColumn("_run", F.sum(F.when(F.col("_hard") & F.col(number).isNull(), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy(*by, "_run").orderBy(*order)
-    carried = F.last(number, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    d = d.withColumn("_soft", F.coalesce((F.col(number) <= carried), F.lit(False)))
-    new = F.when(F.col("_hard") | F.col("_soft") | F.col("_first"), 1).otherwise(0)
-    return d.withColumn("segment", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_first", "_hard", "_run", "_soft")
+    w = Window.partitionBy("_part", *by).orderBy(*order)
+    at = F.struct(*order)
+    d = _earlier(_spread(df, by, order), by, F.max_by(F.struct(label), at), F.last, "_left")
+    d = d.withColumn("_prev", F.coalesce(F.lag(F.struct(label)).over(w), F.col("_left")))
+    first = F.col("_prev").isNull()
+    hard = ~first & ~F.col(label).eqNullSafe(F.col("_prev")[label])
+    # what sets the carried number: a number, or a change of label that has none and clears it
+    d = d.withColumn("_first", first).withColumn("_hard", hard).withColumn("_set", F.when(F.col(number).isNotNull() | hard, F.struct(F.col(number).alias("no"))))
+    d = _earlier(d, by, F.max_by("_set", F.when(F.col("_set").isNotNull(), at)), lambda v: F.last(v, ignorenulls=True), "_held")
+    carried = F.coalesce(F.last("_set", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_held"))["no"]
+    new = F.when(F.col("_hard") | F.coalesce(F.col(number) <= carried, F.lit(False)) | F.col("_first"), 1).otherwise(0)
+    d = _earlier(d.withColumn("_new", new), by, F.sum("_new"), F.sum, "_off")
+    here = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return d.select(*df.columns, (here + F.coalesce("_off", F.lit(0))).cast("int").alias("segment"))
 
 
 def leftmost_spans(spans: Column) -> Column:
@@ -41,6 +47,28 @@ def state_groups(lines: DataFrame, by: str, pos: str, opens: Column) -> DataFram
     return lines.withColumn("group", F.sum(F.when(opens, 1).otherwise(0)).over(w)).where(F.col("group") > 0)
 
 
+def _spread(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``df`` range-partitioned by group and order, with ``_part``; rows of equal order are in one part."""
+    from lacquer.session import cut
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.repartitionByRange(parts, *[F.col(c) for c in [*by, *order]]).withColumn("_part", F.spark_partition_id()))
+
+
+def _earlier(d: DataFrame, by: list[str], value: Column, over, out: str) -> DataFrame:
+    """``out``: ``over`` the value of each earlier part of the row's group; null in its first part.
+
+    Only a group that goes on into another part has any, so there are fewer than parts.
+    """
+    w = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    had = d.groupBy("_part", *by).agg(value.alias("_v")).withColumn(out, over(F.col("_v")).over(w)).where(F.col(out).isNotNull())
+    had = had.select(F.col("_part").alias("_q"), *[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], out)
+    same = F.col("_part") == F.col("_q")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_b{i}"))
+    return d.join(F.broadcast(had), same, "left").drop("_q", *[f"_b{i}" for i in range(len(by))])
+
+
 def spread_number(df: DataFrame, by: list[str], order: list[str], out: str) -> DataFrame:
     """``row_number() over (partition by by order by order)`` that splits a hot group over tasks.
 
@@ -48,19 +76,16 @@ def spread_number(df: DataFrame, by: list[str], order: list[str], out: str) -> D
     partition plus the group's rows in earlier partitions, of which there is one count
     per group and partition.
     """
-    from lacquer.session import cut
+    d = _earlier(_spread(df, by, order), by, F.count("*"), F.sum, "_off")
+    here = F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order))
+    return d.select(*df.columns, (here + F.coalesce("_off", F.lit(0))).alias(out))
 
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(c) for c in [*by, *order]]
-    placed = cut(df.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id()))
-    local = placed.withColumn("_i", F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order)))
-    sizes = placed.groupBy("_part", *by).agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    off = sizes.select(F.col("_part").alias("_q"), *[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], before.alias("_off"))
-    same = F.col("_part") == F.col("_q")
-    for i, c in enumerate(by):
-        same = same & F.col(c).eqNullSafe(F.col(f"_b{i}"))
-    return local.join(off, same).select(*df.columns, (F.col("_i") + F.col("_off")).alias(out))
+
+def spread_dense_rank(df: DataFrame, by: list[str], order: list[str], out: str) -> DataFrame:
+    """``dense_rank() over (partition by by order by order)``, split as in :func:`spread_number`."""
+    here = F.dense_rank().over(Window.partitionBy("_part", *by).orderBy(*order))
+    d = _earlier(_spread(df, by, order).withColumn("_i", here), by, F.max("_i").cast("bigint"), F.sum, "_off")
+    return d.select(*df.columns, (F.col("_i") + F.coalesce("_off", F.lit(0))).alias(out))
 
 
 def distinct_names(df: DataFrame, facet: str, name: str, extra: str, pos: str, out: str = "unique_name") -> DataFrame:

@@ -353,8 +353,9 @@ b AS (SELECT m.release_id, row_number() OVER (PARTITION BY m.release_id ORDER BY
 SELECT release_id, pos, title, ext_title FROM a JOIN b USING (release_id, pos, n)
 """)
 def zip_equal_length(spark, d):
-    t = released(spark, d)
-    a = t.select("release_id", F.row_number().over(Window.partitionBy("release_id").orderBy(F.col("disc_number").asc_nulls_last(), F.col("track_number").asc_nulls_last(), "row_id")).alias("pos"), "title")
+    t = table(spark, d, "tracks").where("release_id is not null")
+    t = t.select("release_id", F.isnull("disc_number").alias("no_disc"), "disc_number", F.isnull("track_number").alias("no_track"), "track_number", "row_id", "title")
+    a = ordered.spread_number(t, ["release_id"], ["no_disc", "disc_number", "no_track", "track_number", "row_id"], "pos").select("release_id", "pos", "title")
     r = table(spark, d, "releases").select("release_id", F.lower("title").alias("k"))
     e = table(spark, d, "ext_releases").select("ext_release_id", F.lower("title").alias("k"))
     m = r.join(e, "k").groupBy("release_id").agg(F.min("ext_release_id").alias("ext_release_id"))

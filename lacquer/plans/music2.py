@@ -197,7 +197,7 @@ c AS (SELECT *, last_value(no IGNORE NULLS) OVER (PARTITION BY release_id, disc,
 SELECT row_id, CAST(sum(CASE WHEN fst OR chg OR coalesce(no <= carried, false) THEN 1 ELSE 0 END) OVER (PARTITION BY release_id, disc ORDER BY no NULLS FIRST, row_id ROWS UNBOUNDED PRECEDING) AS INTEGER) AS segment FROM c
 """)
 def work_segments(spark, d):
-    t = released(spark, d).select("row_id", "release_id", F.coalesce("disc_number", F.lit(0)).alias("disc"), "composer", "track_number")
+    t = table(spark, d, "tracks").where("release_id is not null").select("row_id", "release_id", F.coalesce("disc_number", F.lit(0)).alias("disc"), "composer", "track_number")
     return ordered.segments(t, ["release_id", "disc"], ["track_number", "row_id"], "composer", "track_number").select("row_id", "segment")
 
 
@@ -249,18 +249,17 @@ WITH x AS (SELECT row_id, release_id, regexp_replace(regexp_replace(lower(filena
 SELECT row_id, dense_rank() OVER (PARTITION BY release_id ORDER BY k) AS place FROM x
 """)
 def natural_rank(spark, d):
-    t = released(spark, d).where("filename is not null")
-    w = Window.partitionBy("release_id").orderBy(ordered.natural_key(F.col("filename")))
-    return t.select("row_id", F.dense_rank().over(w).cast("bigint").alias("place"))
+    t = table(spark, d, "tracks").where("release_id is not null and filename is not null").select("row_id", "release_id", ordered.natural_key(F.col("filename")).alias("k"))
+    return ordered.spread_dense_rank(t, ["release_id"], ["k"], "place").select("row_id", F.col("place").cast("bigint").alias("place"))
 
 
 @query("""
 SELECT row_id, row_number() OVER (PARTITION BY release_id ORDER BY coalesce(nullif(recording_date, ''), '9999'), coalesce(tune, ''), coalesce(track_number, 0), path, row_id) AS place FROM tracks JOIN (SELECT release_id FROM releases WHERE track_count > 0) USING (release_id)
 """)
 def chronological_place(spark, d):
-    t = released(spark, d)
     keys = ordered.chronological(F.col("recording_date"), F.col("tune"), F.col("track_number"), F.col("path"))
-    return t.select("row_id", F.row_number().over(Window.partitionBy("release_id").orderBy(*keys, "row_id")).cast("bigint").alias("place"))
+    t = table(spark, d, "tracks").where("release_id is not null").select("row_id", "release_id", *[k.alias(f"k{i}") for i, k in enumerate(keys)])
+    return ordered.spread_number(t, ["release_id"], [*[f"k{i}" for i in range(len(keys))], "row_id"], "place").select("row_id", F.col("place").cast("bigint").alias("place"))
 
 
 @query("""
