@@ -86,6 +86,12 @@ d AS (SELECT arg_min({'kind': kind, 'confidence': confidence, 's': s, 'm': m}, p
 SELECT b.kind AS kind, b.confidence AS confidence, CAST(len(members) AS BIGINT) AS n, members[1] AS first_member, members[-1] AS last_member, b.s - b.m AS reclaimable FROM d
 """)
 def duplicate_clusters(spark, d):
+    c = groups.clusters(*_duplicates(spark, d), "release_id", "bytes")
+    return c.select("kind", "confidence", "n", "first_member", "last_member", "reclaimable")
+
+
+def _duplicates(spark, d):
+    """Releases with their bytes, and the rules by which they are duplicates."""
     b = table(spark, d, "tracks").groupBy("release_id").agg(F.sum("size_bytes").alias("bytes"))
     r = table(spark, d, "releases").select("release_id", "folder_name", "title").join(b, "release_id")
     folder, title = text.letters_key(F.col("folder_name")), F.substring(text.letters_key(F.col("title")), 1, 40)
@@ -93,8 +99,24 @@ def duplicate_clusters(spark, d):
         ("folder and size", "high", F.when(folder != "", F.concat(folder, F.lit("|"), F.col("bytes").cast("string")))),
         ("title", "low", F.when(~F.lower("title").isin("loose files", "untitled session"), title)),
     ]
-    c = groups.clusters(r, by_rule, "release_id", "bytes")
-    return c.select("kind", "confidence", "n", "first_member", "last_member", "reclaimable")
+    return r, by_rule
+
+
+@query()
+def duplicate_cluster_members(spark, d):
+    """One row per member of each of the duplicate clusters, with its size; kind and key name the cluster."""
+    r, by_rule = _duplicates(spark, d)
+    c = groups.clusters(r, by_rule, "release_id", "bytes").select("kind", "key", "n", "first_member", "last_member")
+    return groups.cluster_members(r, by_rule, "release_id", "bytes").join(c, ["kind", "key"]).select("kind", "confidence", "key", "n", "first_member", "last_member", F.col("member").alias("release_id"), F.col("size").alias("bytes"))
+
+
+@query()
+def duplicate_content_members(spark, d):
+    """One row per release whose contents another has too; its group is named by n and the first release."""
+    k = groups.multiset_key(table(spark, d, "tracks").where("release_id is not null"), "release_id", ["filename", "size_bytes"]).withColumnRenamed("n", "rows")
+    by = ["rows", "h1", "h2"]
+    g = k.groupBy(*by).agg(F.count("*").alias("n"), F.min("release_id").alias("first_release"), F.max("release_id").alias("last_release")).where("n > 1")
+    return k.join(g, by).select("n", "first_release", "last_release", "release_id")
 
 
 @query("""

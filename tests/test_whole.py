@@ -51,3 +51,16 @@ def test_a_hot_group_is_ranked_and_cut_over_parts(spark):
         carried, prev, want[i] = no if no is not None else carried, label, seg
     got = {(r.g, r.i): r.segment for r in ordered.segments(df, ["g"], ["i"], "label", "no").collect()}
     assert {i: got["h", i] for i in range(400)} == want and got["c", 1] == 1
+
+
+def test_duplicates_name_every_member(spark, sf):
+    run = lambda q: registry.queries()[q](spark, sf).collect()
+    named = {}
+    for r in run("duplicate_cluster_members"):
+        named.setdefault((r.kind, r.key), []).append((r.release_id, r.bytes))
+    facts = [(k[0], len(m), min(m)[0], max(m)[0], sum(b or 0 for _, b in m) - max(b or 0 for _, b in m)) for k, m in named.items()]
+    assert sorted(facts) == sorted((r.kind, r.n, r.first_member, r.last_member, r.reclaimable) for r in run("duplicate_clusters")) and facts
+    same = {}
+    for r in run("duplicate_content_members"):
+        same.setdefault((r.n, r.first_release, r.last_release), set()).add(r.release_id)
+    assert sorted((len(m), min(m), max(m)) for m in same.values()) == sorted((r.n, r.first_release, r.last_release) for r in run("duplicate_contents"))
