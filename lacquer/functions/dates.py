@@ -10,7 +10,7 @@ _NAMES = {m: i for i, m in enumerate(_MONTHS, 1)} | {m[:3]: i for i, m in enumer
 _ALT = "|".join(sorted(_NAMES, key=len, reverse=True))
 _YEAR = r"(19[3-7]\d)"
 
-# Patterns from the most specific on, with the groups of year, month and day; specificity beats position.
+# How dates are written, from the most specific on, with the groups of year, month and day.
 PATTERNS = (
     ("day", rf"\b{_YEAR}[-.](\d{{1,2}})[-.](\d{{1,2}})\b", 1, 2, 3),
     ("day", rf"(?i)\b{_YEAR}\s*,\s*({_ALT})\.?\s+(\d{{1,2}})\b", 1, 2, 3),

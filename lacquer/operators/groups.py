@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lacquer.operators.ordered import spread_number
+
 
 def majority(df: DataFrame, by: list[str], value: str, pos: str, out: str = "value") -> DataFrame:
     """The commonest non-blank value of each group, ties to the one seen first.
@@ -175,10 +177,10 @@ def claims(df: DataFrame, entity: str, field: str, value: str, source: str, stre
     from lacquer.functions.rules import verdict
 
     v = df.where(F.trim(F.col(value)) != "").groupBy(entity, field, value).agg(F.count_distinct(source).alias("sources"), F.max(strength).alias("strength"))
-    w = Window.partitionBy(entity, field)
-    ranked = v.withColumn("values", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.desc("sources"), F.desc("strength"), value)))
-    best = ranked.where("_r = 1")
-    return best.select(entity, field, F.col(value).alias("best"), "values", "sources", "strength", verdict(F.col("values"), F.col("sources"), F.col("strength")).alias("state"))
+    first = F.struct((-F.col("sources")).alias("o1"), (-F.col("strength")).alias("o2"), F.col(value).alias("o3"))
+    best = v.groupBy(entity, field).agg(F.count("*").alias("values"), F.min_by(F.struct(F.col(value).alias("best"), "sources", "strength"), first).alias("_b"))
+    best = best.select(entity, field, "_b.best", "values", "_b.sources", "_b.strength")
+    return best.withColumn("state", verdict(F.col("values"), F.col("sources"), F.col("strength")))
 
 
 def coverage(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
@@ -199,19 +201,30 @@ def longest_by(df: DataFrame, key: Column, value: str, pos: str) -> DataFrame:
 
 
 def copies(members: DataFrame, cluster: str, member: str, tier_rank: str, size: str, identical: str, confidence: str) -> DataFrame:
-    """Clusters with their copies, best first, which of them to keep (0), and whether the rest is safe to remove.
+    """The copies of each cluster as rows: cluster, member, size, copy (0 is to be kept), safe.
 
     The best copy has the best quality, then the largest size, then the smallest name;
-    removing others is safe only in clusters of high confidence and identical content.
+    removing others is safe only in clusters of high confidence and identical content. A
+    cluster is never gathered, so it may hold any number of copies.
     """
-    one = F.struct(F.col(tier_rank).alias("rank"), (-F.coalesce(F.col(size), F.lit(0))).alias("o"), F.col(member).alias("member"), F.col(size).alias("size"))
-    g = members.groupBy(cluster).agg(F.array_sort(F.collect_list(one)).alias("x"), F.bool_and(identical).alias("_i"), F.bool_and(F.col(confidence) == "high").alias("_c"))
-    listed = F.transform("x", lambda e: F.struct(e["member"].alias("member"), e["size"].alias("size")))
-    return g.select(cluster, listed.alias("copies"), F.lit(0).alias("keep"), (F.col("_i") & F.col("_c")).alias("safe"))
+    best = F.struct(F.col(tier_rank).alias("r"), (-F.coalesce(F.col(size), F.lit(0))).alias("o"), F.col(member).alias("m"))
+    g = members.groupBy(cluster).agg(F.bool_and(identical).alias("_i"), F.bool_and(F.col(confidence) == "high").alias("_c"))
+    rows = members.select(cluster, F.col(member).alias("member"), F.col(size).alias("size"), best["r"].alias("_r"), best["o"].alias("_o"))
+    ranked = spread_number(rows, [cluster], ["_r", "_o", "member"], "_n")
+    return ranked.join(g, cluster).select(cluster, "member", "size", (F.col("_n") - 1).alias("copy"), F.coalesce(F.col("_i") & F.col("_c"), F.lit(False)).alias("safe"))
+
+
+def ranked_proposals(proposals: DataFrame, key: str, candidate: str, score: str) -> DataFrame:
+    """Each candidate with its place among those of its key: highest score first, smallest candidate on ties."""
+    p = proposals.select(key, F.col(candidate).alias("candidate"), F.col(score).alias("certainty"), (-F.col(score)).alias("_o"))
+    return spread_number(p, [key], ["_o", "candidate"], "place").drop("_o")
 
 
 def attach_proposals(rows: DataFrame, proposals: DataFrame, key: str, candidate: str, score: str) -> DataFrame:
-    """Rows with their candidates' ids, best first, the best one and its score; none for rows without any."""
-    c = F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("o"), F.col(candidate).alias("c"))))
-    p = proposals.groupBy(key).agg(c.alias("_x")).select(key, F.transform("_x", lambda e: e["c"]).alias("candidates"), F.element_at("_x", 1)["c"].alias("best"), (-F.element_at("_x", 1)["o"]).alias("certainty"))
-    return rows.join(p, key, "left")
+    """Rows with how many candidates they have, the best one and its score; null for rows without any.
+
+    All candidates in their order are the rows of :func:`ranked_proposals`.
+    """
+    best = F.struct((-F.col(score)).alias("o"), F.col(candidate).alias("c"))
+    p = proposals.groupBy(key).agg(F.count("*").alias("candidates"), F.min(best).alias("_b"))
+    return rows.join(p.select(key, "candidates", F.col("_b.c").alias("best"), (-F.col("_b.o")).alias("certainty")), key, "left")

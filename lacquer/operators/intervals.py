@@ -11,6 +11,9 @@ lists; gaps are their complement between the first start and the last end.
 
 from __future__ import annotations
 
+import heapq
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,32 +32,30 @@ def first_day(c: Column) -> Column:
     return F.when(t.rlike(_DATE), F.when(F.length(t) == 4, F.concat(t, F.lit("-01-01"))).when(F.length(t) == 7, F.concat(t, F.lit("-01"))).otherwise(t))
 
 
-def _empty(kind: str) -> Column:
-    return F.expr(f"cast(array() as array<struct<f:{kind},t:{kind}>>)")
+def merged(lists) -> list[tuple]:
+    """The disjoint union of sorted lists of (from, to) by one linear merge; touching intervals join."""
+    out: list[tuple] = []
+    for f, t in heapq.merge(*lists):
+        if out and f <= out[-1][1]:
+            if t > out[-1][1]:
+                out[-1] = (out[-1][0], t)
+        else:
+            out.append((f, t))
+    return out
 
 
-def merge_sorted(intervals: Column, kind: str = "string") -> Column:
-    """The disjoint union of an array of structs (f, t) sorted by f; touching intervals join."""
-    start = F.struct(_empty(kind).alias("done"), F.lit(None).cast(kind).alias("f"), F.lit(None).cast(kind).alias("t"))
+def merge_lists(lists: Column, kind: str) -> Column:
+    """Array of sorted interval lists (structs f, t) as their one disjoint list.
 
-    def step(acc: Column, x: Column) -> Column:
-        joins = x["f"] <= acc["t"]
-        return (
-            F.when(acc["f"].isNull(), F.struct(acc["done"].alias("done"), x["f"].alias("f"), x["t"].alias("t")))
-            .when(joins, F.struct(acc["done"].alias("done"), acc["f"].alias("f"), F.greatest(acc["t"], x["t"]).alias("t")))
-            .otherwise(
-                F.struct(
-                    F.concat(acc["done"], F.array(F.struct(acc["f"].alias("f"), acc["t"].alias("t")))).alias("done"),
-                    x["f"].alias("f"),
-                    x["t"].alias("t"),
-                )
-            )
-        )
+    Built-in array functions would copy the finished list at every step.
+    """
 
-    def finish(acc: Column) -> Column:
-        return F.when(acc["f"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(F.struct(acc["f"].alias("f"), acc["t"].alias("t")))))
+    @F.arrow_udf(f"array<struct<f:{kind},t:{kind}>>")
+    def run(column: pa.Array) -> pa.Array:
+        out = [[{"f": f, "t": t} for f, t in merged([[(x["f"], x["t"]) for x in one] for one in ls])] for ls in column.to_pylist()]
+        return pa.array(out, type=column.type.value_type)
 
-    return F.aggregate(intervals, start, step, finish)
+    return run(lists)
 
 
 def interval_union(df: DataFrame, entity: list[str], start: str, end: str, levels: list[Column]) -> DataFrame:
@@ -72,8 +73,8 @@ def interval_union(df: DataFrame, entity: list[str], start: str, end: str, level
     state = longest.select(*names, *[c.alias(k) for c, k in zip(levels, keys, strict=True)], F.array(F.struct(F.col("_f").alias("f"), F.col("_t").alias("t"))).alias("s"))
     for depth in range(len(levels) + 1):
         by = names + keys[depth:]
-        joined = state.groupBy(*by).agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("s"))
-        state = joined.select(*by, merge_sorted(F.col("s"), kind).alias("s"))
+        joined = state.groupBy(*by).agg(F.collect_list("s").alias("s"))
+        state = joined.select(*by, merge_lists(F.col("s"), kind).alias("s"))
     return state.select(*[F.col(n).alias(e) for n, e in zip(names, entity, strict=True)], F.col("s").alias("periods"))
 
 

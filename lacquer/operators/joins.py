@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from lacquer.functions.dates import mid_period
 from lacquer.functions.text import flat, leaf
-
+from lacquer.operators.ordered import carry, spread, spread_number
 
 #: Rows up to which a literal list or vocabulary counts as small.
 SMALL = 10_000
+#: Rows up to which an ordered list of intervals is compared one by one.
+FEW = 200
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -37,37 +39,48 @@ def prefix_join(files: DataFrame, folder: str, releases: DataFrame, key: str) ->
 def asof_join(left: DataFrame, at: str, right: DataFrame, start: str, by: list[str] | None = None) -> DataFrame:
     """Each left row with the last right row whose ``start`` is not after ``at``, compared as text.
 
-    Both sides are merged into one ordered stream per ``by`` and the last right row is
-    carried forward, so there is no range join. Without ``by`` the right side becomes
-    intervals and meets the left by a broadcast of a checked few rows.
+    Both sides are merged into one stream that is range-partitioned by ``by`` and time;
+    within a part the last right row is carried forward, and from part to part one row per
+    group that goes on, so there is no range join and a hot group is split over tasks.
+    Without ``by`` a right side of at most ``FEW`` rows meets the left one by one instead.
+    Of right rows with equal start the largest wins; a null ``at`` meets none.
     """
-    names = [c for c in right.columns if c not in (by or [])]
-    if by:
-        r = right.select(*by, F.col(start).alias("_at"), F.lit(0).alias("_side"), F.struct(*names).alias("_r"))
-        lcols = [c for c in left.columns if c not in by]
-        l_ = left.select(*by, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.struct(*lcols).alias("_l"))
-        both = l_.unionByName(r, allowMissingColumns=True)
-        order = Window.partitionBy(*by).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-        done = both.withColumn("_r", F.last("_r", ignorenulls=True).over(order)).where("_side = 1")
-        return done.select(*by, "_l.*", *[F.when(F.col("_at").isNotNull(), F.col(f"_r.{c}")).alias(c) for c in names])
-    spans = right.withColumn("_until", F.lead(start).over(Window.orderBy(start)))
-    cond = (F.col(at) >= F.col(start)) & (F.col("_until").isNull() | (F.col(at) < F.col("_until")))
-    return left.join(small(spans), cond, "left").drop("_until")
-
-
-def interval_join(left: DataFrame, at: str, right: DataFrame, start: str, end: str, order: str, by: list[str], key: list[str]) -> DataFrame:
+    by = by or []
+    names = [c for c in right.columns if c not in by]
+    if not by and right.limit(FEW + 1).count() <= FEW:
+        last = right.groupBy(F.col(start).alias("_from")).agg(F.max(F.struct(*names)).alias("_r"))
+        spans = last.withColumn("_until", F.lead("_from").over(Window.orderBy("_from")))
+        cond = (F.col(at) >= F.col("_from")) & (F.col("_until").isNull() | (F.col(at) < F.col("_until")))
+        return left.join(F.broadcast(spans), cond, "left").select(*left.columns, *[F.col(f"_r.{c}").alias(c) for c in names])
+    r = right.select(*by, F.col(start).alias("_at"), F.lit(0).alias("_side"), F.struct(*names).alias("_r")).where("_at is not null")
+    lcols = [c for c in left.columns if c not in by]
+    l_ = left.select(*by, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.struct(*lcols).alias("_l"))
+    both = spread(l_.unionByName(r, allowMissingColumns=True), by, ["_at", "_side"])
+    both = carry(both, by, F.max_by("_r", F.when(F.col("_side") == 0, F.struct("_at", "_r"))), lambda v: F.last(v, ignorenulls=True), "_before")
+    order = Window.partitionBy("_part", *by).orderBy("_at", "_side", "_r").rowsBetween(Window.unboundedPreceding, 0)
+    done = both.withColumn("_r", F.coalesce(F.last("_r", ignorenulls=True).over(order), F.col("_before"))).where("_side = 1")
+    return done.select(*by, "_l.*", *[F.when(F.col("_at").isNotNull(), F.col(f"_r.{c}")).alias(c) for c in names])
+
+
+def interval_join(left: DataFrame, at: str, right: DataFrame, start: str, end: str, order: str, by: list[str]) -> DataFrame:
     """Each left row with the first right row (by ``order``) of its ``by`` with start <= date < end.
 
-    Partial dates are completed to mid-period. ``key`` names a left row.
+    Partial dates are completed to mid-period. Before the two sides meet, the left is
+    reduced to its distinct days and the right to the first row of each span, so a hot
+    group is no larger than its days; they meet by year.
     """
     d = mid_period(F.col(at))
-    cond = [F.col(f"_l.{b}") == F.col(f"_r.{b}") for b in by] + [d >= F.col(f"_r.{start}"), d < F.col(f"_r.{end}")]
-    on = cond[0]
-    for c in cond[1:]:
-        on = on & c
     names = [c for c in right.columns if c not in by]
-    hit = left.alias("_l").join(right.alias("_r"), on).groupBy(*[F.col(f"_l.{k}") for k in key]).agg(F.min_by(F.struct(*[F.col(f"_r.{c}") for c in names]), F.col(f"_r.{order}")).alias("_hit"))
-    return left.join(hit, key, "left").select(*left.columns, *[F.col(f"_hit.{c}").alias(c) for c in names])
+    year = lambda c: F.substring(c, 1, 4).try_cast("int")
+    days = left.select(*by, d.alias("_d")).where("_d is not null").distinct().withColumn("_y", year(F.col("_d")))
+    ends = days.agg(F.min("_y").alias("lo"), F.max("_y").alias("hi")).first()
+    lo, hi = (ends["lo"] or 0), (ends["hi"] or 0)
+    spans = right.groupBy(*by, start, end).agg(F.min_by(F.struct(*names), order).alias("_hit")).where(F.col(start) < F.col(end))
+    first, last = F.greatest(year(F.col(start)), F.lit(lo)), F.least(year(F.col(end)), F.lit(hi))
+    spans = spans.withColumn("_y", F.explode(F.when(first <= last, F.sequence(first, last))))
+    hit = days.join(spans, [*by, "_y"]).where((F.col("_d") >= F.col(start)) & (F.col("_d") < F.col(end)))
+    best = hit.groupBy(*by, "_d").agg(F.min_by("_hit", f"_hit.{order}").alias("_hit"))
+    return left.withColumn("_d", d).join(best, [*by, "_d"], "left").select(*left.columns, *[F.col(f"_hit.{c}").alias(c) for c in names])
 
 
 def text_words(text: Column) -> Column:
@@ -75,15 +88,16 @@ def text_words(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(flat(text), r"[^\p{L}\p{N}']+", " "), " "), lambda w: w != "")
 
 
-def dictionary_hits(texts: DataFrame, key: str, text: str, vocab: DataFrame, term: str, longest: int = 6) -> DataFrame:
+def dictionary_hits(texts: DataFrame, key: str, text: str, vocab: DataFrame, term: str) -> DataFrame:
     """Every whole-word occurrence of a vocabulary term: key, pos (from 1), and the vocabulary's columns.
 
     A text's words are made once and spread; each meets the terms that begin with it and
-    the following words decide. Terms of more than ``longest`` words match nothing.
+    the following words decide, as many as the longest term has.
     """
+    v = vocab.withColumn("_term", F.array_join(text_words(F.col(term)), " ")).where("_term <> ''").withColumn("_first", F.substring_index("_term", " ", 1))
+    longest = v.agg(F.max(F.size(F.split("_term", " ")))).first()[0] or 1
     words = texts.select(F.col(key), text_words(F.col(text)).alias("_w")).select(key, "_w", F.posexplode("_w").alias("_p", "_first"))
     words = words.select(key, (F.col("_p") + 1).alias("pos"), "_first", F.concat(F.array_join(F.slice("_w", F.col("_p") + 1, F.lit(longest)), " "), F.lit(" ")).alias("_run"))
-    v = vocab.withColumn("_term", F.array_join(text_words(F.col(term)), " ")).where("_term <> ''").withColumn("_first", F.substring_index("_term", " ", 1))
     met = words.join(small(v), "_first").where(F.col("_run").startswith(F.concat("_term", F.lit(" "))))
     return met.drop("_first", "_run", "_term")
 
@@ -141,13 +155,15 @@ def set_overlap(left: DataFrame, lkey: str, right: DataFrame, rkey: str, item: s
     freq = b.groupBy("_i").agg(F.count("*").alias("_df"))
     na = a.groupBy(lkey).agg(F.count("*").alias("left_size"))
     nb = b.groupBy(rkey).agg(F.count("*").alias("right_size"))
-    ranked = a.join(freq, "_i").join(na, lkey).withColumn("_r", F.row_number().over(Window.partitionBy(lkey).orderBy("_df", "_i")))
-    # items of the left set that the other side lacks are its rarest; they need no index
-    have = ranked.withColumn("_have", F.count("*").over(Window.partitionBy(lkey)))
     need = F.ceil(F.col("left_size") * share)
-    prefix = have.where((F.col("_have") >= need) & (F.col("_r") <= F.col("_have") - need + 1)).select(lkey, "_i")
-    cand = prefix.join(b, "_i").select(lkey, rkey).distinct()
-    full = cand.join(a, lkey).join(b, [rkey, "_i"]).groupBy(lkey, rkey).agg(F.count("*").alias("shared"))
+    # items of the left set that the other side lacks are its rarest; they need no index
+    have = a.join(freq, "_i")
+    enough = have.groupBy(lkey).agg(F.count("*").alias("_have")).join(na, lkey).where(F.col("_have") >= need)
+    ranked = spread_number(have.join(enough, lkey), [lkey], ["_df", "_i"], "_r")
+    prefix = ranked.where(F.col("_r") <= F.col("_have") - need + 1).select(lkey, "_i", need.alias("_need"))
+    cand = prefix.join(b, "_i").select(lkey, rkey, "_need").distinct().join(nb.where(F.col("right_size") >= least), rkey).where("right_size >= _need").select(lkey, rkey)
+    # the right sets are spread first: a hot left set is met item by item and never copied
+    full = cand.join(b, rkey).join(a, [lkey, "_i"]).groupBy(lkey, rkey).agg(F.count("*").alias("shared"))
     out = full.join(na, lkey).join(nb, rkey).where((F.col("shared") >= least) & (F.col("shared") >= F.col("left_size") * share))
     return out.withColumn("of_left", F.col("shared") / F.col("left_size")).withColumn("of_right", F.col("shared") / F.col("right_size"))
 
@@ -169,17 +185,20 @@ def zip_equal(left: DataFrame, right: DataFrame, by: str, pos: str) -> DataFrame
     return left.join(right, [by, pos]).join(same, by, "left_semi")
 
 
-def candidate_state(pairs: DataFrame, key: str, candidate: str, date: str, own: str) -> DataFrame:
-    """How certain a row's candidate is: unique, corroborated by exactly one equal date, or ambiguous."""
-    d = pairs.select(key, candidate, date, own).distinct()
-    n = d.groupBy(key).agg(
-        F.count_distinct(candidate).alias("candidates"),
-        F.count_if(F.col(date) == F.col(own)).alias("same_date"),
-        F.min(candidate).alias("_one"),
-        F.min(F.when(F.col(date) == F.col(own), F.col(candidate))).alias("_dated"),
-    )
-    state = F.when(F.col("candidates") == 1, "unique").when(F.col("same_date") == 1, "corroborated").otherwise("ambiguous")
-    return n.select(key, "candidates", state.alias("state"), F.when(F.col("candidates") == 1, F.col("_one")).when(F.col("same_date") == 1, F.col("_dated")).alias("chosen"))
+def candidate_state(rows: DataFrame, key: str, by: str, own: str, sessions: DataFrame, candidate: str, date: str) -> DataFrame:
+    """How certain a row's candidate is: unique, corroborated by exactly one equal date, or ambiguous.
+
+    A row meets the facts of its ``by`` and of its ``by`` and date, never the sessions
+    themselves, so a hot ``by`` costs two rows. Rows without a session are left out.
+    """
+    s = sessions.select(F.col(by).alias("_k"), F.col(candidate).alias("_c"), F.col(date).alias("_d")).where("_c is not null")
+    every = s.groupBy("_k").agg(F.count_distinct("_c").alias("candidates"), F.min("_c").alias("_one"))
+    dated = s.groupBy("_k", "_d").agg(F.count_distinct("_c").alias("same_date"), F.min("_c").alias("_dated"))
+    r = rows.select(key, F.col(by).alias("_k"), F.col(own).alias("_d"))
+    j = r.join(every, "_k").join(dated, ["_k", "_d"], "left")
+    sure, day = F.col("candidates") == 1, F.col("same_date") == 1
+    state = F.when(sure, "unique").when(day, "corroborated").otherwise("ambiguous")
+    return j.select(key, "candidates", state.alias("state"), F.when(sure, F.col("_one")).when(day, F.col("_dated")).alias("chosen"))
 
 
 def override(base: DataFrame, overrides: DataFrame, key: str, fields: list[str], action: str = "action") -> DataFrame:
@@ -204,3 +223,24 @@ def greedy_match(ours: Column, theirs: Column, tolerance: float) -> Column:
         return F.when(near <= tolerance, F.struct((acc["n"] + 1).alias("n"), rest.alias("left"))).otherwise(acc)
 
     return F.aggregate(F.array_sort(ours), start, step, lambda acc: acc["n"])
+
+
+def near_values(left: DataFrame, lkey: str, lvalue: str, pairs: DataFrame, right: DataFrame, rkey: str, rvalue: str, tolerance: float) -> DataFrame:
+    """The values of each pair's left side that :func:`greedy_match` can use: lkey, rkey, ``_v`` as an array.
+
+    A right value is taken after at most as many near left values as the right side has
+    values at all, so only the smallest that many left values near a right one matter.
+    This bounds what is gathered by the right side, whatever the left one holds; both
+    meet in buckets of the tolerance.
+    """
+    bucket = lambda c: F.floor(c / tolerance)
+    r = right.select(F.col(rkey), F.col(rvalue).alias("_y")).where("_y is not null")
+    size = r.groupBy(rkey).agg(F.count("*").alias("_m"))
+    asked = pairs.select(lkey, rkey).distinct().join(r.distinct(), rkey).join(size, rkey)
+    asked = asked.withColumn("_b", F.explode(F.array(*[bucket(F.col("_y")) + k for k in (-1, 0, 1)])))
+    values = left.select(lkey, F.col(lvalue).alias("_x")).where("_x is not null").groupBy(lkey, "_x").agg(F.count("*").alias("_n"))
+    met = asked.join(values.withColumn("_b", bucket(F.col("_x"))), [lkey, "_b"]).where(F.abs(F.col("_x") - F.col("_y")) <= tolerance)
+    w = Window.partitionBy(lkey, rkey, "_y").orderBy("_x")
+    few = met.withColumn("_r", F.row_number().over(w)).where("_r <= _m").groupBy(lkey, rkey, "_x").agg(F.min("_n").alias("_n"), F.max("_m").alias("_m"))
+    copies = F.flatten(F.collect_list(F.array_repeat("_x", F.least("_n", "_m").cast("int"))))
+    return few.groupBy(lkey, rkey).agg(F.array_sort(copies).alias("_v"))

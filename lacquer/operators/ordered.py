@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lacquer.session import cut
+
 
 def segments(df: DataFrame, by: list[str], order: list[str], label: str, number: str) -> DataFrame:
     """``segment``, counted from 1 in each group: a new one starts where the label changes or the number doesn't rise.
@@ -15,16 +17,16 @@ def segments(df: DataFrame, by: list[str], order: list[str], label: str, number:
     """
     w = Window.partitionBy("_part", *by).orderBy(*order)
     at = F.struct(*order)
-    d = _earlier(_spread(df, by, order), by, F.max_by(F.struct(label), at), F.last, "_left")
+    d = carry(spread(df, by, order), by, F.max_by(F.struct(label), at), F.last, "_left")
     d = d.withColumn("_prev", F.coalesce(F.lag(F.struct(label)).over(w), F.col("_left")))
     first = F.col("_prev").isNull()
     hard = ~first & ~F.col(label).eqNullSafe(F.col("_prev")[label])
     # what sets the carried number: a number, or a change of label that has none and clears it
     d = d.withColumn("_first", first).withColumn("_hard", hard).withColumn("_set", F.when(F.col(number).isNotNull() | hard, F.struct(F.col(number).alias("no"))))
-    d = _earlier(d, by, F.max_by("_set", F.when(F.col("_set").isNotNull(), at)), lambda v: F.last(v, ignorenulls=True), "_held")
+    d = carry(d, by, F.max_by("_set", F.when(F.col("_set").isNotNull(), at)), lambda v: F.last(v, ignorenulls=True), "_held")
     carried = F.coalesce(F.last("_set", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_held"))["no"]
     new = F.when(F.col("_hard") | F.coalesce(F.col(number) <= carried, F.lit(False)) | F.col("_first"), 1).otherwise(0)
-    d = _earlier(d.withColumn("_new", new), by, F.sum("_new"), F.sum, "_off")
+    d = carry(d.withColumn("_new", new), by, F.sum("_new"), F.sum, "_off")
     here = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
     return d.select(*df.columns, (here + F.coalesce("_off", F.lit(0))).cast("int").alias("segment"))
 
@@ -47,15 +49,13 @@ def state_groups(lines: DataFrame, by: str, pos: str, opens: Column) -> DataFram
     return lines.withColumn("group", F.sum(F.when(opens, 1).otherwise(0)).over(w)).where(F.col("group") > 0)
 
 
-def _spread(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+def spread(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """``df`` range-partitioned by group and order, with ``_part``; rows of equal order are in one part."""
-    from lacquer.session import cut
-
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return cut(df.repartitionByRange(parts, *[F.col(c) for c in [*by, *order]]).withColumn("_part", F.spark_partition_id()))
 
 
-def _earlier(d: DataFrame, by: list[str], value: Column, over, out: str) -> DataFrame:
+def carry(d: DataFrame, by: list[str], value: Column, over, out: str) -> DataFrame:
     """``out``: ``over`` the value of each earlier part of the row's group; null in its first part.
 
     Only a group that goes on into another part has any, so there are fewer than parts.
@@ -76,7 +76,7 @@ def spread_number(df: DataFrame, by: list[str], order: list[str], out: str) -> D
     partition plus the group's rows in earlier partitions, of which there is one count
     per group and partition.
     """
-    d = _earlier(_spread(df, by, order), by, F.count("*"), F.sum, "_off")
+    d = carry(spread(df, by, order), by, F.count("*"), F.sum, "_off")
     here = F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order))
     return d.select(*df.columns, (here + F.coalesce("_off", F.lit(0))).alias(out))
 
@@ -84,21 +84,53 @@ def spread_number(df: DataFrame, by: list[str], order: list[str], out: str) -> D
 def spread_dense_rank(df: DataFrame, by: list[str], order: list[str], out: str) -> DataFrame:
     """``dense_rank() over (partition by by order by order)``, split as in :func:`spread_number`."""
     here = F.dense_rank().over(Window.partitionBy("_part", *by).orderBy(*order))
-    d = _earlier(_spread(df, by, order).withColumn("_i", here), by, F.max("_i").cast("bigint"), F.sum, "_off")
+    d = carry(spread(df, by, order).withColumn("_i", here), by, F.max("_i").cast("bigint"), F.sum, "_off")
     return d.select(*df.columns, (F.col("_i") + F.coalesce("_off", F.lit(0))).alias(out))
 
 
 def distinct_names(df: DataFrame, facet: str, name: str, extra: str, pos: str, out: str = "unique_name") -> DataFrame:
-    """Names that are unique in a facet whatever their case.
+    """Names that are unique in a facet whatever their case, given out in the order of ``pos`` (unique).
+
+    A row takes the first free one of "name", "name (extra)", "name #2", "name #3" and so
+    on. All rows ask at once and a name goes to the earliest that asks for it; those turned
+    away ask for their next one, until none is. As the order is the same for all names,
+    that ends in what giving them out row by row would give.
 
-    The first keeps its name, a second tries "name (extra)", later ones and those whose
-    try is taken get "name #2", "#3" and so on.
+    Along the rows of one name the numbers rise, so each asks for the lowest number that
+    the rows before it and its own refusals leave, all at once: there are as many rounds
+    as names collide in turn, whatever the size of a group.
     """
-    d = spread_number(df.withColumn("_l", F.lower(name)), [facet, "_l"], [pos], "_n")
-    tried = F.when(F.col("_n") == 1, F.col(name)).when(F.trim(F.col(extra)) != "", F.concat(F.col(name), F.lit(" ("), F.col(extra), F.lit(")"))).otherwise(F.col(name))
-    d = d.withColumn("_t", tried).withColumn("_l", F.lower("_t"))
-    d = spread_number(d, [facet, "_l"], ["_n", pos], "_m")
-    return d.withColumn(out, F.when(F.col("_m") == 1, F.col("_t")).otherwise(F.concat(F.col("_t"), F.lit(" #"), F.col("_m").cast("string")))).drop("_l", "_n", "_t", "_m")
+    by = [facet, "_l"]
+    d = df.withColumn("_l", F.lower(name)).withColumn("_stage", F.lit(0)).withColumn("_low", F.lit(2).cast("bigint"))
+    tried = F.coalesce(F.trim(F.col(extra)), F.lit("")) != ""
+    w = Window.partitionBy("_part", *by).orderBy(pos)
+    so_far = lambda c: c.over(w.rowsBetween(Window.unboundedPreceding, 0))
+    while True:
+        n = carry(spread(d.where("_stage = 2"), by, [pos]), by, F.count("*"), F.sum, "_off")
+        n = n.withColumn("_r", F.row_number().over(w) + F.coalesce("_off", F.lit(0))).withColumn("_gap", F.col("_low") - F.col("_r"))
+        n = carry(n, by, F.max("_gap"), F.max, "_up").withColumn("_no", F.col("_r") + F.greatest(so_far(F.max("_gap")), F.col("_up")))
+        numbered = n.drop("_part", "_off", "_r", "_gap", "_up")
+        ask = (
+            F.when(F.col("_stage") == 0, F.col(name))
+            .when(F.col("_stage") == 1, F.concat(F.col(name), F.lit(" ("), F.col(extra), F.lit(")")))
+            .otherwise(F.concat(F.col(name), F.lit(" #"), F.col("_no").cast("string")))
+        )
+        asked = cut(d.where("_stage < 2").withColumn("_no", F.lit(None).cast("bigint")).unionByName(numbered).withColumn(out, ask).withColumn("_k", F.lower(out)))
+        asked = asked.join(asked.groupBy(facet, "_k").agg(F.min(pos).alias("_first")), [facet, "_k"])
+        won = F.col(pos) == F.col("_first")
+        if asked.where(~won).isEmpty():
+            return asked.select(*df.columns, out)
+        stage = F.when(won, F.col("_stage")).when((F.col("_stage") == 0) & tried, 1).otherwise(2)
+        low = F.when(F.col("_stage") == 2, F.when(won, F.col("_no")).otherwise(F.col("_no") + 1)).otherwise(F.col("_low"))
+        d = cut(asked.select(*df.columns, "_l", stage.alias("_stage"), low.alias("_low")))
+
+
+def year_headers(df: DataFrame, date: str, order: list[str]) -> DataFrame:
+    """``header``: the year of ``date`` on each row of an ordered table whose year differs from the row before, else null."""
+    d = spread(df.withColumn("_y", F.substring(F.coalesce(F.col(date), F.lit("")), 1, 4)), [], order)
+    d = carry(d, [], F.max_by("_y", F.struct(*order)), F.last, "_left")
+    before = F.coalesce(F.lag("_y").over(Window.partitionBy("_part").orderBy(*order)), F.col("_left"))
+    return d.select(*df.columns, F.when(~F.col("_y").eqNullSafe(before), F.col("_y")).alias("header"))
 
 
 def top_with_rest(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
@@ -111,10 +143,16 @@ def top_with_rest(df: DataFrame, by: list[str], order: list[Column], k: int) ->
     return first.join(total, by).withColumn("more", F.greatest(F.col("_t") - k, F.lit(0))).drop("_t")
 
 
-def natural_key(c: Column, width: int = 12) -> Column:
-    """A text key that sorts digit runs by value and the rest without case: runs are padded with zeros."""
-    pad = F.regexp_replace(F.lower(c), r"(\d+)", "0" * width + "$1")
-    return F.regexp_replace(pad, rf"0+(\d{{{width}}})(?!\d)", "$1")
+def natural_key(c: Column) -> Column:
+    """A text key that sorts digit runs by value and the rest without case.
+
+    A run is written without leading zeros behind its length, itself written as one
+    character, so runs of any length compare by value (up to 50,000 digits).
+    """
+    pieces = F.regexp_extract_all(F.lower(c), F.lit(r"(\d+|\D+)"), F.lit(1))
+    digits = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
+    coded = lambda p: F.concat(F.lit("0"), F.lpad(F.length(digits(p)).cast("string"), 5, "0"), digits(p))
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"^\d"), coded(p)).otherwise(p)), "")
 
 
 def chronological(date: Column, album: Column, number: Column, path: Column) -> list[Column]:
@@ -133,8 +171,6 @@ def dictionary_codes(df: DataFrame, value: str, pos: str) -> DataFrame:
     The distinct values are ranked by a range-partitioned sort and per-partition offsets,
     not by one window over everything.
     """
-    from lacquer.session import cut
-
     first = df.where(F.trim(F.col(value)) != "").groupBy(F.col(value).alias("value")).agg(F.min(pos).alias("_p"))
     parts = first.sparkSession.conf.get("spark.sql.shuffle.partitions")
     ordered = cut(first.repartitionByRange(int(parts), "_p", "value").sortWithinPartitions("_p", "value").withColumn("_part", F.spark_partition_id()))

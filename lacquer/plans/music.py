@@ -29,11 +29,6 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def released(spark: SparkSession, d: str) -> DataFrame:
-    """Tracks of real releases; a folder of loose files (track_count 0) is none."""
-    return table(spark, d, "tracks").join(table(spark, d, "releases").where("track_count > 0").select("release_id"), "release_id", "left_semi")
-
-
 # ------------------------------------------------------------- scans and projections
 
 
@@ -89,7 +84,7 @@ def disc_rollup(spark, d):
 
 @query("""
 SELECT probe_id, TRY_CAST(nullif(regexp_extract(bits_per_raw_sample, '^[0-9]+$'), '') AS BIGINT) AS bits, TRY_CAST(nullif(regexp_extract(sample_rate, '^[0-9]+$'), '') AS BIGINT) AS rate,
-       TRY_CAST(nullif(regexp_extract(list_filter(map_entries(tags), lambda e: lower(trim(e.key)) = 'track')[-1].value, '^\\s*(\\d{1,9})', 1), '') AS INTEGER) AS track
+       TRY_CAST(nullif(regexp_extract(list_filter(map_entries(tags), lambda e: lower(trim(e.key)) = 'track')[-1].value, '^\\s*(\\d+)', 1), '') AS BIGINT) AS track
 FROM raw_probe WHERE kind = 'audio'
 """)
 def safe_numbers(spark, d):
@@ -203,15 +198,17 @@ def min_group_filter(spark, d):
 
 
 @query("""
-SELECT r.release_id, e.ext_release_id FROM releases r JOIN ext_releases e ON lower(r.title) = lower(e.title)
-WHERE r.track_count >= 2 AND (e.track_count IS NULL OR (e.track_count >= 0.7 * r.track_count AND e.track_count <= greatest(4 * r.track_count, r.track_count + 30)))
+SELECT r.release_id, count(*) AS candidates, min(e.ext_release_id) AS first_candidate FROM releases r JOIN ext_releases e ON lower(r.title) = lower(e.title)
+WHERE r.track_count >= 2 AND (e.track_count IS NULL OR (e.track_count >= 0.7 * r.track_count AND e.track_count <= greatest(4 * r.track_count, r.track_count + 30))) GROUP BY 1
 """)
 def track_window(spark, d):
+    """External releases of a release's title with a plausible track count: titles meet by their counts, not copy by copy."""
     from lacquer.operators.reconcile import plausible_count
 
     r = table(spark, d, "releases").where("track_count >= 2").select("release_id", F.lower("title").alias("t"), F.col("track_count").alias("n"))
-    e = table(spark, d, "ext_releases").select("ext_release_id", F.lower("title").alias("t"), F.col("track_count").alias("m"))
-    return r.join(e, "t").where(plausible_count(F.col("n"), F.col("m"))).select("release_id", "ext_release_id")
+    e = table(spark, d, "ext_releases").groupBy(F.lower("title").alias("t"), F.col("track_count").alias("m")).agg(F.count("*").alias("k"), F.min("ext_release_id").alias("e"))
+    met = r.select("t", "n").distinct().join(e, "t").where(plausible_count(F.col("n"), F.col("m"))).groupBy("t", "n").agg(F.sum("k").alias("candidates"), F.min("e").alias("first_candidate"))
+    return r.join(met, ["t", "n"]).select("release_id", "candidates", "first_candidate")
 
 
 # ---------------------------------------------------------------------------- joins
@@ -228,13 +225,18 @@ def sidecars_below(spark, d):
     return joins.prefix_join(p.where("kind = 'sidecar'"), "dir", rel, "folder").groupBy("folder").agg(F.count("*").alias("sidecars"))
 
 
-@query("""
-WITH a AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, count(*) AS tracks FROM raw_probe WHERE kind = 'audio' AND path IS NOT NULL GROUP BY 1),
-c AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, count(*) AS containers, CAST(sum(size) AS BIGINT) AS container_bytes FROM raw_probe WHERE kind = 'container' AND path IS NOT NULL GROUP BY 1)
+_ROLLED = """
+WITH p AS (SELECT kind, size, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM raw_probe WHERE path IS NOT NULL),
+q AS (SELECT kind, size, CASE WHEN contains(dir, '/') AND regexp_matches(regexp_extract(dir, '[^/]*$'), '(?i)^(cd|disc|disk)\\s*\\.?\\s*\\d+\\b') THEN regexp_extract(dir, '^(.*)/[^/]*$', 1) ELSE dir END AS folder FROM p)
+"""
+
+
+@query(_ROLLED + """, a AS (SELECT folder, count(*) AS tracks FROM q WHERE kind = 'audio' GROUP BY 1),
+c AS (SELECT folder, count(*) AS containers, CAST(sum(size) AS BIGINT) AS container_bytes FROM q WHERE kind = 'container' GROUP BY 1)
 SELECT folder, coalesce(tracks, 0) AS tracks, coalesce(containers, 0) AS containers, container_bytes FROM a FULL OUTER JOIN c USING (folder)
 """)
 def containers_attached(spark, d):
-    p = table(spark, d, "raw_probe").where("path is not null").withColumn("folder", text.parent(F.col("path")))
+    p = table(spark, d, "raw_probe").where("path is not null").withColumn("folder", text.release_folder(F.col("path")))
     a = p.where("kind = 'audio'").groupBy("folder").agg(F.count("*").alias("tracks"))
     c = p.where("kind = 'container'").groupBy("folder").agg(F.count("*").alias("containers"), F.sum("size").alias("container_bytes"))
     return a.join(c, "folder", "full_outer").select("folder", F.coalesce("tracks", F.lit(0)).alias("tracks"), F.coalesce("containers", F.lit(0)).alias("containers"), "container_bytes")
@@ -262,7 +264,7 @@ def lineup_interval(spark, d):
     t = table(spark, d, "tracks").where(F.trim("artist_tag") != "").select("row_id", F.col("artist_tag").alias("name"), "recording_date")
     til = F.coalesce(text.blank_to_null(F.trim("to_date")), F.lit("9999-12-31"))
     lu = table(spark, d, "lineups").where(F.trim("from_date") != "").select("name", "lineup_id", "ord", "from_date", til.alias("til"))
-    return joins.interval_join(t, "recording_date", lu, "from_date", "til", "ord", ["name"], ["row_id"]).select("row_id", "lineup_id")
+    return joins.interval_join(t, "recording_date", lu, "from_date", "til", "ord", ["name"]).select("row_id", "lineup_id")
 
 
 @query("""
@@ -315,7 +317,7 @@ def unique_prefix(spark, d):
 
 
 def _tunes(spark, d) -> DataFrame:
-    return released(spark, d).select("release_id", F.trim("tune").alias("tune")).where("tune <> ''")
+    return table(spark, d, "tracks").where("release_id is not null").select("release_id", F.trim("tune").alias("tune")).where("tune <> ''")
 
 
 def _ext_tunes(spark, d) -> DataFrame:
@@ -323,7 +325,7 @@ def _ext_tunes(spark, d) -> DataFrame:
 
 
 _OVERLAP_SQL = """
-WITH a AS (SELECT DISTINCT t.release_id, trim(t.tune) AS i FROM tracks t JOIN releases r USING (release_id) WHERE r.track_count > 0 AND trim(t.tune) <> ''),
+WITH a AS (SELECT DISTINCT release_id, trim(tune) AS i FROM tracks WHERE release_id IS NOT NULL AND trim(tune) <> ''),
 b AS (SELECT DISTINCT ext_release_id, trim(title) AS i FROM ext_tracks WHERE trim(title) <> '' AND ext_release_id IS NOT NULL),
 na AS (SELECT release_id, count(*) AS left_size FROM a GROUP BY 1), nb AS (SELECT ext_release_id, count(*) AS right_size FROM b GROUP BY 1),
 s AS (SELECT release_id, ext_release_id, count(*) AS shared FROM a JOIN b USING (i) GROUP BY 1, 2),
@@ -347,7 +349,7 @@ def overlap_best(spark, d):
 
 
 @query("""
-WITH a AS (SELECT release_id, row_number() OVER (PARTITION BY release_id ORDER BY disc_number, track_number, row_id) AS pos, title, count(*) OVER (PARTITION BY release_id) AS n FROM tracks JOIN (SELECT release_id FROM releases WHERE track_count > 0) USING (release_id)),
+WITH a AS (SELECT release_id, row_number() OVER (PARTITION BY release_id ORDER BY disc_number, track_number, row_id) AS pos, title, count(*) OVER (PARTITION BY release_id) AS n FROM tracks WHERE release_id IS NOT NULL),
 m AS (SELECT release_id, min(ext_release_id) AS ext_release_id FROM releases r JOIN ext_releases e ON lower(r.title) = lower(e.title) GROUP BY 1),
 b AS (SELECT m.release_id, row_number() OVER (PARTITION BY m.release_id ORDER BY disc_number, track_number, title, length_ms) AS pos, x.title AS ext_title, count(*) OVER (PARTITION BY m.release_id) AS n FROM m JOIN ext_tracks x USING (ext_release_id))
 SELECT release_id, pos, title, ext_title FROM a JOIN b USING (release_id, pos, n)
@@ -373,9 +375,8 @@ SELECT row_id, count(DISTINCT venue) AS candidates,
 """)
 def inverted_candidates(spark, d):
     t = table(spark, d, "tracks").where(F.trim("tune") != "").withColumn("k", F.lower("tune"))
-    s = t.where(F.trim("venue") != "").select("k", "venue", F.col("recording_date").alias("date")).distinct()
-    q = t.where("venue is null").select("row_id", "k", F.col("recording_date").alias("own"))
-    return joins.candidate_state(q.join(s, "k"), "row_id", "venue", "date", "own").select("row_id", "candidates", "state")
+    s = t.where(F.trim("venue") != "")
+    return joins.candidate_state(t.where("venue is null"), "row_id", "k", "recording_date", s, "venue", "recording_date").select("row_id", "candidates", "state")
 
 
 @query("""
@@ -404,13 +405,25 @@ def override_merge(spark, d):
     return joins.override(base, over, "doc_id", ["band"])
 
 
-@query()
+@query("""
+WITH RECURSIVE m AS (SELECT r.release_id, min(e.ext_release_id) AS ext_release_id FROM releases r JOIN ext_releases e ON lower(r.title) = lower(e.title) GROUP BY 1),
+p AS (SELECT m.release_id, m.ext_release_id, (SELECT list(duration_seconds ORDER BY duration_seconds) FROM tracks t WHERE t.release_id = m.release_id AND duration_seconds IS NOT NULL) AS ours,
+             (SELECT list(length_ms / 1000.0 ORDER BY length_ms) FROM ext_tracks x WHERE x.ext_release_id = m.ext_release_id AND length_ms IS NOT NULL) AS theirs FROM m),
+s AS (SELECT release_id, ext_release_id, ours, theirs AS rest, len(ours) AS size, len(theirs) AS other, 1 AS i, 0 AS n FROM p WHERE ours IS NOT NULL AND theirs IS NOT NULL
+      UNION ALL
+      SELECT release_id, ext_release_id, ours, CASE WHEN near <= 5.0 THEN rest[:spot - 1] || rest[spot + 1:] ELSE rest END, size, other, i + 1, n + CASE WHEN near <= 5.0 THEN 1 ELSE 0 END
+      FROM (SELECT *, list_min(list_transform(rest, lambda y: abs(y - ours[i]))) AS near, list_position(list_transform(rest, lambda y: abs(y - ours[i])), list_min(list_transform(rest, lambda y: abs(y - ours[i])))) AS spot FROM s WHERE i <= size))
+SELECT release_id, ext_release_id, CAST(n AS INTEGER) AS matched, CAST(size AS BIGINT) AS ours, CAST(other AS BIGINT) AS theirs FROM s WHERE i = size + 1
+""")
 def greedy_match(spark, d):
-    """Track lengths of releases matched one to one with those of the external release of the same title."""
-    r = table(spark, d, "releases").where("track_count > 0").select("release_id", F.lower("title").alias("k"))
-    e = table(spark, d, "ext_releases").select("ext_release_id", F.lower("title").alias("k"))
-    ours = released(spark, d).where("duration_seconds is not null").groupBy("release_id").agg(F.collect_list("duration_seconds").alias("ours"))
-    theirs = table(spark, d, "ext_tracks").where("length_ms is not null").groupBy("ext_release_id").agg(F.collect_list(F.col("length_ms") / 1000).alias("theirs"))
-    pairs = r.join(e, "k").join(ours, "release_id").join(theirs, "ext_release_id")
-    n = joins.greedy_match(F.col("ours"), F.col("theirs"), 5.0)
-    return pairs.select("release_id", "ext_release_id", n.alias("matched"), F.size("ours").alias("ours"), F.size("theirs").alias("theirs"))
+    """Track lengths of each release matched one to one with those of the first external release of its title."""
+    r = table(spark, d, "releases").select("release_id", F.lower("title").alias("k"))
+    e = table(spark, d, "ext_releases").groupBy(F.lower("title").alias("k")).agg(F.min("ext_release_id").alias("ext_release_id"))
+    pairs = r.join(e, "k").groupBy("release_id").agg(F.min("ext_release_id").alias("ext_release_id"))
+    ours = table(spark, d, "tracks").where("duration_seconds is not null").select("release_id", "duration_seconds")
+    theirs = table(spark, d, "ext_tracks").where("length_ms is not null").select("ext_release_id", (F.col("length_ms") / 1000).alias("length"))
+    near = joins.near_values(ours, "release_id", "duration_seconds", pairs, theirs, "ext_release_id", "length", 5.0)
+    n, m = ours.groupBy("release_id").agg(F.count("*").alias("ours")), theirs.groupBy("ext_release_id").agg(F.count("*").alias("theirs"), F.array_sort(F.collect_list("length")).alias("_w"))
+    both = pairs.join(n, "release_id").join(m, "ext_release_id").join(near, ["release_id", "ext_release_id"], "left")
+    matched = joins.greedy_match(F.coalesce("_v", F.expr("cast(array() as array<double>)")), F.col("_w"), 5.0)
+    return both.select("release_id", "ext_release_id", matched.alias("matched"), "ours", "theirs")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lacquer.functions import dates, rules, text
 from lacquer.operators import audit, groups, ordered
-from lacquer.plans.music import query, released, table
+from lacquer.plans.music import query, table
 from lacquer.sinks import tables as sinks
 
 # --------------------------------------------------------------------- aggregations
@@ -212,7 +212,7 @@ def works_on_several_releases(spark, d):
 
 
 @query("""
-WITH t AS (SELECT row_id, release_id, coalesce(disc_number, 0) AS disc, composer AS label, track_number AS no FROM tracks JOIN (SELECT release_id FROM releases WHERE track_count > 0) USING (release_id)),
+WITH t AS (SELECT row_id, release_id, coalesce(disc_number, 0) AS disc, composer AS label, track_number AS no FROM tracks WHERE release_id IS NOT NULL),
 a AS (SELECT *, row_number() OVER w = 1 AS fst, label IS DISTINCT FROM lag(label) OVER w AS chg FROM t WINDOW w AS (PARTITION BY release_id, disc ORDER BY no NULLS FIRST, row_id)),
 b AS (SELECT *, sum(CASE WHEN chg AND NOT fst AND no IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY release_id, disc ORDER BY no NULLS FIRST, row_id ROWS UNBOUNDED PRECEDING) AS run FROM a),
 c AS (SELECT *, last_value(no IGNORE NULLS) OVER (PARTITION BY release_id, disc, run ORDER BY no NULLS FIRST, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS carried FROM b)
@@ -223,16 +223,26 @@ def work_segments(spark, d):
     return ordered.segments(t, ["release_id", "disc"], ["track_number", "row_id"], "composer", "track_number").select("row_id", "segment")
 
 
-@query()
+def _every(rx: str) -> str:
+    """SQL: list of {start, end, hit} of all matches in ``title``, each at its own place."""
+    hits, gaps = f"regexp_extract_all(title, '{rx}')", f"string_split_regex(title, '{rx}')"
+    return f"list_transform(range(1, len({hits}) + 1), lambda i: {{'s': 1 + list_sum(list_transform(({gaps})[:i], lambda g: length(g))) + coalesce(list_sum(list_transform(({hits})[:i - 1], lambda h: length(h))), 0), 'h': ({hits})[i]}})"
+
+
+_SPANS = (r"No\. \d+", r"Vol\. \d+", r"[A-Z][a-z]+ [A-Z][a-z]+", r"\d{4}")
+
+
+@query(f"""
+WITH RECURSIVE h AS (SELECT release_id, list_sort(list_transform({" || ".join(_every(rx) for rx in _SPANS)}, lambda x: {{'s': CAST(x.s AS BIGINT), 'l': -length(x.h), 'h': x.h}})) AS hs FROM releases WHERE title IS NOT NULL),
+w AS (SELECT release_id, hs, 1 AS i, CAST(0 AS BIGINT) AS till, CAST(-1 AS BIGINT) AS pos, CAST(NULL AS BIGINT) AS start, CAST(NULL AS VARCHAR) AS hit FROM h
+      UNION ALL
+      SELECT release_id, hs, i + 1, CASE WHEN hs[i].s < till THEN till ELSE hs[i].s - hs[i].l END, CASE WHEN hs[i].s < till THEN pos ELSE pos + 1 END, CASE WHEN hs[i].s < till THEN NULL ELSE hs[i].s END, hs[i].h FROM w WHERE i <= len(hs))
+SELECT release_id, CAST(pos AS INTEGER) AS pos, CAST(start AS INTEGER) AS start, hit FROM w WHERE start IS NOT NULL
+""")
 def leftmost_spans(spark, d):
     """Non-overlapping leftmost numbers and capitalised phrases of release titles."""
-    rx = [r"No\. \d+", r"Vol\. \d+", r"[A-Z][a-z]+ [A-Z][a-z]+", r"\d{4}"]
     r = table(spark, d, "releases").where("title is not null").select("release_id", "title")
-    hits = F.lit(None).cast("array<struct<start:int,end:int,hit:string>>")
-    for x in rx:
-        every = F.regexp_extract_all("title", F.lit(f"({x})"), F.lit(1))
-        one = F.transform(F.array_distinct(every), lambda h: F.struct(F.position(h, F.col("title")).alias("start"), (F.position(h, F.col("title")) + F.length(h)).alias("end"), h.alias("hit")))
-        hits = F.concat(F.coalesce(hits, F.expr("cast(array() as array<struct<start:int,end:int,hit:string>>)")), one)
+    hits = F.flatten(F.array(*[text.match_spans(F.col("title"), x) for x in _SPANS]))
     kept = r.select("release_id", F.posexplode(ordered.leftmost_spans(hits)).alias("pos", "s"))
     return kept.select("release_id", "pos", "s.start", "s.hit")
 
@@ -246,10 +256,14 @@ def text_blocks(spark, d):
 
 
 @query("""
-WITH n AS (SELECT release_id, coalesce(codec, '?') AS facet, title AS name, coalesce(CAST(release_year AS VARCHAR), '') AS extra, row_number() OVER (PARTITION BY coalesce(codec, '?'), lower(title) ORDER BY release_id) AS k FROM releases WHERE title IS NOT NULL),
-t AS (SELECT *, CASE WHEN k = 1 THEN name WHEN extra <> '' THEN name || ' (' || extra || ')' ELSE name END AS tried FROM n),
-m AS (SELECT *, row_number() OVER (PARTITION BY facet, lower(tried) ORDER BY k, release_id) AS j FROM t)
-SELECT release_id, CASE WHEN j = 1 THEN tried ELSE tried || ' #' || j END AS unique_name FROM m
+WITH RECURSIVE n AS (SELECT release_id, coalesce(codec, '?') AS facet, title AS name, coalesce(CAST(release_year AS VARCHAR), '') AS extra, row_number() OVER (PARTITION BY coalesce(codec, '?') ORDER BY release_id) AS i FROM releases WHERE title IS NOT NULL),
+w AS (SELECT facet, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS release_id, CAST(NULL AS VARCHAR) AS unique_name FROM (SELECT DISTINCT facet FROM n)
+      UNION ALL
+      SELECT facet, i, used || [lower(pick)], release_id, pick FROM (
+        SELECT w.facet, n.i, w.used, n.release_id,
+          list_filter([n.name] || CASE WHEN n.extra <> '' THEN [n.name || ' (' || n.extra || ')'] ELSE [] END || list_transform(range(2, len(w.used) + 3), lambda k: n.name || ' #' || k), lambda c: NOT list_contains(w.used, lower(c)))[1] AS pick
+        FROM w JOIN n ON n.facet = w.facet AND n.i = w.i + 1))
+SELECT release_id, unique_name FROM w WHERE release_id IS NOT NULL
 """)
 def collision_names(spark, d):
     r = table(spark, d, "releases").where("title is not null").select("release_id", F.coalesce("codec", F.lit("?")).alias("facet"), F.col("title").alias("name"), F.coalesce(F.col("release_year").cast("string"), F.lit("")).alias("extra"))
@@ -267,7 +281,7 @@ def topk_examples(spark, d):
 
 
 @query("""
-WITH x AS (SELECT row_id, release_id, regexp_replace(regexp_replace(lower(filename), '(\\d+)', '000000000000\\1', 'g'), '0+(\\d{12})', '\\1', 'g') AS k FROM tracks JOIN (SELECT release_id FROM releases WHERE track_count > 0) USING (release_id) WHERE filename IS NOT NULL)
+WITH x AS (SELECT row_id, release_id, regexp_replace(regexp_replace(lower(filename), '(\\d+)', '000000000000\\1', 'g'), '0+(\\d{12})', '\\1', 'g') AS k FROM tracks WHERE release_id IS NOT NULL AND filename IS NOT NULL)
 SELECT row_id, dense_rank() OVER (PARTITION BY release_id ORDER BY k) AS place FROM x
 """)
 def natural_rank(spark, d):
@@ -276,7 +290,7 @@ def natural_rank(spark, d):
 
 
 @query("""
-SELECT row_id, row_number() OVER (PARTITION BY release_id ORDER BY coalesce(nullif(recording_date, ''), '9999'), coalesce(tune, ''), coalesce(track_number, 0), path, row_id) AS place FROM tracks JOIN (SELECT release_id FROM releases WHERE track_count > 0) USING (release_id)
+SELECT row_id, row_number() OVER (PARTITION BY release_id ORDER BY coalesce(nullif(recording_date, ''), '9999'), coalesce(tune, ''), coalesce(track_number, 0), path, row_id) AS place FROM tracks WHERE release_id IS NOT NULL
 """)
 def chronological_place(spark, d):
     keys = ordered.chronological(F.col("recording_date"), F.col("tune"), F.col("track_number"), F.col("path"))
@@ -538,17 +552,20 @@ def incremental_scan(spark, d):
 
 @query("SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS hour, event_type, count(*) AS n FROM (SELECT DISTINCT event_id, ts, event_type FROM events) GROUP BY 1, 2")
 def stream_windows(spark, d):
-    """The events table as a file stream: deduplicated within the watermark, counted by hour, run until all is read."""
+    """The events table as a file stream: each event once, counted by hour, run until all is read.
+
+    Files of a replay come in no order of time, so no watermark may drop late rows: the
+    stream only lands what is new, and events are made distinct over all that landed.
+    """
     from lacquer.session import ensure_checkpoint_dir
     from lacquer.streaming import ingest
 
     src = table(spark, d, "events")
     shared = ensure_checkpoint_dir(spark)
-    run = f"{shared.rstrip('/')}/stream-{next(tempfile._get_candidate_names())}"
+    run = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
     stream = ingest.file_stream(spark, f"{d}/events.parquet*", src.schema).withColumn("ts", F.col("ts").cast("timestamp"))
-    once = ingest.deduplicated(stream, ["event_id"], "ts", "60 days")
-    ingest.run_once(once.select("event_id", "ts", "event_type"), f"{run}/rows", f"{run}/state")
-    rows = spark.read.parquet(f"{run}/rows")
+    ingest.run_once(stream.select("event_id", "ts", "event_type"), f"{run}/rows", f"{run}/state")
+    rows = spark.read.parquet(f"{run}/rows").distinct()
     return rows.groupBy(F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type").agg(F.count("*").alias("n"))
 
 
@@ -582,8 +599,8 @@ def works_resolved(spark, d):
     """The work of every track, by its segment and its album's title."""
     from lacquer.operators.works import resolve_works
 
-    real = table(spark, d, "releases").where("track_count > 0").select("release_id", F.coalesce("title", "folder_name").alias("album"))
-    t = released(spark, d).select("row_id", "release_id", F.coalesce("disc_number", F.lit(0)).alias("disc"), F.col("track_number").alias("number"), "title", "composer")
+    real = table(spark, d, "releases").select("release_id", F.coalesce("title", "folder_name").alias("album"))
+    t = table(spark, d, "tracks").where("release_id is not null").select("row_id", "release_id", F.coalesce("disc_number", F.lit(0)).alias("disc"), F.col("track_number").alias("number"), "title", "composer")
     return resolve_works(t, real)
 
 

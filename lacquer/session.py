@@ -24,13 +24,16 @@ def build_session(app: str = "lacquer", cpus: int | str = "*", partitions: int =
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Checkpoint folder of the session: the cluster's shared one if it names one.
 
-    Only where neither the setting nor an earlier call has given a folder (as in
-    tests) a temporary one is made.
+    Only a local session (as in tests) is given a temporary folder; on a cluster a folder
+    of one machine would lose every cut, so there the setting is asked for.
     """
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    alone = spark.sparkContext.master.split("[")[0] == "local"
+    if not shared and not alone:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = shared or tempfile.mkdtemp(prefix="lacquer-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -144,8 +144,58 @@ def undo(current: DataFrame, log: DataFrame, key: str = "path") -> DataFrame:
     return j.select(key, F.when(F.col("wrote").isNull(), F.col("tags")).otherwise(F.map_concat(kept, "before")).alias("tags"))
 
 
-def deletion_script(clusters: DataFrame, keep: str = "keep") -> DataFrame:
-    """Shell lines that remove all but the kept member of each cluster; dry unless they are run."""
-    others = F.filter(F.transform("members", lambda m, i: F.when(i != F.col(keep), m)), lambda m: m.isNotNull())
-    quoted = F.transform(others, lambda m: F.concat(F.lit("rm -i -- '"), F.replace(m, F.lit("'"), F.lit("'\\''")), F.lit("'")))
-    return clusters.where(F.col(keep) >= 0).select(F.array_join(quoted, "\n").alias("lines"))
+def deletion_script(copies: DataFrame, cluster: str = "cluster") -> DataFrame:
+    """One shell line for each copy that may be removed: cluster, copy, line; dry unless the lines are run.
+
+    Takes the rows of :func:`lacquer.operators.groups.copies`: copy 0 is kept, and nothing
+    of a cluster that isn't safe is named. A cluster may have any number of copies.
+    """
+    quoted = F.concat(F.lit("rm -i -- '"), F.replace("member", F.lit("'"), F.lit("'\\''")), F.lit("'"))
+    return copies.where((F.col("copy") > 0) & F.col("safe")).select(cluster, "copy", quoted.alias("line"))
+
+
+PLAN = "path string, tag string, current string, proposed string, source string, confidence string"
+
+
+def tag_plan(proposals: DataFrame, overwrite: bool = False) -> DataFrame:
+    """The rows of a tag plan: proposals that are accepted, differ from the current value and (unless ``overwrite``) fill a gap."""
+    current = F.trim(F.coalesce("current", F.lit("")))
+    keep = (F.trim(F.coalesce("proposed", F.lit(""))) != "") & ~F.col("proposed").eqNullSafe(F.col("current"))
+    rows = proposals.where(keep if overwrite else keep & (current == ""))
+    return rows.select("path", "tag", "current", "proposed", "source", "confidence")
+
+
+def write_plan(plan: DataFrame, path: str) -> None:
+    """The plan as CSV; an empty one too replaces what was there, so that nothing of an earlier plan is applied again."""
+    plan.orderBy("path", "tag").write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_records(df: DataFrame, path: str) -> None:
+    """Probe records as JSON lines, numbers as they are, the fields of the record only."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def scan_index(records: DataFrame) -> DataFrame:
+    """The index of a scan: path, size, mtime and whether the file was readable, the latest record of a path."""
+    return records.groupBy("path").agg(F.max_by(F.struct("size", "mtime", F.col("error").isNull().alias("readable")), F.coalesce("mtime", F.lit(-1))).alias("r")).select("path", "r.*")
+
+
+def checkpointed(existing: DataFrame | None, answers: DataFrame, key: str, path: str) -> None:
+    """A cache of answers written next to the old one and swapped in, so that a lost run leaves the old cache whole."""
+    out = answers if existing is None else upsert(existing, answers, key)
+    out.write.mode("overwrite").parquet(path)
+
+
+def csv_tables(tables: dict[str, tuple[DataFrame, list[str]]], root: str) -> None:
+    """Several tables as CSV below ``root``, each in its total order."""
+    for name, (df, order) in tables.items():
+        write_csv(df, f"{root}/{name}", order)
+
+
+def playlist_name(facet: Column, label: Column, number: Column | None = None, unverified: Column | None = None) -> Column:
+    """A playlist's file name: number (two digits), label and a mark where the group is yet to be verified."""
+    from lacquer.functions.text import safe_name
+
+    no = F.when(number.isNotNull(), F.concat(F.lpad(number.cast("string"), 2, "0"), F.lit(" "))) if number is not None else F.lit(None).cast("string")
+    mark = F.when(unverified, F.lit(" (review)")) if unverified is not None else F.lit(None).cast("string")
+    return F.concat_ws("/", facet, safe_name(F.concat(F.coalesce(no, F.lit("")), label, F.coalesce(mark, F.lit("")))))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lacquer.functions.dates import cue_seconds
 from lacquer.functions.text import extension, leaf
-from lacquer.operators.ordered import state_groups
+from lacquer.operators.ordered import natural_key, state_groups
+from lacquer.session import cut
 
 #: A probe record as it is stored, numbers not yet cast.
 PROBE = (
@@ -28,18 +30,39 @@ def kind_of(path: Column) -> Column:
 
 
 def walk(spark: SparkSession, root: str) -> DataFrame:
-    """Files below ``root`` with kind, path, size and mtime; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    skipped = F.exists(F.split("path", "/"), lambda s: s.isin(SKIPPED))
-    rel = F.regexp_replace("path", r"^.*?" + _quoted(root) + "/?", "")
-    found = files.where(~skipped).select(F.lit(None).cast("string").alias("kind"), rel.alias("path"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"))
-    return found.withColumn("kind", kind_of(F.col("path"))).where("kind is not null")
+    """Files below ``root`` with kind, path, size and mtime; contents are not read.
 
-
-def _quoted(root: str) -> str:
-    import re
-
-    return re.escape(root.rstrip("/"))
+    Folders are listed level by level by the tasks, through the file system that ``root``
+    names on the cluster, so names that begin with ``_`` or ``.`` (which Spark's own
+    listing hides) are found too. Only ``SKIPPED`` folders and resource forks are left out.
+    """
+    from pyarrow import fs
+
+    base = root.rstrip("/")
+    types = "path string, folder boolean, size bigint, mtime bigint"
+
+    def listed(batches):
+        for pdf in batches:
+            rows = []
+            for folder in pdf["path"]:
+                store, at = fs.FileSystem.from_uri(base if "://" in base else f"file://{base}")
+                for f in store.get_file_info(fs.FileSelector(f"{at}/{folder}".rstrip("/"), recursive=False)):
+                    name = f"{folder}/{f.base_name}".lstrip("/")
+                    is_folder = f.type == fs.FileType.Directory
+                    if not (is_folder and f.base_name in SKIPPED):
+                        rows.append((name, is_folder, None if is_folder else f.size, None if is_folder or f.mtime is None else int(f.mtime.timestamp())))
+            yield pd.DataFrame(rows, columns=["path", "folder", "size", "mtime"]).astype({"size": "Int64", "mtime": "Int64"})
+
+    level = spark.createDataFrame([("",)], "path string")
+    found = None
+    while True:
+        level = cut(level.select("path").mapInPandas(listed, types))
+        files = level.where("not folder").select(kind_of(F.col("path")).alias("kind"), "path", "size", "mtime").where("kind is not null")
+        found = files if found is None else found.unionByName(files)
+        level = level.where("folder")
+        if level.isEmpty():
+            return found
+        level = level.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
 
 
 def read_probe(spark: SparkSession, path: str) -> DataFrame:
@@ -132,10 +155,16 @@ def cue_tracks(sheets: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def decode_bytes(c: Column) -> Column:
-    """Bytes as text: UTF-8 where it is valid, else Latin-1; a byte order mark is taken off."""
+    """Bytes as text: UTF-8 where it is valid, else Windows-1252, bytes without a meaning there as Latin-1; a byte order mark is taken off."""
     plain = c.cast("string")
     utf8 = F.when(F.is_valid_utf8(plain), plain)
-    return F.regexp_replace(F.coalesce(utf8, F.decode(c, "ISO-8859-1")), "^﻿", "")
+    return F.regexp_replace(F.coalesce(utf8, F.translate(F.decode(c, "ISO-8859-1"), *_windows())), "^\ufeff", "")
+
+
+def _windows() -> tuple[str, str]:
+    """The characters of bytes 128 to 159 in Latin-1, and in Windows-1252 where it has one."""
+    pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+    return "".join(a for a, b in pairs if b), "".join(b for _, b in pairs)
 
 
 def read_cue(spark: SparkSession, root: str) -> DataFrame:
@@ -189,3 +218,13 @@ def folders(files: DataFrame) -> DataFrame:
 
     f = files.where(kind_of(F.col("path")) == "audio")
     return f.groupBy(parent(F.col("path")).alias("folder"), extension(F.col("path")).alias("ext")).agg(F.count("*").alias("n"))
+
+
+def listing(files: DataFrame) -> DataFrame:
+    """Files with the natural sort key by which a folder is listed."""
+    return files.withColumn("sort_key", natural_key(leaf(F.col("path"))))
+
+
+def first_missing(paths: DataFrame, disk: DataFrame, most: int = 41) -> DataFrame:
+    """The first ``most`` paths (by name) that are not on disk: enough to see that a root is wrong."""
+    return paths.select("path").distinct().join(disk.select("path"), "path", "left_anti").orderBy("path").limit(most)

@@ -135,3 +135,26 @@ def test_html(spark):
 def test_reconcile_key(spark):
     assert one(spark, text.reconcile_key, "The Étude (live), No. 3") == "etude no 3"
     assert one(spark, lambda c: text.reconcile_key(c, accents=True), "The Étude [x]") == "étude"
+
+
+@pytest.mark.parametrize("title,expected", [("Agnus Dei", True), ("- Dies irae -", True), ("3.Allegretto", True), ("I. Adagio", True), ("Symphony No. 6", False), ("", False), (None, False)])
+def test_bare_movements(spark, title, expected):
+    assert one(spark, text.bare_movement, title) is expected
+
+
+def test_paths_inside_texts(spark):
+    assert one(spark, text.scrub, "ripped from C:\\Users\\bob\\Music\\x") == "x"
+    assert one(spark, text.scrub, "see /home/bob/ ") == "bob"
+    assert one(spark, text.scrub, "AC/DC") == "AC/DC"
+
+
+def test_references(spark):
+    assert one(spark, text.html_text, "a &#8211; b &eacute; &#xe9; &#x1F3B5; &amp;lt; &nope; & &#39;x&rsquo;") == "a \u2013 b \u00e9 \u00e9 \U0001f3b5 &lt; &nope; & 'x'"
+    assert one(spark, text.html_text, None) is None
+
+
+def test_numbers_and_sizes(spark):
+    assert one(spark, text.leading_int, "12345678901/2") == 12345678901
+    assert one(spark, lambda c: text.byte_units(c.cast("bigint")), "1536") == "1.5 KB"
+    assert one(spark, text.album_title, "Requiem (1962) [FLAC] - Live") == "Requiem"
+    assert one(spark, lambda c: text.work_title(c, F.lit("K"), F.lit("626")), "Requiem, K.626 in D") == "Requiem"

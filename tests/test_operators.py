@@ -2,7 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from lacquer.operators import audit, groups, joins, ordered
+from lacquer.sinks import tables
+from lacquer.operators import audit, groups, joins, ordered, reconcile
 
 
 def test_majority_prefers_the_first_seen(spark):
@@ -98,7 +99,7 @@ def test_clusters_and_names(spark):
     want = sorted((o, i) for g, o, i in n if g == "h")
     assert all(n["h", o, i] == k for k, (o, i) in enumerate(want, 1)) and n["c", 1, 1] == n[None, 2, 2] == 1
     n = spark.createDataFrame([("f", "X", "1", 1), ("f", "x", "2", 2), ("f", "X", "2", 3)], "f string, n string, e string, p int")
-    assert [r.u for r in ordered.distinct_names(n, "f", "n", "e", "p", "u").orderBy("p").collect()] == ["X", "x (2)", "X (2) #2"]
+    assert [r.u for r in ordered.distinct_names(n, "f", "n", "e", "p", "u").orderBy("p").collect()] == ["X", "x (2)", "X #2"]
 
 
 def test_spans_codes_and_audit(spark):
@@ -130,12 +131,15 @@ def test_crossfilter_matches_plain_counts(spark):
 
 def test_copies_and_proposals(spark):
     df = spark.createDataFrame([("c", "b", 1, 5, True, "high"), ("c", "a", 1, 9, True, "high"), ("d", "x", 2, 1, True, "low"), ("d", "y", 1, 1, True, "low")], "c string, m string, r int, s bigint, i boolean, k string")
-    got = {r.c: ([x["member"] for x in r.copies], r.safe) for r in groups.copies(df, "c", "m", "r", "s", "i", "k").collect()}
-    assert got == {"c": (["a", "b"], True), "d": (["y", "x"], False)}
+    ranked = groups.copies(df, "c", "m", "r", "s", "i", "k")
+    assert sorted((r.c, r.copy, r.member, r.safe) for r in ranked.collect()) == [("c", 0, "a", True), ("c", 1, "b", True), ("d", 0, "y", False), ("d", 1, "x", False)]
+    assert [(r.c, r.line) for r in tables.deletion_script(ranked, "c").collect()] == [("c", "rm -i -- 'b'")]
     rows = spark.createDataFrame([("p",), ("q",)], "path string")
     prop = spark.createDataFrame([("p", "s1", 0.4), ("p", "s2", 0.9)], "path string, cand string, score double")
     out = {r.path: (r.candidates, r.best, r.certainty) for r in groups.attach_proposals(rows, prop, "path", "cand", "score").collect()}
-    assert out == {"p": (["s2", "s1"], "s2", 0.9), "q": (None, None, None)}
+    assert out == {"p": (2, "s2", 0.9), "q": (None, None, None)}
+    assert sorted((r.path, r.place, r.candidate) for r in groups.ranked_proposals(prop, "path", "cand", "score").collect()) == [("p", 1, "s2"), ("p", 2, "s1")]
+
 
 
 def test_credits(spark):
@@ -160,3 +164,101 @@ def test_works(spark):
     got = resolve_works(spark.createDataFrame(t, "row_id int, release_id string, disc int, number int, title string, composer string"), spark.createDataFrame([("r", "Album")], "release_id string, album string"))
     rows = {r.row_id: (r.segment, r.work, r.composer) for r in got.collect()}
     assert rows == {1: (1, "Sonata", "C"), 2: (1, "Sonata", "C"), 3: (2, "Suite", "C")}
+
+
+def test_marks_keep_their_places_and_numbers(spark):
+    from lacquer.functions.text import match_spans
+    from lacquer.operators.works import album_works
+
+    rows = {
+        "Symphony Op.10, Sonata Op.1": [("Symphony", "Op", "10"), ("Sonata", "Op", "1")],
+        "Sonata Hob.XVI:52; Sonata Hob.XVI:50": [("Sonata", "Hob", "XVI:52"), ("Sonata", "Hob", "XVI:50")],
+        "Trio Op.1 No.3, Trio Op.1 No.1": [("Trio", "Op", "1 No.3"), ("Trio", "Op", "1 No.1")],
+        "K.1 K.1": [(None, "K", "1"), (None, "K", "1")],
+    }
+    df = spark.createDataFrame([(k,) for k in rows], "a string")
+    got = {r.a: [tuple(w) for w in r.w] for r in df.select("a", album_works(F.col("a")).alias("w")).collect()}
+    assert got == rows
+    spans = spark.createDataFrame([("No. 1, No. 12, No. 1",), (None,), ("",)], "t string").select(match_spans(F.col("t"), r"No\. (\d+)", 1).alias("s")).collect()
+    assert [(x.start, x.end, x.g1) for x in spans[0].s] == [(1, 6, "1"), (8, 14, "12"), (16, 21, "1")] and not spans[1].s and not spans[2].s
+
+
+def serial_names(rows):
+    used, out = set(), []
+    for name, extra in rows:
+        tries = [name, *([f"{name} ({extra})"] if (extra or "").strip() else [])]
+        k = 2
+        pick = next((t for t in tries if t.lower() not in used), None)
+        while pick is None:
+            pick = f"{name} #{k}" if f"{name} #{k}".lower() not in used else None
+            k += 1
+        used.add(pick.lower())
+        out.append(pick)
+    return out
+
+
+def test_names_are_given_out_as_row_by_row(spark):
+    cases = [
+        [("A", ""), ("A", ""), ("A #2", "")],
+        [("A #2", ""), ("A", ""), ("A", ""), ("A", "")],
+        [("A", "x"), ("a", "x"), ("A (x)", "x"), ("A", "y"), ("A (X)", None), ("A #2", "")],
+        [("B", "1")] * 6 + [("B #3", "1"), ("b (1)", " ")] + [("B", "")] * 3,
+        [("A #2 #2", ""), ("A #2", ""), ("A", ""), ("A", ""), ("A #2", ""), ("A", "")],
+    ]
+    rows = [(f"f{i}", n, e, p) for i, c in enumerate(cases) for p, (n, e) in enumerate(c)]
+    df = spark.createDataFrame(rows, "f string, n string, e string, p int")
+    got: dict = {}
+    for r in ordered.distinct_names(df, "f", "n", "e", "p", "u").orderBy("f", "p").collect():
+        got.setdefault(r.f, []).append(r.u)
+    assert got == {f"f{i}": serial_names(c) for i, c in enumerate(cases)}
+
+
+def test_asof_by_merge_equals_brute_force(spark):
+    right = [(f"{1900 + i % 60:04d}-{i % 12 + 1:02d}", f"e{i}") for i in range(300)]
+    left = [(i, None if i % 9 == 0 else f"{1895 + i % 70:04d}-0{i % 9 + 1}") for i in range(200)]
+    q, r = spark.createDataFrame(left, "id int, at string"), spark.createDataFrame(right, "s string, era string")
+    want = {i: max(((s, e) for s, e in right if at and s <= at), default=(None, None))[1] for i, at in left}
+    assert {x.id: x.era for x in joins.asof_join(q, "at", r, "s").collect()} == want
+    few = r.limit(150)
+    kept = [(x.s, x.era) for x in few.collect()]
+    want = {i: max(((s, e) for s, e in kept if at and s <= at), default=(None, None))[1] for i, at in left}
+    assert {x.id: x.era for x in joins.asof_join(q, "at", spark.createDataFrame(kept, "s string, era string"), "s").collect()} == want
+
+
+def test_long_terms_and_long_numbers(spark):
+    v = spark.createDataFrame([("one two three four five six seven",), ("two",)], "term string")
+    t = spark.createDataFrame([(1, "x One two three, four five six seven y")], "id int, t string")
+    assert sorted((r.pos, r.term) for r in joins.dictionary_hits(t, "id", "t", v, "term").collect()) == [(2, "one two three four five six seven"), (3, "two")]
+    names = ["a100000000000000000000", "a20000000000000000000", "a7", "a007", "A7b", "a", "b1"]
+    df = spark.createDataFrame([(n,) for n in names], "n string").select("n", ordered.natural_key(F.col("n")).alias("k"))
+    assert [r.n for r in df.orderBy("k", "n").collect()] == ["a", "a007", "a7", "A7b", "a20000000000000000000", "a100000000000000000000", "b1"]
+
+
+def test_greedy_needs_only_near_values(spark):
+    import random
+
+    rng = random.Random(1)
+    ours = [("r", round(rng.uniform(0, 60), 1)) for _ in range(400)] + [("q", 5.0), ("q", 5.0), ("q", 100.0)]
+    theirs = [("e", round(rng.uniform(0, 60), 1)) for _ in range(9)] + [("e", 5.0)] + [("f", 5.0)] * 3
+
+    def brute(xs, ys):
+        n, ys = 0, list(ys)
+        for x in sorted(xs):
+            if ys and min(abs(y - x) for y in ys) <= 2.0:
+                ys.pop(min(range(len(ys)), key=lambda i: (abs(ys[i] - x), i)))
+                n += 1
+        return n
+
+    left, right = spark.createDataFrame(ours, "l string, x double"), spark.createDataFrame(theirs, "r string, y double")
+    pairs = [(a, b) for a in "rq" for b in "ef"]
+    near = joins.near_values(left, "l", "x", spark.createDataFrame(pairs, "l string, r string"), right, "r", "y", 2.0).join(right.groupBy("r").agg(F.array_sort(F.collect_list("y")).alias("w")), "r")
+    got = {(r.l, r.r): r.n for r in near.select("l", "r", joins.greedy_match(F.col("_v"), F.col("w"), 2.0).alias("n")).collect()}
+    assert got == {(a, b): brute([x for k, x in ours if k == a], sorted(y for k, y in theirs if k == b)) for a, b in pairs}
+    assert near.select(F.max(F.size("_v"))).first()[0] <= 200
+
+
+def test_year_headers_and_stages(spark):
+    df = spark.createDataFrame([(1, "1950-01"), (2, "1950"), (3, None), (4, "1951")], "i int, d string")
+    assert [r.header for r in ordered.year_headers(df, "d", ["i"]).orderBy("i").collect()] == ["1950", None, "", "1951"]
+    asked = spark.createDataFrame([("k", 1, 1, 0.5, "a"), ("k", 2, 1, 0.95, "b"), ("k", 3, 1, 0.99, "c"), ("j", 1, 9, 0.9, "d")], "k string, q int, rank int, ratio double, v string")
+    assert [(r.k, r.v) for r in reconcile.search_winner(asked, "k", "q", "ratio").collect()] == [("k", "b")]

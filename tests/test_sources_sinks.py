@@ -86,3 +86,28 @@ def test_stream_upsert(spark, tmp_path):
     last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out").iterdir())
     got = {(r.path, r.size) for r in spark.read.parquet(str(tmp_path / f"out/generation={last}")).collect()}
     assert got == {("a", 1), ("b", 9), ("c", 1)}
+
+
+def test_walk_finds_names_that_spark_hides(spark, tmp_path):
+    from lacquer.sources.probe import decode_bytes, walk
+
+    for name in ("A/01.flac", "A/_02.flac", "A/.03.flac", "_B/04.flac", "A/._05.flac", "_library/06.flac", "A/notes.docx", "07.mp3"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    got = {r.path: (r.kind, r.size) for r in walk(spark, str(tmp_path)).collect()}
+    assert got == {p: ("audio", 1) for p in ("A/01.flac", "A/_02.flac", "A/.03.flac", "_B/04.flac", "07.mp3")}
+    df = spark.createDataFrame([(bytearray(b"it\x92s \xe9"),), (bytearray("\ufeffé".encode()),)], "b binary").select(decode_bytes(F.col("b")).alias("t"))
+    assert {r.t for r in df.collect()} == {"it\u2019s \u00e9", "é"}
+
+
+def test_an_empty_plan_replaces_the_earlier_one(spark, tmp_path):
+    from lacquer.sinks import tables
+    from lacquer.sources.probe import read_plan
+
+    rows = [("p", "title", "", "T", "s", "high"), ("p", "artist", "x", "Y", "s", "high"), ("p", "album", "same", "same", "s", "high")]
+    proposals = spark.createDataFrame(rows, tables.PLAN)
+    at = str(tmp_path / "plan")
+    tables.write_plan(tables.tag_plan(proposals), at)
+    assert [r.changes for r in read_plan(spark, at)[0].collect()] == [{"title": "T"}]
+    tables.write_plan(tables.tag_plan(proposals.limit(0)), at)
+    assert read_plan(spark, at)[0].count() == 0

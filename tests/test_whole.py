@@ -1,31 +1,8 @@
-"""The queries over whole tables, the folder of loose files included, against SQL without its filter."""
-
-import os
-from pathlib import Path
-
-import duckdb
-import pytest
-from test_queries import SQL, canonical
+"""Whole tables, the folder of loose files included, and hot groups split over tasks."""
 
 from lacquer.operators import ordered
 from lacquer.plans import registry
 
-#: The filter that the registered SQL has had since 92169ba, and the one before it.
-CUT = "JOIN (SELECT release_id FROM releases WHERE track_count > 0) USING (release_id)"
-
-
-def whole(sql: str) -> str:
-    return sql.replace(f"{CUT} WHERE", "WHERE release_id IS NOT NULL AND").replace(CUT, "WHERE release_id IS NOT NULL")
-
-
-@pytest.mark.parametrize("name", ["natural_rank", "chronological_place", "work_segments", "zip_equal_length"])
-def test_loose_files_are_kept(spark, sf, name):
-    con = duckdb.connect()
-    for f in Path(os.environ.get("WHOLE_SF_DIR", sf)).glob("*.parquet"):
-        con.execute(f"create view {f.stem} as select * from read_parquet('{f}')")
-    d = os.environ.get("WHOLE_SF_DIR", sf)
-    assert canonical(registry.queries()[name](spark, d).toPandas()) == canonical(con.execute(whole(SQL[name])).df())
-
 
 def test_zip_meets_the_folder_of_loose_files(spark, tmp_path):
     make = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
