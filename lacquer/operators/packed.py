@@ -1,14 +1,16 @@
 """Several values packed in one field: infer the delimiters, split, keep positions.
 
-Method. Every candidate delimiter is scored per *source* (a caller-chosen column,
-for instance the shelf a file lies on) over all rows: how regular the pieces look
-that it makes (a person of two or more words, "Surname, Forename", a quoted value)
-and how consistent their number is. A row is then split outside quotes and brackets.
-Separators that never occur inside a name (``;``, ``|``, line breaks) always split.
-The others (``,``, ``/``, ``+``, ``&``, ``and``) split where the row's own pieces are
-regular; where a row leaves it open, the score of its source decides.
-
-The per-source table has one row per (source, delimiter) and comes from a map-side
+Method. The rows of a *source* (a caller-chosen column, for instance the shelf a file lies
+on) are told apart by format: which candidate delimiters stand in them outside quotes and
+brackets. For every source and format each candidate is scored over all rows: how regular
+the pieces are that it makes of the pieces of the candidates before it (a name of two
+words or more, "Surname, Forename", a group, a quoted value) and how consistent their
+number is. Small sources lean on what all sources with that format show. Only candidates
+that reach ``LEAST_SCORE`` split: a comma does in "A One, B Two", and does not in
+"One, A; Two, B", because of the scores alone. Where a weak delimiter that was chosen
+makes irregular pieces of a single row, the row keeps that piece ("Two, Bela" among lists).
+
+The table of scores has one row per source, format and delimiter and comes from a map-side
 combined aggregate, so a source with a third of all rows costs no more than any other.
 """
 
@@ -18,13 +20,18 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lacquer.operators.joins import small
+from lacquer.session import cut
+
 #: Candidate delimiters in the order in which they are tried.
 STRONG = (";", "|", "\n")
 WEAK = ("/", "+", ",", "&")
 CANDIDATES = (*STRONG, *WEAK)
+#: Score from which a candidate splits, and the pieces that the other sources of a format count for.
+LEAST_SCORE, LEAN = 0.5, 20
 #: Words that introduce guests, and words that join names (fixed values).
 GUEST = r"(?:featuring|feat\.?|ft\.?|with)"
 JOIN = r"(?:and|&)"
@@ -106,57 +113,59 @@ def _inverted(pieces: list[str]) -> bool:
     return len(left.split()) == 1 and not GROUP_WORD.search(right) and len(_BRACKET.sub("", right).split()) <= 3 and left != ""
 
 
-def split_values(text: str | None, allow: frozenset[str] = frozenset()) -> list[str]:
-    """The values of one field in the order of the text.
+def split_values(text: str | None, chosen: frozenset[str] = frozenset(CANDIDATES)) -> list[str]:
+    """The values of one field in the order of the text, split at the ``chosen`` delimiters.
 
-    ``allow`` are the weak delimiters the row's source is known to use; they decide
-    rows whose own pieces are not all regular. Null and blank give no value.
+    Null and blank give no value. Words that introduce guests always split.
     """
     if text is None or not text.strip():
         return []
-    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
     masked = mask(text)
-    strong = [c for d in STRONG for c in _cuts(masked, d)]
-    guests = [m.span() for m in _GUEST.finditer(masked)]
-    level = _pieces(text, masked, sorted(strong + guests))
-    listed = bool(strong)
+    cuts = [c for d in STRONG if d in chosen and d in masked for c in _cuts(masked, d)]
+    listed = bool(cuts)
+    cuts += [m.span() for m in _GUEST.finditer(masked)]
+    level = _pieces(text, masked, sorted(cuts)) if cuts else [(text, masked)]
     for d in ("/", "+"):
-        nxt: list[tuple[str, str]] = []
-        for piece, m in level:
-            cuts = _cuts(m, d)
-            parts = _pieces(piece, m, cuts) if cuts else [(piece, m)]
-            good = [regular(p) for p, _ in parts if p.strip()]
-            if len(parts) > 1 and (all(good) or (d in allow and good.count(False) == 1 and len(good) > 2)):
-                nxt += parts
-                listed = True
-            else:
-                nxt.append((piece, m))
-        level = nxt
+        if d in chosen and d in masked:
+            nxt: list[tuple[str, str]] = []
+            for piece, m in level:
+                parts = _pieces(piece, m, _cuts(m, d))
+                if len(parts) > 1 and all(regular(p) for p, _ in parts if p.strip()):
+                    nxt += parts
+                    listed = True
+                else:
+                    nxt.append((piece, m))
+            level = nxt
+    joins = "&" in chosen and _JOIN.search(masked) is not None
     out: list[str] = []
     for piece, m in level:
-        out += _commas_and_joins(piece, m, listed, allow)
+        if "," in chosen and "," in m:
+            out += _commas_and_joins(piece, m, listed, joins)
+        else:
+            out += _joins(piece, m, joins)
     return [v for v in map(_clean, out) if v and any(c.isalnum() for c in v)]
 
 
-def _commas_and_joins(piece: str, m: str, listed: bool, allow: frozenset[str]) -> list[str]:
-    # ", and" is one separator
-    m2 = re.sub(r",(\s+)(?i:and|&)(?=\s)", lambda k: "," + " " * (len(k[0]) - 1), m)
-    if m2 != m:
-        piece = "".join(p if a == b else " " for p, a, b in zip(piece, m, m2, strict=True))
-    comma = _pieces(piece, m2, _cuts(m2, ","))
-    kept = [(p, k) for p, k in comma if p.strip()]
-    if len(kept) > 1:
-        texts = [p for p, _ in kept]
-        parts = [q for p, k in kept for q, _ in (_pieces(p, k, _cuts(k, "&")) if _cuts(k, "&") else [(p, k)])]
-        good = [regular(p) for p in texts]
-        if all(good) or (all(regular(p) for p in parts) and len(parts) > 2 and not listed):
-            return [v for p, k in kept for v in _joins(p, k)]
-        if listed or _inverted(texts):
-            return _joins(piece, m2) if all(regular(p) for p, _ in _pieces(piece, m2, _cuts(m2, "&"))) else [piece]
-        if not _inverted(texts) and (sum(good) >= len(good) - 1 or "," in allow):
-            return [v for q in _rejoin(kept) for v in _joins(*q)]
-        return [piece]
-    return _joins(piece, m2)
+def _commas_and_joins(piece: str, m: str, listed: bool, joins: bool) -> list[str]:
+    if joins:
+        # ", and" is one separator
+        m2 = re.sub(r",(\s+)(?i:and|&)(?=\s)", lambda k: "," + " " * (len(k[0]) - 1), m)
+        if m2 != m:
+            piece, m = "".join(p if a == b else " " for p, a, b in zip(piece, m, m2, strict=True)), m2
+    kept = [(p, k) for p, k in _pieces(piece, m, _cuts(m, ",")) if p.strip()]
+    if len(kept) < 2:
+        return _joins(piece, m, joins)
+    texts = [p for p, _ in kept]
+    if all(regular(p) for p in texts):
+        return [v for p, k in kept for v in _joins(p, k, joins)]
+    parts = [q for p, k in kept for q in (_joins(p, k, joins))]
+    if not listed and len(parts) > 2 and all(regular(p) for p in parts):
+        return parts
+    if listed or _inverted(texts):
+        return _joins(piece, m, joins)
+    return [v for q in _rejoin(kept) for v in _joins(*q, joins)]
 
 
 def _rejoin(kept: list[tuple[str, str]]) -> list[tuple[str, str]]:
@@ -175,8 +184,8 @@ def _rejoin(kept: list[tuple[str, str]]) -> list[tuple[str, str]]:
     return out
 
 
-def _joins(piece: str, m: str) -> list[str]:
-    cuts = _cuts(m, "&")
+def _joins(piece: str, m: str, joins: bool) -> list[str]:
+    cuts = _cuts(m, "&") if joins else []
     if not cuts:
         return [piece]
     parts = [p for p, _ in _pieces(piece, m, cuts)]
@@ -185,59 +194,54 @@ def _joins(piece: str, m: str) -> list[str]:
 
 # ---------------------------------------------------------------- distributed part
 
+#: What is quoted or bracketed, as :func:`mask` finds it.
+_CLOSED = r'"[^"]*"|\([^)]*\)|\[[^\]]*\]'
+_JOINED = r"(?i)\s(?:and|&)\s"
+_SPLIT = {d: re.escape(d) for d in CANDIDATES} | {"\n": r"\r\n?|\n", "&": _JOINED}
+
+
+def format_of(value: Column) -> Column:
+    """The candidate delimiters of a field outside quotes and brackets, one after the other."""
+    bare = F.regexp_replace(value, _CLOSED, "")
+    has = {d: bare.contains(d) for d in CANDIDATES} | {"\n": bare.rlike(r"[\r\n]"), "&": bare.rlike(_JOINED)}
+    return F.concat(*[F.when(has[d], F.lit(d)).otherwise(F.lit("")) for d in CANDIDATES])
 
-def _pieces_col(value, delim: str):
-    plain = F.regexp_replace(F.regexp_replace(value, r'"[^"]*"', "Quoted Value"), r"\([^)]*\)|\[[^\]]*\]", "")
-    pattern = r"(?i)\s(?:and|&)\s" if delim == "&" else re.escape(delim) if delim != "\n" else r"\r?\n"
-    parts = F.transform(F.split(plain, pattern), lambda p: F.trim(p))
-    return F.filter(parts, lambda p: p != "")
+
+def _made_by(plain: Column, delim: str) -> Column:
+    """The pieces that a candidate makes of the pieces of the candidates before it."""
+    before = [_SPLIT[d] for d in CANDIDATES[: CANDIDATES.index(delim)] if d != "&"]
+    outer = F.split(plain, "|".join(before)) if before else F.array(plain)
+    cut = F.filter(F.transform(outer, lambda p: F.split(p, _SPLIT[delim])), lambda ps: F.size(ps) > 1)
+    return F.filter(F.transform(F.flatten(cut), lambda p: F.trim(p)), lambda p: p != "")
+
+
+def _regular(piece: Column) -> Column:
+    """:func:`regular` as an expression; quoted values stand for two words, brackets are off."""
+    return piece.rlike(r"[^\s,]*[\p{L}\p{N}][^\s,]*[\s,]+[^\s,]*[\p{L}\p{N}]") | piece.rlike(r"^(?:[\p{L}\p{N}_]\.)+[\p{L}\p{N}_]{3,}$") | piece.rlike(GROUP_WORD.pattern)
 
 
 def delimiter_scores(df: DataFrame, value: str, source: str) -> DataFrame:
-    """Score of every candidate delimiter in every source, over all rows.
+    """Score of every candidate delimiter in every source and format, over all rows.
 
-    Columns: source, delim, rows (with two pieces or more), regularity (share of
-    regular pieces), consistency (1 / (1 + variance of the piece count)), score.
-    Nulls and blanks count nowhere; an empty table gives an empty table.
+    Columns: source, format, delim, rows, regularity (share of regular pieces, small
+    sources leaning on all sources of that format), consistency (mean squared over mean
+    square of the piece counts), score (their product). Nulls and blanks count nowhere; an
+    empty table gives an empty table.
     """
-    base = df.select(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_s"), F.col(value).alias("_v")).where(F.trim("_v") != "")
-    arms = F.array(*[F.struct(F.lit(d).alias("delim"), _pieces_col(F.col("_v"), d).alias("ps")) for d in CANDIDATES])
-    stats = (
-        base.select("_s", F.explode(arms).alias("a"))
-        .select("_s", F.col("a.delim").alias("delim"), F.col("a.ps").alias("ps"))
-        .where(F.size("ps") > 1)
-        .select(
-            "_s",
-            "delim",
-            F.size("ps").alias("n"),
-            F.size(F.filter("ps", lambda p: p.rlike(r"^\S+\s+\S"))).alias("good"),
-        )
-        .groupBy("_s", "delim")
-        .agg(
-            F.count("*").alias("rows"),
-            F.sum("n").alias("pieces"),
-            F.sum("good").alias("good"),
-            F.var_pop("n").alias("var"),
-        )
-    )
-    return stats.select(
-        F.col("_s").alias("source"),
-        "delim",
-        "rows",
-        (F.col("good") / F.col("pieces")).alias("regularity"),
-        (1 / (1 + F.col("var"))).alias("consistency"),
-        (F.col("good") / F.col("pieces") * F.sqrt(1 / (1 + F.col("var")))).alias("score"),
-    )
-
-
-def split_packed(
-    df: DataFrame,
-    keys: list[str],
-    fields: list[str],
-    source: str,
-    min_regularity: float = 0.8,
-    at_least: int = 2,
-) -> DataFrame:
+    base = df.select(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(value).alias("_v"), format_of(F.col(value)).alias("format")).where("trim(_v) <> '' and format <> ''")
+    plain = F.regexp_replace(F.regexp_replace(F.col("_v"), r'"[^"]*"', "Quoted Value"), r"\([^)]*\)|\[[^\]]*\]", "")
+    arms = F.array(*[F.when(F.col("format").contains(d), F.struct(F.lit(d).alias("delim"), _made_by(plain, d).alias("ps"))) for d in CANDIDATES])
+    made = base.select("source", "format", F.explode(F.filter(arms, lambda a: a.isNotNull())).alias("a"))
+    counted = made.select("source", "format", "a.delim", F.size("a.ps").alias("n"), F.size(F.filter("a.ps", _regular)).alias("good"))
+    stats = counted.groupBy("source", "format", "delim").agg(F.count("*").alias("rows"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum("good").alias("good"))
+    every = Window.partitionBy("format", "delim")  # one row per source
+    common = F.sum("good").over(every) / F.greatest(F.sum("n").over(every), F.lit(1))
+    stats = stats.withColumn("regularity", (F.col("good") + LEAN * common) / (F.col("n") + LEAN))
+    stats = stats.withColumn("consistency", F.when(F.col("nn") > 0, F.col("n") * F.col("n") / (F.col("rows") * F.col("nn"))).otherwise(F.lit(0.0)))
+    return stats.select("source", "format", "delim", "rows", "regularity", "consistency", (F.col("regularity") * F.col("consistency")).alias("score"))
+
+
+def split_packed(df: DataFrame, keys: list[str], fields: list[str], source: str, least_score: float = LEAST_SCORE, at_least: int = 2) -> DataFrame:
     """One row per value: ``keys``, field, pos (from 1), val.
 
     Only rows with ``at_least`` values come out. Null, blank and delimiter-only fields
@@ -245,34 +249,36 @@ def split_packed(
     very long fields are split whole. Columns other than ``keys`` and ``fields`` are not
     touched, so clashing names (``pos``, ``val``) in the input do no harm.
     """
+    names = [f"_k{i}" for i in range(len(keys))]
     long = df.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+        *[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)],
         F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_s"),
         F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("v")) for f in fields])).alias("f"),
-    ).select(*[f"_k{i}" for i in range(len(keys))], F.col("f.field").alias("field"), F.col("f.v").alias("v"), F.concat_ws("\x1f", "_s", "f.field").alias("_src"))
+    ).select(*names, F.col("f.field").alias("field"), F.col("f.v").alias("v"), F.concat_ws("\x1f", "_s", "f.field").alias("_src"))
     long = long.where(F.trim("v") != "")
-    weak = (
-        delimiter_scores(long, "v", "_src")
-        .where(F.col("delim").isin(*WEAK) & (F.col("regularity") >= min_regularity))
-        .groupBy("source")
-        .agg(F.array_join(F.array_sort(F.collect_set("delim")), "").alias("allow"))
-    )
-    joined = long.join(weak, long["_src"] == weak["source"], "left").drop("source", "_src")
+    scores = delimiter_scores(long, "v", "_src").where(F.col("score") >= least_score)
+    chosen = cut(scores.groupBy("source", "format").agg(F.array_join(F.array_sort(F.collect_set("delim")), "").alias("chosen")))
+    chosen = small(chosen.select(F.col("source").alias("_src"), F.col("format").alias("_fmt"), "chosen"))
+    joined = long.withColumn("_fmt", format_of(F.col("v"))).join(chosen, ["_src", "_fmt"], "left").drop("_src", "_fmt")
+    if at_least > 1:
+        # without a chosen delimiter only a guest makes a second value
+        joined = joined.where(F.col("chosen").isNotNull() | F.col("v").rlike(rf"(?i)\s{GUEST}\s"))
     types = dict(long.dtypes)
-    schema = ", ".join(f"_k{i} {types[f'_k{i}']}" for i in range(len(keys))) + ", field string, pos int, val string"
-    names = [f"_k{i}" for i in range(len(keys))]
+    schema = ", ".join(f"{n} {types[n]}" for n in names) + ", field string, pos int, val string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sets: dict[str | None, frozenset[str]] = {}
         for pdf in batches:
-            known: dict[tuple[str, str], list[str]] = {}
+            known: dict[tuple[str, str | None], list[str]] = {}
             rows: list[int] = []
             pos: list[int] = []
             val: list[str] = []
-            for i, (v, a) in enumerate(zip(pdf["v"], pdf["allow"], strict=True)):
-                a = a if isinstance(a, str) else ""
-                got = known.get((v, a))
+            for i, (v, c) in enumerate(zip(pdf["v"], pdf["chosen"], strict=True)):
+                got = known.get((v, c))
                 if got is None:
-                    got = known[v, a] = split_values(v, frozenset(a))
+                    if c not in sets:
+                        sets[c] = frozenset(c or "")
+                    got = known[v, c] = split_values(v, sets[c])
                 if len(got) >= at_least:
                     rows += [i] * len(got)
                     pos += range(1, len(got) + 1)
@@ -282,7 +288,7 @@ def split_packed(
             out["val"] = pd.Series(val, dtype="object")
             yield out
 
-    return joined.mapInPandas(run, schema).select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], "field", "pos", "val")
+    return joined.mapInPandas(run, schema).select(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], "field", "pos", "val")
 
 
 def whole_or_split(text: str | None) -> list[str]:

@@ -48,7 +48,14 @@ def test_rows_and_edge_cases(spark):
     assert split_packed(df.limit(0), ["id"], ["names"], "src").count() == 0
 
 
-def test_scores_follow_the_source(spark):
-    df = spark.createDataFrame([("a", "Ann One, Bela Two"), ("a", "Cy Three, Di Four"), ("b", "One, Ann"), ("b", "Two, Bela")], "src string, v string")
-    got = {(r.source, r.delim): r.regularity for r in delimiter_scores(df, "v", "src").collect()}
-    assert got["a", ","] == 1.0 and got["b", ","] == 0.0
+def test_scores_choose_the_delimiters(spark):
+    lists = [(i, "a", f"Ann One{i}, Bela Two") for i in range(30)] + [(100 + i, "a", f"One{i}, Ann; Two, Bela") for i in range(30)] + [(200, "a", "One, Ann"), (300, "b", "Two, Cy & One, Di")]
+    df = spark.createDataFrame(lists, "id int, src string, v string")
+    score = {(r.source, r.format, r.delim): r.score for r in delimiter_scores(df, "v", "src").collect()}
+    assert score["a", ",", ","] > 0.8 and score["a", ";,", ","] == 0.0 and score["a", ";,", ";"] == 1.0
+    got: dict = {}
+    for r in split_packed(df, ["id"], ["v"], "src").orderBy("id", "pos").collect():
+        got.setdefault(r.id, []).append(r.val)
+    assert got[3] == ["Ann One3", "Bela Two"] and got[105] == ["One5, Ann", "Two, Bela"] and 200 not in got
+    # without the scores nothing is split
+    assert split_packed(df, ["id"], ["v"], "src", least_score=1.1).count() == 0
