@@ -1,21 +1,26 @@
 """Variant spellings of names: the spellings of one person or group come out linked.
 
-Method. Spellings are parsed into a surname (or a group's own name and kind) and given
-names; which word of a pair is the given name is a corpus statistic. Typing errors are
-found by a sparse cosine similarity join: every distinct name word is a vector of
-idf-weighted character trigrams, only the rarest grams of a vector that can hold a
-cosine of ``threshold`` are joined (prefix filter, exact, no cap), and pairs are
-verified by edit distance. Within one surname the given names, nicknames and initials
-are grouped by average-linkage clustering, in which contradicting given names, middle
-initials and two equally near clusters are never merged.
+Method. A spelling becomes a name-level vector of two weighted parts: the character
+trigrams of its surname (or a group's own name), by idf, and what its given name, nickname
+and initials give, which are the trigrams of the given name, its first letters and its
+formal forms. The cosine of two names is the weighted sum of the parts' cosines
+(``SURNAME`` and ``GIVEN``), and only pairs of that cosine are ever linked. Names of equal
+given part are joined on the rarest trigrams of the other (prefix filter, exact, no cap in
+place of a top-n); of those above the threshold a name takes the best known one's surname.
+Then the names of one surname are grouped by average linkage of their cosines over the
+sparse pairs that share a feature. Parsing does not link: it takes a name apart and
+vetoes pairs (edits beyond one, contradicting given names or middle initials, other kinds
+of groups). Two equally near clusters leave an initial unlinked.
 
 Scale. Everything after the first step works on distinct spellings, later on distinct
 keys, so a name with a third of all rows is one row. What meets in one task is the
-distinct (given name, initials) keys of one surname.
+distinct (given name, initials) keys of one surname, over sparse pairs.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -27,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacquer.llm.glyphs import consistent_form
-from lacquer.operators.packed import whole_or_split
+from lacquer.operators.packed import split_packed
 from lacquer.session import cut
 
 # What stands for no name, nicknames, and the words for kinds of groups.
@@ -139,79 +144,110 @@ def same_given(a: str, b: str) -> bool:
     return bool(_formal(a) & _formal(b)) and (a == b or a in _formal(b) or b in _formal(a) or len(_formal(a) & _formal(b)) > 0)
 
 
-AGAINST = -4.0
+#: Weights of the parts of a name in its cosine, and the cosine from which names are linked.
+SURNAME, GIVEN, LEAST = 0.6, 0.4, 0.65
+#: Initials that are so much nearer to one of two clusters are linked to it.
+NEAR = 0.06
+#: Weights of the features of a given part: a trigram, a first letter, a formal name, a middle initial.
+_TRIGRAM, _LETTER, _FORM, _MIDDLE = 0.5, 1.0, 1.5, 1.0
 
 
-def key_similarity(a: tuple, b: tuple) -> float:
-    """Similarity of two keys (given, initials, nickname, established) of one surname."""
+def given_vector(key: tuple) -> dict[str, float]:
+    """The features of a key (given, initials, nickname, established), of unit length; empty if it has none."""
+    given, inits, nick, _ = key
+    v: dict[str, float] = {}
+    forms = set().union(*(_formal(x) for x in (given, *nick.split()) if x))
+    if given:
+        v |= dict.fromkeys(_grams(given), _TRIGRAM)
+    v |= {f"={f}": _FORM for f in forms} | {f"^{f[0]}": _LETTER for f in forms}
+    if not given and inits:
+        v[f"^{inits[0]}"] = _LETTER
+    v |= {f"+{x}": _MIDDLE for x in (inits if given else inits[1:])}
+    norm = math.sqrt(sum(x * x for x in v.values()))
+    return {f: x / norm for f, x in v.items()}
+
+
+def vetoed(a: tuple, b: tuple) -> bool:
+    """Whether two keys of one surname contradict each other."""
     ga, ia, na, ea = a
     gb, ib, nb, eb = b
     ma, mb = (ia if ga else ia[1:]), (ib if gb else ib[1:])
     if ma and mb and ma[0] != mb[0]:
-        return AGAINST
-    extra = 0.05 if ma and mb else 0.0
+        return True
     if ga and gb:
-        if ga == gb:
-            return 0.95 + extra
-        if same_given(ga, gb) or na == gb or nb == ga:
-            return 0.85 + extra
-        if not (ea and eb) and min(len(ga), len(gb)) > 2:
-            if osa(ga, gb, 1) == 1:
-                return 0.8 + extra
-            if any(osa(x, y, 1) <= 1 for x in _formal(ga) | set(na.split()) for y in _formal(gb) | set(nb.split())):
-                return 0.75 + extra
-        return AGAINST
+        if ga == gb or same_given(ga, gb) or na == gb or nb == ga:
+            return False
+        if (ea and eb) or min(len(ga), len(gb)) <= 2:
+            return True
+        return osa(ga, gb, 1) > 1 and not any(osa(x, y, 1) <= 1 for x in _formal(ga) | set(na.split()) for y in _formal(gb) | set(nb.split()))
     if not (ga or ia) or not (gb or ib):
-        return AGAINST
+        return True
     if ga or gb:
         g, i = (ga, ib) if ga else (gb, ia)
-        if g[0] == i[0]:
-            return 0.65 + extra
-        return 0.55 if any(f[0] == i[0] for f in _formal(g)) else AGAINST
-    return 0.65 + extra if ia[0] == ib[0] else AGAINST
+        return all(f[0] != i[0] for f in _formal(g))
+    return ia[0] != ib[0]
+
 
+def name_cosines(keys: list[tuple]) -> dict[tuple[int, int], float]:
+    """Cosines of the names of one surname that share a feature and aren't vetoed, by index (smaller first)."""
+    at: dict[str, list[tuple[int, float]]] = {}
+    dots: dict[tuple[int, int], float] = {}
+    for i, k in enumerate(keys):
+        for f, x in given_vector(k).items():
+            for j, y in at.setdefault(f, []):
+                dots[j, i] = dots.get((j, i), 0.0) + x * y
+            at[f].append((i, x))
+    return {p: SURNAME + GIVEN * c for p, c in dots.items() if not vetoed(keys[p[0]], keys[p[1]])}
 
-def average_linkage(keys: list[tuple], least: float = 0.5, near: float = 0.15) -> list[int]:
-    """Cluster number of each key; merges the nearest clusters while their mean similarity is ``least`` or more.
 
-    A cluster of initials only that is about as near (``near``) to two clusters which
-    contradict each other stays alone. Contradictions are never averaged away.
+def average_linkage(keys: list[tuple], least: float = LEAST, near: float = NEAR) -> list[int]:
+    """Cluster number of each key; merges the nearest clusters while their mean cosine is ``least`` or more.
+
+    Pairs that share nothing or are vetoed are never averaged away: clusters merge only
+    if all their pairs have a cosine. A cluster of initials only that is about as near
+    (``near``) to two clusters which contradict each other stays alone. Ties go to the
+    smaller numbers.
     """
-    n = len(keys)
-    sim = np.full((n, n), AGAINST)
-    for i in range(n):
-        for j in range(i):
-            sim[i, j] = sim[j, i] = key_similarity(keys[i], keys[j])
-    members = {i: [i] for i in range(n)}
-    frozen: set[int] = set()
+    links: dict[int, dict[int, tuple[float, int]]] = {i: {} for i in range(len(keys))}
+    for (i, j), c in name_cosines(keys).items():
+        links[i][j] = links[j][i] = (c, 1)
+    members = {i: [i] for i in range(len(keys))}
+    named = {i: bool(keys[i][0]) for i in members}
 
     def mean(a: int, b: int) -> float:
-        block = sim[np.ix_(members[a], members[b])]
-        return AGAINST if block.min() <= AGAINST else float(block.mean())
-
-    link = {(a, b): mean(a, b) for a in members for b in members if a < b}
-    while link:
-        (a, b), best = max(link.items(), key=lambda x: (x[1], [-x[0][0], -x[0][1]]))
+        total, n = links[a].get(b, (0.0, 0))
+        return total / n if n and n == len(members[a]) * len(members[b]) else -1.0
+
+    heap = [(-mean(a, b), a, b) for a in links for b in links[a] if a < b]
+    heapq.heapify(heap)
+    while heap:
+        best, a, b = heapq.heappop(heap)
+        best = -best
         if best < least:
             break
+        if a not in members or b not in members or mean(a, b) != best:
+            continue
         unclear = None
         for x, y in ((a, b), (b, a)):
-            if all(not keys[k][0] for k in members[x]) and any(keys[k][0] for k in members[y]):
-                for z in members:
-                    if z not in (x, y) and any(keys[k][0] for k in members[z]):
-                        other = link[min(x, z), max(x, z)]
-                        if other >= least and best - other < near and link[min(y, z), max(y, z)] <= AGAINST:
-                            unclear = x
+            if not named[x] and named[y]:
+                for z in links[x]:
+                    if z not in (x, y) and named[z] and least <= (other := mean(x, z)) and best - other < near and mean(y, z) < 0:
+                        unclear = x
         if unclear is not None:
-            frozen.add(unclear)
-            for p in [p for p in link if unclear in p]:
-                o = p[0] if p[1] == unclear else p[1]
-                if any(keys[k][0] for k in members[o]):
-                    link[p] = AGAINST
+            for z in [z for z in links[unclear] if named[z]]:
+                del links[unclear][z], links[z][unclear]
             continue
         members[a] += members.pop(b)
-        link = {p: v for p, v in link.items() if b not in p and a not in p} | {(min(a, c), max(a, c)): mean(a, c) for c in members if c != a}
-    out = [0] * n
+        named[a] = named[a] or named[b]
+        for c, (total, n) in links.pop(b).items():
+            del links[c][b]
+            if c != a:
+                t, m = links[a].get(c, (0.0, 0))
+                links[a][c] = links[c][a] = (t + total, m + n)
+        for c in links[a]:
+            if (m := mean(a, c)) >= least:
+                heapq.heappush(heap, (-m, min(a, c), max(a, c)))
+    out = [0] * len(keys)
     for c, ms in members.items():
         for m in ms:
             out[m] = c
@@ -226,10 +262,10 @@ def _grams(word: str) -> list[str]:
     return sorted({w[i : i + 3] for i in range(len(w) - 2)}) if len(w) > 2 else [w]
 
 
-def similar_words(words: DataFrame, word: str = "word", threshold: float = 0.25, edits: int = 1) -> DataFrame:
-    """Pairs (a, b) of distinct words, a < b, with trigram cosine >= threshold and edit distance <= edits.
+def similar_names(names: DataFrame, word: str = "word", by: list[str] | None = None, threshold: float = 0.25, edits: int = 1) -> DataFrame:
+    """Pairs (by, a, b) of distinct words of one ``by``, a < b, with trigram cosine >= threshold and edit distance <= edits.
 
-    Weights are the square root of idf over the given words (a typing error makes rare
+    Weights are the square root of idf over the distinct words (a typing error makes rare
     grams, which full idf would weigh too much); vectors have unit length. Only the
     prefix of a vector (rarest grams first) whose rest is no shorter than ``threshold``
     is joined, so no pair is lost, and only words whose lengths differ by at most
@@ -237,7 +273,8 @@ def similar_words(words: DataFrame, word: str = "word", threshold: float = 0.25,
     (a transposition is two plain edits), counted inside the join, are weighed against
     each other's vectors. Empty words have no pair.
     """
-    w = words.select(F.col(word).alias("w")).where("w <> ''").distinct()
+    by = by or []
+    w = names.select(F.col(word).alias("w")).where("w <> ''").distinct()
 
     @F.pandas_udf("array<string>")
     def grams(s: pd.Series) -> pd.Series:
@@ -245,14 +282,9 @@ def similar_words(words: DataFrame, word: str = "word", threshold: float = 0.25,
 
     long = w.select("w", F.explode(grams("w")).alias("g"))
     df = long.groupBy("g").agg(F.count("*").alias("df"))
-    total = w.agg(F.count("*").alias("total"))
-    weight = F.sqrt(F.log1p(F.col("total") / F.col("df")))
-    vec = cut(
-        long.join(df, "g")
-        .crossJoin(F.broadcast(total))  # one row
-        .groupBy("w")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "g", weight.alias("x")))).alias("v"))
-    )
+    total = w.count()
+    weight = F.sqrt(F.log1p(F.lit(float(total)) / F.col("df")))
+    vec = cut(long.join(df, "g").groupBy("w").agg(F.array_sort(F.collect_list(F.struct("df", "g", weight.alias("x")))).alias("v")))
     norm2 = F.aggregate("v", F.lit(0.0), lambda s, e: s + e["x"] * e["x"])
     ahead = F.aggregate(
         "v",
@@ -262,25 +294,29 @@ def similar_words(words: DataFrame, word: str = "word", threshold: float = 0.25,
             F.when(F.col("n2") - acc["s"] >= F.col("n2") * (threshold**2 - 1e-9), F.concat(acc["gs"], F.array(e["g"]))).otherwise(acc["gs"]).alias("gs"),
         ),
     )["gs"]
-    post = vec.withColumn("n2", norm2).select("w", F.length("w").alias("n"), F.explode(ahead).alias("g"))
-    left = post.select("g", F.col("w").alias("a"), F.explode(F.sequence(F.col("n"), F.col("n") + edits)).alias("n"))
-    right = post.select("g", "n", F.col("w").alias("b"))
+    ahead = vec.withColumn("n2", norm2).select("w", ahead.alias("gs"))
+    own = names.select(*by, F.col(word).alias("w")).where("w <> ''").distinct().join(ahead, "w") if by else ahead
+    post = own.select(*by, "w", F.length("w").alias("n"), F.explode("gs").alias("g"))
+    left = post.select(*by, "g", F.col("w").alias("a"), F.explode(F.sequence(F.col("n"), F.col("n") + edits)).alias("n"))
+    right = post.select(*by, "g", "n", F.col("w").alias("b"))
     near = (F.col("a") != F.col("b")) & ((F.length("a") < F.length("b")) | (F.col("a") < F.col("b"))) & (F.levenshtein("a", "b", 2 * edits) >= 0)
-    met = left.join(right, ["g", "n"]).where(near).select("a", "b").distinct()
+    met = left.join(right, [*by, "g", "n"]).where(near).select(*by, "a", "b").distinct()
     both = met.join(vec.select(F.col("w").alias("a"), F.col("v").alias("va")), "a").join(vec.select(F.col("w").alias("b"), F.col("v").alias("vb")), "b")
+    types = dict(met.dtypes)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
+            cosines = []
             for a, va, b, vb in zip(pdf["a"], pdf["va"], pdf["b"], pdf["vb"], strict=True):
+                cos = -1.0
                 if osa(a, b, edits) <= edits:
                     x, y = {e["g"]: e["x"] for e in va}, {e["g"]: e["x"] for e in vb}
                     cos = sum(q * y[g] for g, q in x.items() if g in y) / np.sqrt(sum(q * q for q in x.values()) * sum(q * q for q in y.values()))
-                    if cos >= threshold:
-                        out.append((min(a, b), max(a, b), float(cos)))
-            yield pd.DataFrame(out, columns=["a", "b", "cosine"])
+                cosines.append(float(cos))
+            out = pdf[by].assign(a=np.minimum(pdf["a"], pdf["b"]), b=np.maximum(pdf["a"], pdf["b"]), cosine=cosines)
+            yield out[out["cosine"] >= threshold]
 
-    return both.mapInPandas(verify, "a string, b string, cosine double")
+    return both.mapInPandas(verify, "".join(f"{c} {types[c]}, " for c in by) + "a string, b string, cosine double")
 
 
 # ------------------------------------------------------------------------ the operator
@@ -288,7 +324,7 @@ def similar_words(words: DataFrame, word: str = "word", threshold: float = 0.25,
 _PARSED = "kind string, first string, last string, inits string, nick string, fixed boolean"
 
 
-def link_names(spellings: DataFrame, col: str = "name", threshold: float = 0.25) -> DataFrame:
+def link_names(spellings: DataFrame, col: str = "name", threshold: float = 0.55) -> DataFrame:
     """Each distinct spelling that is a name, with the ``entity`` it belongs to.
 
     Null and blank spellings and placeholders are no names. A spelling that resembles no
@@ -321,18 +357,14 @@ def link_names(spellings: DataFrame, col: str = "name", threshold: float = 0.25)
         (F.coalesce(F.when(swap, F.col("lg")).otherwise(F.col("fg")), F.lit(0)) >= 4).alias("established"),
     ))
 
-    # words that are typing errors of a better known word under the same given name or kind
-    edges = cut(similar_words(keyed, "word", threshold))
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    known = keyed.groupBy("kind", "word", "given").agg(F.count("*").alias("n"))
+    # names whose other part is a typing error of a better known one: their given parts are equal, so
+    # the cosine of the names is SURNAME times that of the words plus GIVEN
+    edges = cut(similar_names(keyed.where("kind <> 'person' or given <> ''"), "word", ["kind", "given"], (threshold - GIVEN) / SURNAME))
     support = keyed.groupBy("word").agg(F.count("*").alias("support"))
+    both = edges.select("kind", "given", F.col("a").alias("word"), F.col("b").alias("to")).unionByName(edges.select("kind", "given", F.col("b").alias("word"), F.col("a").alias("to")))
     moves = (
-        known.join(both, known["word"] == both["a"])
-        .select("kind", F.col("a").alias("word"), "given", F.col("b").alias("to"))
-        .join(known.select("kind", F.col("word").alias("to"), "given"), ["kind", "to", "given"])
-        .join(support, "word")
+        both.join(support, "word")
         .join(support.select(F.col("word").alias("to"), F.col("support").alias("to_support")), "to")
-        .where((F.col("kind") != "person") | (F.col("given") != ""))
         .where((F.col("to_support") > F.col("support")) | ((F.col("to_support") == F.col("support")) & (F.col("to") < F.col("word"))))
         .groupBy("kind", "word", "given")
         .agg(F.max_by("to", F.struct("to_support", "to")).alias("home"))
@@ -362,28 +394,31 @@ def variant_pairs(linked: DataFrame) -> DataFrame:
     return a.join(b, "entity").where(F.col("name_a") < F.col("name_b")).select("name_a", "name_b")
 
 
-def personnel_names(df: DataFrame, col: str) -> DataFrame:
-    """The distinct names of a packed field, each without a bracketed part at its end."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got: dict[str, None] = {}
-            for text in pdf["v"]:
-                for x in whole_or_split(text):
-                    got[re.sub(r"\s*[(\[][^()\[\]]*[)\]]\s*$", "", x)] = None
-            yield pd.DataFrame({"name": pd.Series(list(got), dtype="object")})
-
-    return df.select(F.col(col).alias("v")).where(F.trim("v") != "").distinct().mapInPandas(run, "name string").distinct()
+def personnel_names(tracks: DataFrame) -> DataFrame:
+    """The distinct values of tracks.personnel as p7 splits them, or the whole field, each without a bracketed part at its end."""
+    shelf = tracks.select("personnel", F.substring_index("path", "/", 1).alias("shelf"))
+    values = split_packed(shelf, ["shelf"], ["personnel"], "shelf", at_least=1).select("val").distinct()
+    return values.select(F.regexp_replace("val", r"\s*[(\[][^()\[\]]*[)\]]\s*$", "").alias("name")).distinct()
 
 
-def p4_found(spark, sf_dir: str) -> DataFrame:
-    """Pairs of different spellings of one person or group in the four name fields."""
+def _spellings(spark, sf_dir: str) -> DataFrame:
     tracks = spark.read.parquet(f"{sf_dir}/tracks.parquet")
     releases = spark.read.parquet(f"{sf_dir}/releases.parquet")
     composers = consistent_form(tracks.select("composer").distinct(), ["composer"], ["composer"]).select(F.col("fixed").alias("name"))
-    names = (
+    return (
         composers.unionByName(tracks.select(F.col("artist_tag").alias("name")).distinct())
         .unionByName(releases.select(F.col("album_artist").alias("name")).distinct())
-        .unionByName(personnel_names(tracks, "personnel"))
+        .unionByName(personnel_names(tracks))
     )
-    return variant_pairs(link_names(names))
+
+
+def p4_found(spark, sf_dir: str) -> DataFrame:
+    """Pairs of different spellings of one person or group in the four name fields."""
+    return variant_pairs(link_names(_spellings(spark, sf_dir)))
+
+
+def p4_entities(spark, sf_dir: str) -> DataFrame:
+    """Every spelling that is a name with its entity (named by its first spelling) and how many other spellings it is linked to."""
+    linked = link_names(_spellings(spark, sf_dir))
+    facts = linked.groupBy("entity").agg(F.min("name").alias("first_spelling"), (F.count("*") - 1).alias("links"))
+    return linked.join(facts, "entity").select("name", "first_spelling", "links")

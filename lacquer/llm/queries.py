@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "p2_found": entities.p2_found,
         "p2_confidence": entities.p2_confidence,
         "p4_found": names.p4_found,
+        "p4_entities": names.p4_entities,
         "p5_found": canon.p5_found,
         "p8_ids": tokens.p8_ids,
         "p9_containers": packing.p9_containers,

@@ -2,7 +2,7 @@ import itertools
 import math
 import random
 
-from lacquer.llm.names import average_linkage, is_placeholder, link_names, osa, parse_name, similar_words, variant_pairs
+from lacquer.llm.names import average_linkage, is_placeholder, link_names, name_cosines, osa, parse_name, similar_names, variant_pairs
 
 
 def test_osa_against_definition():
@@ -31,12 +31,12 @@ def test_parse():
         assert is_placeholder(p)
 
 
-def test_similar_words_lose_no_pair(spark):
+def test_similar_names_lose_no_pair(spark):
     rnd = random.Random(7)
     words = list({"".join(rnd.choice("abcdeiors") for _ in range(rnd.randrange(5, 10))) for _ in range(120)})
     words += [w[1] + w[0] + w[2:] for w in words[:30]] + [w[:3] + w[4:] for w in words[30:60]]
     words = list(set(words))
-    got = {(r.a, r.b) for r in similar_words(spark.createDataFrame([(w,) for w in words] * 2, "word string"), threshold=0.25).collect()}
+    got = {(r.a, r.b) for r in similar_names(spark.createDataFrame([(w,) for w in words] * 2, "word string"), threshold=0.25).collect()}
     grams = {w: {f"^{w}$"[i : i + 3] for i in range(len(w))} for w in words}
     df = {}
     for g in itertools.chain(*grams.values()):
@@ -69,3 +69,22 @@ def test_linking_and_edge_cases(spark):
     assert frozenset(groups[:2]) in same and frozenset(groups[2:]) in same
     assert frozenset(("Egon Hoduck", "Greta Hoduck")) not in same and frozenset((groups[0], groups[2])) not in same
     assert link_names(df.limit(0)).count() == 0
+
+
+def test_linkage_over_sparse_pairs_is_average_linkage():
+    rnd = random.Random(11)
+    given = ["hugo", "henry", "lotte", "bob", "robert", "rupert", "ruprt", "karin", "l", "robret", "lote"]
+    for _ in range(60):
+        keys = sorted({(g if len(g) > 1 else "", rnd.choice(["", "", g[0], "k"]) if len(g) > 1 else g[0] + rnd.choice(["", "k"]), "", rnd.random() < 0.5) for g in rnd.choices(given, k=8)})
+        cos = name_cosines(keys)
+        c = average_linkage(keys, near=0.0)
+        # brute force: merge the two clusters of the highest mean, all of whose pairs have a cosine
+        groups = [[i] for i in range(len(keys))]
+        mean = lambda a, b: (lambda xs: sum(xs) / len(xs) if None not in xs else -1)([cos.get((min(i, j), max(i, j))) for i in a for j in b])
+        while len(groups) > 1:
+            best = max(((mean(a, b), -min(a), -min(b)), a, b) for a, b in itertools.combinations(sorted(groups, key=min), 2))
+            if best[0][0] < 0.65:
+                break
+            groups = [g for g in groups if g not in best[1:]] + [best[1] + best[2]]
+        assert {frozenset(g) for g in groups} == {frozenset(i for i in range(len(keys)) if c[i] == k) for k in set(c)}
+    assert all(v > 0.6 for v in cos.values())
