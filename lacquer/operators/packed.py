@@ -291,12 +291,6 @@ def split_packed(df: DataFrame, keys: list[str], fields: list[str], source: str,
     return joined.mapInPandas(run, schema).select(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], "field", "pos", "val")
 
 
-def whole_or_split(text: str | None) -> list[str]:
-    """The values of a field, the whole trimmed field where it holds one value."""
-    got = split_values(text)
-    return got if len(got) != 1 else [_clean(text or "")]
-
-
 def p7_found(spark, sf_dir: str) -> DataFrame:
     """The values of tracks.artist_raw and tracks.personnel where a field holds several.
 
