@@ -244,3 +244,14 @@ def near_values(left: DataFrame, lkey: str, lvalue: str, pairs: DataFrame, right
     few = met.withColumn("_r", F.row_number().over(w)).where("_r <= _m").groupBy(lkey, rkey, "_x").agg(F.min("_n").alias("_n"), F.max("_m").alias("_m"))
     copies = F.flatten(F.collect_list(F.array_repeat("_x", F.least("_n", "_m").cast("int"))))
     return few.groupBy(lkey, rkey).agg(F.array_sort(copies).alias("_v"))
+
+
+def first_places(texts: DataFrame, key: str, text: str, venues: DataFrame, cities: DataFrame) -> DataFrame:
+    """venue and city of texts: the first venue of the list that is named, with its own city, and the first city only where that is missing.
+
+    ``venues`` has term, ord and home_city, ``cities`` term and ord; texts that name
+    neither have no row.
+    """
+    v = dictionary_hits(texts, key, text, venues, "term").groupBy(key).agg(F.min_by(F.struct("term", "home_city"), "ord").alias("_v"))
+    c = dictionary_hits(texts, key, text, cities, "term").groupBy(key).agg(F.min_by("term", "ord").alias("_c"))
+    return v.join(c, key, "full_outer").select(key, F.col("_v.term").alias("venue"), F.coalesce("_v.home_city", "_c").alias("city"))

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lacquer.functions import dates, rules, text
-from lacquer.operators import audit, groups, ordered
+from lacquer.operators import audit, groups, joins, ordered
 from lacquer.plans.music import query, table
 from lacquer.sinks import tables as sinks
 
@@ -65,12 +65,14 @@ def work_merge(spark, d):
 
 
 @query("""
-WITH c AS (SELECT release_id, filename, size_bytes, count(*) AS n FROM tracks WHERE release_id IS NOT NULL GROUP BY 1, 2, 3),
-k AS (SELECT release_id, md5(string_agg(coalesce(filename, '~') || '|' || coalesce(CAST(size_bytes AS VARCHAR), '~') || '|' || n, ',' ORDER BY filename, size_bytes, n)) AS h FROM c GROUP BY 1)
+WITH d AS (SELECT DISTINCT release_id, track_id, lower(tune) AS t FROM tracks WHERE release_id IS NOT NULL),
+c AS (SELECT release_id, t, count(*) AS n FROM d GROUP BY 1, 2),
+k AS (SELECT release_id, md5(string_agg(coalesce(t, '~') || '|' || n, ',' ORDER BY t, n)) AS h FROM c GROUP BY 1)
 SELECT count(*) AS n, min(release_id) AS first_release, max(release_id) AS last_release FROM k GROUP BY h HAVING count(*) > 1
 """)
 def duplicate_contents(spark, d):
-    k = groups.multiset_key(table(spark, d, "tracks").where("release_id is not null"), "release_id", ["filename", "size_bytes"])
+    """Releases with the same tunes, as often each; a file that was loaded twice counts once."""
+    k = groups.multiset_key(_loaded_tunes(spark, d), "release_id", ["t"])
     g = k.groupBy(F.col("n").alias("rows"), "h1", "h2").agg(F.count("*").alias("n"), F.min("release_id").alias("first_release"), F.max("release_id").alias("last_release"))
     return g.where("n > 1").select("n", "first_release", "last_release")
 
@@ -90,6 +92,10 @@ def duplicate_clusters(spark, d):
     return c.select("kind", "confidence", "n", "first_member", "last_member", "reclaimable")
 
 
+def _loaded_tunes(spark, d):
+    return table(spark, d, "tracks").where("release_id is not null").select("release_id", "track_id", F.lower("tune").alias("t")).distinct()
+
+
 def _duplicates(spark, d):
     """Releases with their bytes, and the rules by which they are duplicates."""
     b = table(spark, d, "tracks").groupBy("release_id").agg(F.sum("size_bytes").alias("bytes"))
@@ -113,7 +119,7 @@ def duplicate_cluster_members(spark, d):
 @query()
 def duplicate_content_members(spark, d):
     """One row per release whose contents another has too; its group is named by n and the first release."""
-    k = groups.multiset_key(table(spark, d, "tracks").where("release_id is not null"), "release_id", ["filename", "size_bytes"]).withColumnRenamed("n", "rows")
+    k = groups.multiset_key(_loaded_tunes(spark, d), "release_id", ["t"]).withColumnRenamed("n", "rows")
     by = ["rows", "h1", "h2"]
     g = k.groupBy(*by).agg(F.count("*").alias("n"), F.min("release_id").alias("first_release"), F.max("release_id").alias("last_release")).where("n > 1")
     return k.join(g, by).select("n", "first_release", "last_release", "release_id")
@@ -247,14 +253,6 @@ def leftmost_spans(spark, d):
     return kept.select("release_id", "pos", "s.start", "s.hit")
 
 
-@query("""
-SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: length(x) >= 60)) AS BIGINT) AS long_lines, CAST(len(string_split(text, chr(10))) AS BIGINT) AS lines FROM documents WHERE text IS NOT NULL
-""")
-def text_blocks(spark, d):
-    lines = F.split("text", "\n")
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(F.filter(lines, lambda x: F.length(x) >= 60)).cast("bigint").alias("long_lines"), F.size(lines).cast("bigint").alias("lines"))
-
-
 @query("""
 WITH RECURSIVE n AS (SELECT release_id, coalesce(codec, '?') AS facet, title AS name, coalesce(CAST(release_year AS VARCHAR), '') AS extra, row_number() OVER (PARTITION BY coalesce(codec, '?') ORDER BY release_id) AS i FROM releases WHERE title IS NOT NULL),
 w AS (SELECT facet, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS release_id, CAST(NULL AS VARCHAR) AS unique_name FROM (SELECT DISTINCT facet FROM n)
@@ -356,15 +354,6 @@ def date_parse(spark, d):
     return table(spark, d, "tracks").where("recording_date is not null").select("row_id", got["iso"].alias("iso"), got["precision"].alias("precision"))
 
 
-@query("""
-WITH p AS (SELECT row_id, CASE WHEN row_id > 0 AND path IS NOT NULL THEN '/home/owner/music/' || path END AS p FROM tracks)
-SELECT row_id, regexp_extract(p, '[^/]*$') AS scrubbed, regexp_matches(p, '/home/') AS leaked FROM p WHERE p IS NOT NULL
-""")
-def path_scrub(spark, d):
-    p = F.concat(F.lit("/home/owner/music/"), F.col("path"))
-    return table(spark, d, "tracks").where("path is not null").select("row_id", text.scrub(p).alias("scrubbed"), text.leaks(p).alias("leaked"))
-
-
 @query("""
 SELECT row_id, CASE WHEN starts_with(codec, 'dsd') THEN 'DSD' WHEN codec IN ('mp3', 'aac', 'vorbis', 'opus') THEN 'Lossy' WHEN coalesce(bit_depth, 0) > 16 OR coalesce(sample_rate, 0) > 48000 THEN 'Hi-Res'
   WHEN coalesce(bit_depth, 0) > 0 AND coalesce(sample_rate, 0) > 0 THEN 'Redbook' ELSE 'Unknown' END AS tier FROM tracks
@@ -383,17 +372,6 @@ def provenance(spark, d):
     return table(spark, d, "releases").where("path is not null").select("release_id", rules.provenance(F.col("path")).alias("provenance"))
 
 
-@query()
-def release_rules(spark, d):
-    """Authority, medium, genre and collections of releases by their paths."""
-    r = table(spark, d, "releases").where("path is not null")
-    p = F.col("path")
-    return r.select(
-        "release_id", rules.authority(p).alias("authority"), text.medium_of(F.col("folder_name"), F.col("codec")).alias("medium"),
-        text.genre_of(p, F.col("genre_primary"), F.lit(False)).alias("genre"), F.array_join(text.in_collections(p, ["Archive", "New"]), "; ").alias("collections"),
-    )
-
-
 @query()
 def titles_split(spark, d):
     """Work, movement, catalogue mark and key of all titles."""
@@ -411,17 +389,6 @@ def artists_split(spark, d):
     return t.select("row_id", F.array_join("a.people", "; ").alias("people"), F.array_join("a.groups", "; ").alias("groups"), "a.led_by")
 
 
-@query("""
-SELECT doc_id, CAST(length(text) - length(replace(replace(replace(text, '&quot;', '"'), '&amp;', '&'), '&#39;', '''')) AS BIGINT) AS saved FROM documents WHERE text IS NOT NULL AND contains(text, '&')
-""")
-def entities_decoded(spark, d):
-    s = F.col("text")
-    out = s
-    for k in ("&quot;", "&amp;", "&#39;"):
-        out = F.replace(out, F.lit(k), F.lit(text.ENTITIES[k]))
-    return table(spark, d, "documents").where("text is not null and contains(text, '&')").select("doc_id", (F.length(s) - F.length(out)).cast("bigint").alias("saved"))
-
-
 @query("""
 SELECT probe_id, CASE WHEN json_valid(raw_json) THEN json_extract_string(raw_json, '$.format.duration') END AS duration FROM raw_probe WHERE json_valid(raw_json) AND json_type(raw_json, '$.streams') = 'ARRAY'
 """)
@@ -477,46 +444,81 @@ def year_states(spark, d):
     return r.join(e, "k", "left").select("release_id", rules.year_state(F.col("release_year"), F.col("y")).alias("state"))
 
 
-@query("""
-WITH b AS (SELECT release_id, title, count(*) AS n FROM tracks WHERE release_id IS NOT NULL AND trim(title) <> '' GROUP BY 1, 2)
-SELECT release_id, arg_max(title, {'n': n, 't': -length(title), 'k': title}) AS top FROM b GROUP BY 1
-""")
-def release_facts(spark, d):
-    b = table(spark, d, "tracks").where("release_id is not null").where(F.trim("title") != "").groupBy("release_id", "title").agg(F.count("*").alias("n"))
-    return b.groupBy("release_id").agg(F.max_by("title", F.struct(F.col("n"), -F.length("title"), F.col("title"))).alias("top"))
+_STUDIO = """CASE WHEN regexp_matches(p, '(?i)\\b(interview|announcement|speaks|spoken)\\b') THEN 'interview' WHEN regexp_matches(p, '(?i)\\b(rehearsal|soundcheck|practice|basement)\\b') THEN 'rehearsal'
+  WHEN regexp_matches(p, '(?i)\\b(tv show|television|broadcast|radio|jazz casual|rai|ortf|ndr|wdr|sveriges|danmarks|telecast)\\b') THEN 'broadcast'
+  WHEN regexp_matches(p, '(?i)\\b(live|concert|in concert|festival|at the|onstage|on stage|tour|theatre|theater|hall|club|jazzhus|konserthuset|set|first set|second set|2nd set)\\b') THEN 'live' ELSE 'studio' END"""
 
+_CHECKS = [
+    ("HIGH", "date outside window"), ("MED", "junk title"), ("LOW", "undated"), ("LOW", "no personnel"), ("MED", "tag and folder differ in year"), ("MED", "studio at a venue"), ("HIGH", "release without tracks"), ("HIGH", "orphan track"),
+    ("MED", "file loaded twice"), ("MED", "one title, several dates"), ("LOW", "single performance"), ("LOW", "span of 11 years"), ("HIGH", "not on disk"), ("LOW", "personnel outside the band"),
+]
 
-@query("""
+
+@query(f"""
 WITH h AS (
   SELECT 'HIGH' AS severity, 'date outside window' AS "check", CAST(row_id AS VARCHAR) AS l FROM tracks WHERE recording_date IS NOT NULL AND NOT (recording_date >= '1925' AND recording_date <= '2025-12-31')
   UNION ALL SELECT 'MED', 'junk title', CAST(row_id AS VARCHAR) FROM tracks WHERE title IS NOT NULL AND (trim(title) = '' OR regexp_full_match(trim(title), '[\\d\\W_]+') OR regexp_matches(trim(title), '(?i)^(track|untitled|audio|unknown|cd\\d)') OR length(trim(title)) <= 2)
   UNION ALL SELECT 'LOW', 'undated', CAST(row_id AS VARCHAR) FROM tracks WHERE recording_date IS NULL
   UNION ALL SELECT 'LOW', 'no personnel', CAST(row_id AS VARCHAR) FROM tracks WHERE coalesce(trim(personnel), '') = ''
+  UNION ALL SELECT 'MED', 'tag and folder differ in year', CAST(row_id AS VARCHAR) FROM (SELECT row_id, recording_date, regexp_extract(regexp_extract(path, '^(.*)/[^/]*$', 1), '(?:^|[^0-9])((?:1[89][0-9]{{2}}|20[0-4][0-9]))(?:$|[^0-9])', 1) AS y FROM tracks) WHERE y <> '' AND recording_date IS NOT NULL AND y <> substr(recording_date, 1, 4)
+  UNION ALL SELECT 'MED', 'studio at a venue', CAST(row_id AS VARCHAR) FROM (SELECT row_id, venue, replace(path, '/', ' ') AS p FROM tracks WHERE path IS NOT NULL AND trim(venue) <> '' AND NOT contains(lower(venue), 'studio')) WHERE {_STUDIO} = 'studio'
   UNION ALL SELECT 'HIGH', 'release without tracks', release_id FROM releases r WHERE NOT EXISTS (SELECT 1 FROM tracks t WHERE t.release_id = r.release_id)
   UNION ALL SELECT 'HIGH', 'orphan track', CAST(row_id AS VARCHAR) FROM tracks t WHERE NOT EXISTS (SELECT 1 FROM releases r WHERE r.release_id = t.release_id)
-  UNION ALL SELECT 'MED', 'file loaded twice', track_id FROM tracks WHERE track_id IS NOT NULL GROUP BY track_id HAVING count(*) > 1),
+  UNION ALL SELECT 'MED', 'file loaded twice', track_id FROM tracks WHERE track_id IS NOT NULL GROUP BY track_id HAVING count(*) > 1
+  UNION ALL SELECT 'MED', 'one title, several dates', k FROM (SELECT substr(regexp_replace(lower(title), '[^a-z0-9]', '', 'g'), 1, 28) AS k, release_year FROM releases WHERE release_year IS NOT NULL AND title IS NOT NULL) WHERE k <> '' GROUP BY k HAVING count(DISTINCT release_year) > 1
+  UNION ALL SELECT 'LOW', 'single performance', tune FROM tracks WHERE trim(tune) <> '' GROUP BY tune HAVING count(*) = 1
+  UNION ALL SELECT 'LOW', 'span of 11 years', tune FROM tracks WHERE trim(tune) <> '' GROUP BY tune HAVING count(*) >= 5 AND CAST(substr(max(recording_date), 1, 4) AS INTEGER) - CAST(substr(min(recording_date), 1, 4) AS INTEGER) >= 11
+  UNION ALL SELECT 'HIGH', 'not on disk', path FROM (SELECT DISTINCT path FROM tracks WHERE path IS NOT NULL) t WHERE NOT EXISTS (SELECT 1 FROM raw_probe p WHERE p.path = t.path)
+  UNION ALL SELECT 'LOW', 'personnel outside the band', CAST(row_id AS VARCHAR) FROM (
+    SELECT t.row_id, list_filter(list_transform(string_split(t.personnel, ';'), lambda n: trim(n)), lambda n: n <> '') AS named, (SELECT arg_min(l.members, l.ord) FROM lineups l WHERE l.name = t.artist_tag AND trim(l.from_date) <> '' AND
+      CASE length(t.recording_date) WHEN 4 THEN t.recording_date || '-06-15' WHEN 7 THEN t.recording_date || '-15' ELSE t.recording_date END >= l.from_date AND CASE length(t.recording_date) WHEN 4 THEN t.recording_date || '-06-15' WHEN 7 THEN t.recording_date || '-15' ELSE t.recording_date END < coalesce(nullif(trim(l.to_date), ''), '9999-12-31')) AS members
+    FROM tracks t WHERE trim(t.artist_tag) <> '' AND trim(t.personnel) <> '') WHERE len(named) > 2 AND len(members) > 0 AND NOT list_has_any(named, list_transform(members, lambda m: coalesce(trim(m.name), '')))),
 k AS (SELECT severity, "check", l, count(*) AS c, row_number() OVER (PARTITION BY severity, "check" ORDER BY l) AS r FROM h GROUP BY 1, 2, 3),
-names(severity, "check") AS (VALUES ('HIGH', 'date outside window'), ('MED', 'junk title'), ('LOW', 'undated'), ('LOW', 'no personnel'), ('HIGH', 'release without tracks'), ('HIGH', 'orphan track'), ('MED', 'file loaded twice'))
+names(severity, "check") AS (VALUES {", ".join(f"('{s}', '{n}')" for s, n in _CHECKS)})
 SELECT n.severity, n."check", CAST(coalesce(sum(c), 0) AS BIGINT) AS n, coalesce(string_agg(l, '; ' ORDER BY l) FILTER (r <= 5), '') AS examples FROM names n LEFT JOIN k USING (severity, "check") GROUP BY 1, 2
 """)
 def audit_report(spark, d):
     t, r = table(spark, d, "tracks"), table(spark, d, "releases")
-    row = F.col("row_id").cast("string")
-    date = F.col("recording_date")
-    one_pass = [
-        ("HIGH", "date outside window", date.isNotNull() & ~date.between("1925", "2025-12-31")),
-        ("MED", "junk title", audit.junk_title(F.col("title"))),
-        ("LOW", "undated", date.isNull()),
-        ("LOW", "no personnel", F.coalesce(F.trim("personnel"), F.lit("")) == ""),
-    ]
-    arms = F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(s).alias("severity"), F.lit(n).alias("check"))) for s, n, c in one_pass])
+    row, date, path = F.col("row_id").cast("string"), F.col("recording_date"), F.col("path")
+    folder_year = dates.first_year(text.parent(path)).cast("string")
+    at_venue = (F.trim("venue") != "") & ~F.lower("venue").contains("studio")
+    one_pass = dict(
+        zip(
+            _CHECKS[:6],
+            (
+                date.isNotNull() & ~date.between("1925", "2025-12-31"),
+                audit.junk_title(F.col("title")),
+                date.isNull(),
+                F.coalesce(F.trim("personnel"), F.lit("")) == "",
+                folder_year != F.substring(date, 1, 4),
+                at_venue & (rules.provenance(path) == "studio") & path.isNotNull(),
+            ),
+            strict=True,
+        )
+    )
+    arms = F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(s).alias("severity"), F.lit(n).alias("check"))) for (s, n), c in one_pass.items()])
     hits = t.select(F.explode(F.filter(arms, lambda x: x.isNotNull())).alias("x"), row.alias("l")).select("x.*", "l")
-    tag = lambda df, s, n, c: df.select(F.lit(s).alias("severity"), F.lit(n).alias("check"), c.cast("string").alias("l"))
-    hits = hits.unionByName(tag(r.join(t.select("release_id"), "release_id", "left_anti"), "HIGH", "release without tracks", F.col("release_id")))
-    hits = hits.unionByName(tag(t.join(r.select("release_id"), "release_id", "left_anti"), "HIGH", "orphan track", F.col("row_id")))
-    hits = hits.unionByName(tag(t.where("track_id is not null").groupBy("track_id").count().where("count > 1"), "MED", "file loaded twice", F.col("track_id")))
-    names = [(s, n) for s, n, _ in one_pass] + [("HIGH", "release without tracks"), ("HIGH", "orphan track"), ("MED", "file loaded twice")]
-    return audit.counted(hits, names)
+    key = F.substring(F.regexp_replace(F.lower("title"), "[^a-z0-9]", ""), 1, 28)
+    tunes = t.where(F.trim("tune") != "").groupBy("tune").agg(F.count("*").alias("k"), (F.substring(F.max(date), 1, 4).cast("int") - F.substring(F.min(date), 1, 4).cast("int")).alias("span"))
+    til = F.coalesce(text.blank_to_null(F.trim("to_date")), F.lit("9999-12-31"))
+    bands = table(spark, d, "lineups").where(F.trim("from_date") != "").select(F.col("name").alias("artist_tag"), "members", "ord", "from_date", til.alias("til"))
+    named = F.filter(F.transform(F.split("personnel", ";"), lambda n: F.trim(n)), lambda n: n != "")
+    played = t.where((F.trim("artist_tag") != "") & (F.trim("personnel") != "")).select("row_id", "artist_tag", "recording_date", named.alias("named")).where(F.size("named") > 2)
+    band = joins.interval_join(played, "recording_date", bands, "from_date", "til", "ord", ["artist_tag"]).where(F.size("members") > 0)
+    outside = band.where(~F.arrays_overlap("named", F.transform("members", lambda m: F.coalesce(F.trim(m["name"]), F.lit("")))))
+    keyed = [
+        (r.join(t.select("release_id"), "release_id", "left_anti"), F.col("release_id")),
+        (t.join(r.select("release_id"), "release_id", "left_anti"), row),
+        (t.where("track_id is not null").groupBy("track_id").count().where("count > 1"), F.col("track_id")),
+        (r.where("release_year is not null").groupBy(key.alias("k")).agg(F.count_distinct("release_year").alias("n")).where("k <> '' and n > 1"), F.col("k")),
+        (tunes.where("k = 1"), F.col("tune")),
+        (tunes.where("k >= 5 and span >= 11"), F.col("tune")),
+        (t.where("path is not null").select("path").distinct().join(table(spark, d, "raw_probe").select("path"), "path", "left_anti"), path),
+        (outside, row),
+    ]
+    for (s, n), (df, label) in zip(_CHECKS[6:], keyed, strict=True):
+        hits = hits.unionByName(df.select(F.lit(s).alias("severity"), F.lit(n).alias("check"), label.cast("string").alias("l")))
+    return audit.counted(hits, _CHECKS)
 
 
 # --------------------------------------------------------------- sinks and increments
@@ -621,15 +623,17 @@ def leaders_in_folders(spark, d):
 
 
 @query("""
-WITH m AS (SELECT lineup_id, list_filter(list_transform(members, lambda x: trim(x.name)), lambda n: n IS NOT NULL AND n <> '') AS band FROM lineups)
-SELECT lineup_id, coalesce(list_aggregate(band, 'string_agg', '; '), '') AS names, CASE WHEN len(band) > 0 THEN 'lineup' END AS source FROM m
+WITH m AS (SELECT lineup_id, caveat, list_filter(list_transform(members, lambda x: trim(x.name)), lambda n: n IS NOT NULL AND n <> '') AS band FROM lineups),
+n AS (SELECT lineup_id, band, CASE WHEN trim(caveat) <> '' THEN string_split(trim(caveat), ' ') END AS named FROM m)
+SELECT lineup_id, CASE WHEN len(named) > 0 THEN array_to_string(named, '; ') WHEN len(band) > 0 THEN array_to_string(band, '; ') ELSE '' END AS names, CASE WHEN len(named) > 0 THEN 'named' WHEN len(band) > 0 THEN 'lineup' END AS source FROM n
 """)
 def personnel_source(spark, d):
+    """Names written beside a lineup (the words of its caveat stand for them) win outright, else its members."""
     from lacquer.operators.credits import personnel
 
     lu = table(spark, d, "lineups")
     band = F.filter(F.transform("members", lambda m: F.trim(m["name"])), lambda n: n.isNotNull() & (n != ""))
-    p = personnel(F.lit(None).cast("array<string>"), band)
+    p = personnel(F.when(F.trim("caveat") != "", F.split(F.trim("caveat"), " ")), band)
     return lu.select("lineup_id", F.array_join(p["names"], "; ").alias("names"), p["source"].alias("source"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lacquer.operators import intervals, nested, packed
-from lacquer.plans import music, music2  # noqa: F401
+from lacquer.plans import music, music2, music3  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -199,3 +199,32 @@ def playlist_name(facet: Column, label: Column, number: Column | None = None, un
     no = F.when(number.isNotNull(), F.concat(F.lpad(number.cast("string"), 2, "0"), F.lit(" "))) if number is not None else F.lit(None).cast("string")
     mark = F.when(unverified, F.lit(" (review)")) if unverified is not None else F.lit(None).cast("string")
     return F.concat_ws("/", facet, safe_name(F.concat(F.coalesce(no, F.lit("")), label, F.coalesce(mark, F.lit("")))))
+
+
+def track_rows(tracks: DataFrame, releases: DataFrame) -> DataFrame:
+    """One row per track of a release: its own fields, those its release lends it, and what rules derive from them."""
+    from lacquer.functions.rules import quality_tier
+
+    r = releases.select("release_id", F.col("title").alias("album"), "album_artist", F.col("genre_primary").alias("genre"), "label")
+    own = ["row_id", "track_id", "release_id", "path", "title", "composer", "tune", "take", "recording_date", "date_precision"]
+    j = tracks.join(r, "release_id")
+    return j.select(
+        *own, F.substring("recording_date", 1, 4).alias("year"), F.coalesce("venue", F.lit("")).alias("venue"), "album", "album_artist", "genre", "label",
+        quality_tier(F.col("codec"), F.col("bit_depth"), F.col("sample_rate")).alias("tier"),
+    )
+
+
+def session_rows(tracks: DataFrame) -> DataFrame:
+    """One row per session, which is a date and a place: venue, else city, else nothing."""
+    place = F.coalesce(blank_to_null(F.trim("venue")), blank_to_null(F.trim("city")), F.lit(""))
+    g = tracks.where("recording_date is not null").groupBy(F.col("recording_date").alias("date"), place.alias("place"))
+    return g.agg(F.count("*").alias("tracks"), F.count_distinct("release_id").alias("releases"), F.count_distinct("tune").alias("tunes"), F.min("row_id").alias("first_row"), F.sum("size_bytes").alias("bytes"))
+
+
+def write_sessions(tracks: DataFrame, releases: DataFrame, root: str) -> None:
+    """The session build's tables as CSV below ``root``: sessions, tracks, releases and tunes, each in its total order."""
+    tunes = tracks.where(F.trim("tune") != "").groupBy("tune").agg(F.count("*").alias("performances"), F.min("recording_date").alias("first_recorded"), F.max("recording_date").alias("last_recorded"))
+    csv_tables(
+        {"sessions": (session_rows(tracks), ["date", "place"]), "tracks": (track_rows(tracks, releases), ["row_id"]), "releases": (releases, ["release_id"]), "tunes": (tunes, ["tune"])},
+        root,
+    )
