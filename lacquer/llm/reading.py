@@ -6,14 +6,18 @@ iterations: a word takes the mean of its sentences, a sentence the precision-wei
 mean of its words, a document the mean of its sentences. Words that stand in sentences of
 every difficulty (names, titles, catalogue lines) have a wide spread and so hardly any
 weight. As harmonic values shrink towards the mean, every iteration is calibrated on the
-clamped documents. A document's level is the median of its sentences' difficulty, so
-single sentences may be easier or harder, and lines without weight do not count.
-
-Scale. The texts are taken apart once, into checkpointed word numbers. One iteration is
-one narrow pass over those in which each task sums up its own words before a small shuffle. Words are kept in ``BUCKETS`` hash buckets, which
-bounds what is sent to the tasks whatever the vocabulary; the graded examples are
-bounded by ``max_labels`` (those with the smallest hash of their id). Nothing about
-single documents goes to the driver.
+clamped documents. Iterations end when the words' values hardly move (``TOLERANCE``). A
+document's level is the median of its sentences' difficulty, so single sentences may be
+easier or harder, and lines without weight do not count.
+
+Scale. The texts are taken apart once, into checkpointed blocks of a few thousand documents:
+each holds the keys of its own distinct words and its documents as numbers into them.
+Word values are a distributed table; in an iteration it is joined to the words of the
+blocks, the blocks receive the values they need and give back sums by word, of which a
+task makes one per distinct word before the shuffle. Words are known by 64-bit hashes.
+Nothing about words or single documents goes to the driver; what does is the calibration,
+three medians and a residual. The graded examples are bounded by ``max_labels`` (those with
+the smallest hash of their id).
 """
 
 from __future__ import annotations
@@ -25,18 +29,21 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacquer.session import cut
 
 BANDS = ("easy", "middle", "hard")
-#: Hash buckets for words; a bucket takes 12 bytes where it is sent, so 50 MB at most.
-BUCKETS = 1 << 22
 #: Graded documents used at most.
 MAX_LABELS = 200_000
 #: Words a document needs to have a level.
 MIN_WORDS = 12
+#: Characters and documents from which a block is full.
+BLOCK_CHARS, BLOCK_DOCS = 4_000_000, 5_000
+#: Iterations end when the occurrences of words move by less than this on average, or after so many.
+TOLERANCE, MOST = 0.02, 10
 
 _SENTENCE = re.compile(r"(?<=[.!?])(?<!\b[^\W\d_]\.)\s+(?=[^\d\sa-z])|(?<=[.!?][\"”»)])\s+(?=[^\d\sa-z])|\n+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -50,81 +57,110 @@ def sentences(text: str) -> list[list[str]]:
 
 
 @dataclass
-class State:
-    """What an iteration knows: word values by bucket and the calibration."""
+class Scale:
+    """The calibration of an iteration: prior, knots, and the median confidence of a sentence."""
 
     prior: float
-    buckets: np.ndarray  # sorted
-    value: np.ndarray
-    precision: np.ndarray
     knots: tuple[tuple[float, float], ...] = ()
-    usual: float = 0.0  # median confidence of a sentence
+    usual: float = 0.0
 
-    def words(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        i = np.minimum(np.searchsorted(self.buckets, at), max(len(self.buckets) - 1, 0))
-        hit = self.buckets[i] == at if len(self.buckets) else np.zeros(len(at), dtype=bool)
-        none = 1e-6 / (_SPREAD + _FLOOR) ** 2
-        if not len(self.buckets):
-            return np.full(len(at), self.prior), np.full(len(at), none)
-        return np.where(hit, self.value[i], self.prior), np.where(hit, self.precision[i], none)
-
-    def calibrated(self, x: np.ndarray) -> np.ndarray:
+    def __call__(self, x: np.ndarray) -> np.ndarray:
         if not self.knots:
             return x
         at, to = zip(*self.knots, strict=True)
         return np.interp(x, at, to)
 
 
-def encoded(text: str, seen: dict[str, int]) -> tuple[bytes, bytes]:
-    """A text's words as hash buckets and its sentences' lengths, both as 32-bit integers."""
-    words: list[int] = []
-    lengths: list[int] = []
-    for ws in sentences(text):
-        for w in ws:
-            b = seen.get(w)
-            if b is None:
-                b = seen[w] = xxhash.xxh64_intdigest(w) % BUCKETS
-            words.append(b)
-        lengths.append(len(ws))
-    return np.array(words, dtype=np.int32).tobytes(), np.array(lengths, dtype=np.int32).tobytes()
+class Packer:
+    """Documents on their way into blocks."""
+
+    def __init__(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.keys: list = []
+        self.y: list[float] = []
+        self.n: list[int] = []
+        self.words: list[int] = []
+        self.lengths: list[int] = []
+        self.sentences: list[int] = []
+        self.chars = 0
+
+    def add(self, key, text: str, y: float) -> None:
+        got = sentences(text)
+        for ws in got:
+            self.words += [self.ids.setdefault(w, len(self.ids)) for w in ws]
+            self.lengths.append(len(ws))
+        self.keys.append(key)
+        self.y.append(y)
+        self.n.append(len(text.split()))
+        self.sentences.append(len(got))
+        self.chars += len(text)
+
+    def full(self) -> bool:
+        return self.chars >= BLOCK_CHARS or len(self.keys) >= BLOCK_DOCS
+
+    def row(self, block: int, example: bool) -> dict:
+        pack = lambda x: np.array(x, dtype=np.int32).tobytes()
+        vocabulary = [xxhash.xxh64_intdigest(w) - (1 << 63) for w in self.ids]
+        return {
+            "block": block, "example": example, "keys": self.keys, "y": self.y, "n": self.n, "words": pack(self.words), "lengths": pack(self.lengths),
+            "sentences": pack(self.sentences), "vocabulary": vocabulary,
+        }
 
 
 class Block:
-    """Encoded documents of a batch as flat arrays."""
+    """The documents of a block as flat arrays, with the values of its words where they are given."""
 
-    def __init__(self, words: list[bytes], lengths: list[bytes]):
-        self.word = np.frombuffer(b"".join(words), dtype=np.int32)
-        self.length = np.frombuffer(b"".join(lengths), dtype=np.int32).astype(np.int64)
+    def __init__(self, row, prior: float):
+        self.word = np.frombuffer(row.words, dtype=np.int32)
+        self.length = np.frombuffer(row.lengths, dtype=np.int32).astype(np.int64)
+        per_doc = np.frombuffer(row.sentences, dtype=np.int32)
         self.of_word = np.repeat(np.arange(len(self.length)), self.length)
-        self.doc = np.repeat(np.arange(len(lengths)), [len(x) // 4 for x in lengths])
-        self.docs = len(lengths)
-
-    def scores(self, state: State) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.doc, self.docs, self.prior = np.repeat(np.arange(len(per_doc)), per_doc), len(per_doc), prior
+        self.y = np.asarray(row.y, dtype=float)
+        self.vocabulary = np.asarray(row.vocabulary, dtype=np.int64)
+        self.v = np.full(len(self.vocabulary), prior)
+        self.p = np.full(len(self.vocabulary), 1e-6 / (_SPREAD + _FLOOR) ** 2)
+        at = getattr(row, "at", None)
+        if at is not None and len(at):
+            self.v[at], self.p[at] = row.v, row.p
+
+    def scores(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Difficulty and confidence of each sentence, and difficulty of each document."""
-        v, p = state.words(self.word)
-        n = len(self.length)
+        v, p, n = self.v[self.word], self.p[self.word], len(self.length)
         a = np.bincount(self.of_word, weights=p, minlength=n)
         own = np.bincount(self.of_word, weights=p * v, minlength=n) / np.maximum(a, 1e-12)
         conf = a / np.maximum(self.length, 1)
         w = np.sqrt(conf) + 1e-6
         d = np.bincount(self.doc, weights=w, minlength=self.docs)
-        doc = np.where(d > 0, np.bincount(self.doc, weights=w * own, minlength=self.docs) / np.maximum(d, 1e-12), state.prior)
+        doc = np.where(d > 0, np.bincount(self.doc, weights=w * own, minlength=self.docs) / np.maximum(d, 1e-12), self.prior)
         return own, conf, doc
 
+    def sums(self, w: np.ndarray, v: np.ndarray) -> pd.DataFrame:
+        """By word: the sentences' weights, and their sums of values and squares."""
+        k, w, v = len(self.vocabulary), w[self.of_word], v[self.of_word]
+        return pd.DataFrame({"w": self.vocabulary} | {c: np.bincount(self.word, weights=x, minlength=k) for c, x in (("n", w), ("m", w * v), ("q", w * v * v))})
+
+
+_BLOCK = "block bigint, example boolean, keys array<{kind}>, y array<double>, n array<int>, words binary, lengths binary, sentences binary, vocabulary array<bigint>"
+_SUMS = "w bigint, n double, m double, q double"
 
-def _sums(word: np.ndarray, w: np.ndarray, v: np.ndarray) -> pd.DataFrame:
-    at, inv = np.unique(word, return_inverse=True)
-    parts = {"n": w, "m": w * v, "q": w * v * v}
-    return pd.DataFrame({"b": at.astype(np.int32)} | {k: np.bincount(inv, weights=x, minlength=len(at)) for k, x in parts.items()})
 
+def _learn(sums: DataFrame, prior: float) -> DataFrame:
+    """The words' values (w, v, p and their weight n) from summed weights."""
+    s = sums.groupBy("w").agg(*[F.sum(c).alias(c) for c in ("n", "m", "q")]).where("n > 0")
+    v = (F.col("m") + _SHRINK * prior) / (F.col("n") + _SHRINK)
+    var = F.greatest((F.col("q") + _SHRINK * (prior**2 + _SPREAD)) / (F.col("n") + _SHRINK) - v * v, F.lit(0.0))
+    return s.select("w", v.alias("v"), ((F.col("n") / (F.col("n") + 1)) / ((var + _FLOOR) * (var + _FLOOR))).alias("p"), "n")
 
-def _learn(sums: DataFrame, prior: float) -> State:
-    """Word values from summed weights; at most BUCKETS rows."""
-    pdf = sums.groupBy("b").agg(*[F.sum(c).alias(c) for c in ("n", "m", "q")]).where("n > 0").toPandas().sort_values("b")
-    n, m, q = (pdf[c].to_numpy() for c in ("n", "m", "q"))
-    v = (m + _SHRINK * prior) / (n + _SHRINK)
-    var = np.maximum((q + _SHRINK * (prior**2 + _SPREAD)) / (n + _SHRINK) - v**2, 0)
-    return State(prior, pdf["b"].to_numpy(np.int32), v.astype(np.float32), ((n / (n + 1)) / (var + _FLOOR) ** 2).astype(np.float32))
+
+def _informed(blocks: DataFrame, words: DataFrame) -> DataFrame:
+    """Blocks with the values of their own words: at (places in the vocabulary), v, p.
+
+    Only words and values move; the blocks were partitioned by their number once.
+    """
+    need = blocks.select("block", F.posexplode("vocabulary").alias("i", "w"))
+    got = need.join(words.select("w", "v", "p"), "w").groupBy("block").agg(F.collect_list(F.struct("i", "v", "p")).alias("x"))
+    return blocks.join(got.select("block", F.col("x.i").alias("at"), F.col("x.v").alias("v"), F.col("x.p").alias("p")), "block", "left")
 
 
 def graded(labels: DataFrame, key: str, band: str, max_labels: int = MAX_LABELS) -> DataFrame:
@@ -141,7 +177,7 @@ def reading_levels(
     key: str = "doc_id",
     text: str = "text",
     band: str = "band",
-    iterations: int = 3,
+    most: int = MOST,
     min_words: int = MIN_WORDS,
     max_labels: int = MAX_LABELS,
 ) -> DataFrame:
@@ -153,97 +189,94 @@ def reading_levels(
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[key]
+    known = cut(graded(labels, key, band, max_labels))
+    prior = known.agg(F.avg("y")).first()[0]
+    prior = 1.0 if prior is None else float(prior)
+    # at most max_labels rows of a key and a number
+    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull()).join(F.broadcast(known), "k", "left")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, int] = {}
-        for pdf in batches:
-            if len(seen) > 500_000:
-                seen.clear()
-            both = [encoded(t, seen) for t in pdf["t"]]
-            yield pd.DataFrame({"k": pdf["k"], "w": [x for x, _ in both], "s": [x for _, x in both], "n": [len(t.split()) for t in pdf["t"]]})
-
-    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull())
-    # every iteration passes over the documents: their texts are taken apart once
-    rows = cut(texts.mapInPandas(encode, f"k {kind}, w binary, s binary, n int"))
-    known = graded(labels, key, band, max_labels).toPandas()
-    clamp = dict(zip(known["k"], known["y"], strict=True))
-    prior = float(known["y"].mean()) if len(known) else 1.0
-    sent_clamp = spark.sparkContext.broadcast(clamp)
-    examples = rows.join(F.broadcast(spark.createDataFrame(known[["k"]], f"k {kind}")), "k", "left_semi")
-    sums_schema = "b int, n double, m double, q double"
-
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = TaskContext.get().partitionId() << 32
+        open_ = {False: Packer(), True: Packer()}
         for pdf in batches:
-            b = Block(pdf["w"].tolist(), pdf["s"].tolist())
-            y = np.array([sent_clamp.value[k] for k in pdf["k"]], dtype=float)
-            v = y[b.doc][b.of_word] if len(b.word) else np.zeros(0)
-            yield _sums(b.word, np.ones(len(b.word)), v)
+            for k, t, y in zip(pdf["k"], pdf["t"], pdf["y"].astype(float), strict=True):
+                for example in (False, True) if y == y else (False,):
+                    open_[example].add(k, t, y)
+                    if open_[example].full():
+                        yield pd.DataFrame([open_[example].row(number, example)])
+                        open_[example], number = Packer(), number + 1
+        for example, packer in open_.items():
+            if packer.keys:
+                yield pd.DataFrame([packer.row(number, example)])
+                number += 1
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    every = cut(texts.mapInPandas(encode, _BLOCK.format(kind=kind)).repartition(parts, "block"))
+    # the graded documents are in blocks of their own besides
+    blocks, examples = every.where("not example"), every.where("example")
+
+    def each(rows: DataFrame, of_block, schema: str) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for row in pdf.itertuples(index=False):
+                    yield from of_block(Block(row, prior), row)
 
-    state = _learn(examples.mapInPandas(first, sums_schema), prior)
+        return rows.mapInPandas(run, schema)
 
-    def calibrate(state: State) -> State:
-        sent = spark.sparkContext.broadcast(state)
+    def first(b: Block, row) -> Iterator[pd.DataFrame]:
+        yield b.sums(np.ones(len(b.length)), b.y[b.doc])
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                b = Block(pdf["w"].tolist(), pdf["s"].tolist())
-                _, conf, doc = b.scores(sent.value)
-                y = [sent_clamp.value[k] for k in pdf["k"]]
-                yield pd.DataFrame({"y": y, "x": doc, "c": -1.0})
-                yield pd.DataFrame({"y": -1.0, "x": conf, "c": 1.0})
+    def calibrate(words: DataFrame) -> Scale:
+        def run(b: Block, row) -> Iterator[pd.DataFrame]:
+            _, conf, doc = b.scores()
+            yield pd.DataFrame({"y": b.y, "x": doc})
+            yield pd.DataFrame({"y": -1.0, "x": conf})
 
-        got = examples.mapInPandas(run, "y double, x double, c double").groupBy("y").agg(F.percentile_approx("x", 0.5, 10000).alias("m")).collect()
+        got = each(_informed(examples, words), run, "y double, x double").groupBy("y").agg(F.percentile_approx("x", 0.5, 10000).alias("m")).collect()
         by = {r["y"]: r["m"] for r in got}
         knots: list[tuple[float, float]] = []
         for y in (0.0, 1.0, 2.0):
             if y in by and (not knots or by[y] > knots[-1][0]):
                 knots.append((by[y], y))
-        state.knots, state.usual = tuple(knots), by.get(-1.0) or 0.0
-        return state
-
-    for _ in range(iterations):
-        state = calibrate(state)
-        sent = spark.sparkContext.broadcast(state)
-
-        def spread(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            s = sent.value
-            for pdf in batches:
-                b = Block(pdf["w"].tolist(), pdf["s"].tolist())
-                if not len(b.word):
-                    continue
-                own, conf, doc = b.scores(s)
-                y = np.array([sent_clamp.value.get(k, np.nan) for k in pdf["k"]], dtype=float)
-                fixed = ~np.isnan(y)
-                mine, up = s.calibrated(own), np.where(fixed, y, s.calibrated(doc))[b.doc]
-                f = fixed[b.doc]
-                v = np.where(f, 0.3 * mine + 0.7 * up, 0.7 * mine + 0.3 * up)
-                w = np.where(f, 1.0, 0.5 * conf / (conf + s.usual + 1e-12))
-                yield _sums(b.word, w[b.of_word], v[b.of_word])
-
-        state = _learn(rows.mapInPandas(spread, sums_schema), prior)
-    state = calibrate(state)
-    sent = spark.sparkContext.broadcast(state)
-
-    def grade(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s = sent.value
-        for pdf in batches:
-            pdf = pdf[pdf["n"] >= min_words].reset_index(drop=True)
-            b = Block(pdf["w"].tolist(), pdf["s"].tolist())
-            own, conf, doc = b.scores(s)
-            mine, level = s.calibrated(own), s.calibrated(doc)
-            keep = conf >= 0.3 * s.usual
-            order = np.lexsort((mine[keep], b.doc[keep]))
-            d, m = b.doc[keep][order], mine[keep][order]
-            at = np.searchsorted(d, np.arange(b.docs + 1))
-            for i in range(b.docs):
-                if at[i + 1] > at[i]:
-                    # the lower and the upper median; where they differ the mean decides between them
-                    lo, hi = m[(at[i] + at[i + 1] - 1) // 2], m[(at[i] + at[i + 1]) // 2]
-                    level[i] = lo if lo == hi else min(max(level[i], lo), hi)
-            names = np.where(level < 0.5, BANDS[0], np.where(level >= 1.5, BANDS[2], BANDS[1]))
-            yield pd.DataFrame({"k": pdf["k"], "difficulty": level.astype(float), "band": names})
-
-    return rows.mapInPandas(grade, f"k {kind}, difficulty double, band string").withColumnRenamed("k", key)
+        return Scale(prior, tuple(knots), by.get(-1.0) or 0.0)
+
+    def spread(scale: Scale):
+        def run(b: Block, row) -> Iterator[pd.DataFrame]:
+            own, conf, doc = b.scores()
+            fixed = ~np.isnan(b.y)
+            mine, up, f = scale(own), np.where(fixed, b.y, scale(doc))[b.doc], fixed[b.doc]
+            v = np.where(f, 0.3 * mine + 0.7 * up, 0.7 * mine + 0.3 * up)
+            yield b.sums(np.where(f, 1.0, 0.5 * conf / (conf + scale.usual + 1e-12)), v)
+
+        return run
+
+    words = cut(_learn(each(examples, first, _SUMS), prior))
+    for i in range(most):
+        moved = cut(_learn(each(_informed(blocks, words), spread(calibrate(words)), _SUMS), prior))
+        # words that had no value before count from the second iteration on
+        change = moved.join(words.select("w", F.col("v").alias("old")), "w").agg((F.sum(F.col("n") * F.abs(F.col("v") - F.col("old"))) / F.sum("n")).alias("r")).first()["r"]
+        words = moved
+        if i > 0 and (change is None or change < TOLERANCE):
+            break
+    scale = calibrate(words)
+
+    def grade(b: Block, row) -> Iterator[pd.DataFrame]:
+        own, conf, doc = b.scores()
+        mine, level = scale(own), scale(doc)
+        keep = conf >= 0.3 * scale.usual
+        order = np.lexsort((mine[keep], b.doc[keep]))
+        d, m = b.doc[keep][order], mine[keep][order]
+        at = np.searchsorted(d, np.arange(b.docs + 1))
+        for i in range(b.docs):
+            if at[i + 1] > at[i]:
+                # the lower and the upper median; where they differ the mean decides between them
+                lo, hi = m[(at[i] + at[i + 1] - 1) // 2], m[(at[i] + at[i + 1]) // 2]
+                level[i] = lo if lo == hi else min(max(level[i], lo), hi)
+        names = np.where(level < 0.5, BANDS[0], np.where(level >= 1.5, BANDS[2], BANDS[1]))
+        out = pd.DataFrame({"k": list(row.keys), "difficulty": level.astype(float), "band": names})
+        yield out[np.asarray(row.n) >= min_words]
+
+    return each(_informed(blocks, words), grade, f"k {kind}, difficulty double, band string").withColumnRenamed("k", key)
 
 
 def p10_found(spark, sf_dir: str) -> DataFrame:
