@@ -295,7 +295,12 @@ def venue_in_folder(spark, d):
     return best.select("release_id", F.col("term").alias("venue"))
 
 
-@query()
+@query("""
+WITH v AS (SELECT DISTINCT canon, trim(regexp_replace(regexp_replace(lower(strip_accents(trim(split_part(canon, ',', 2)) || ' ' || trim(split_part(canon, ',', 1)))), '[_·‐-―⁃]+', ' ', 'g'), '[^\\p{L}\\p{N}'']+', ' ', 'g')) AS k FROM ref_values WHERE kind = 'composer'),
+t AS (SELECT doc_id, ' ' || trim(regexp_replace(regexp_replace(lower(strip_accents(text)), '[_·‐-―⁃]+', ' ', 'g'), '[^\\p{L}\\p{N}'']+', ' ', 'g')) || ' ' AS f FROM documents WHERE text IS NOT NULL),
+h AS (SELECT doc_id, canon, instr(f, ' ' || k || ' ') AS p FROM t JOIN v ON contains(f, ' ' || k || ' '))
+SELECT doc_id, string_agg(canon, '; ' ORDER BY p) AS names FROM h GROUP BY 1
+""")
 def musicians_in_documents(spark, d):
     """Listed composers named in the texts of all documents, in order of appearance."""
     ref = table(spark, d, "ref_values").where("kind = 'composer'")

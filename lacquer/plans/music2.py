@@ -372,7 +372,37 @@ def provenance(spark, d):
     return table(spark, d, "releases").where("path is not null").select("release_id", rules.provenance(F.col("path")).alias("provenance"))
 
 
-@query()
+def _quoted(rx: str) -> str:
+    return "'" + rx.replace("'", "''") + "'"
+
+
+def _title_sql() -> str:
+    counted, tempo, marks = _quoted(text.COUNTED), _quoted(rf"(?i)\b(?:{text.TEMPO})"), "title"
+    mark_arms, key = [], "lower(strip_accents(title))"
+    for system, rx in text.CATALOGUES:
+        one, two = (f"regexp_extract({marks}, {_quoted(rx)}, {g})" for g in (1, 2))
+        number = f"upper({one}) || ':' || {two}" if system == "Hob" else f"CASE WHEN {two} <> '' THEN {one} || ' No.' || {two} ELSE {one} END"
+        mark_arms.append(f"WHEN regexp_matches(title, {_quoted(rx)}) THEN {{'s': '{system}', 'n': {number}}}")
+        key = f"regexp_replace({key}, {_quoted(rx)}, ' ', 'g')"
+    key = f"regexp_replace({key}, '\\([^)]*\\)', ' ', 'g')"
+    key = f"regexp_replace({key}, '\\b(?:no|nr|op|the|a|an|in|for|and|major|minor|flat|sharp)\\b', ' ', 'g')"
+    work = f"regexp_replace(regexp_replace(trim(title), {_quoted(text.EDITION)}, '', 'g'), {_quoted(text.AFTER_WORK)}, '', 'g')"
+    work = f"trim(regexp_replace(regexp_replace({work}, {_quoted(text.BEFORE_WORK)}, '', 'g'), '\\s{{2,}}', ' ', 'g'), ' -–—,;:')"
+    sung = ", ".join(_quoted(x) for x in text.SUNG)
+    rest, plain = f"trim(regexp_extract(trim(title), {counted}, 3))", "trim(lower(strip_accents(trim(title))), ' .-')"
+    return f"""
+WITH p AS (SELECT row_id, title, list_transform(string_split_regex(title, '\\s+[-–—]\\s+|\\s*:\\s+'), lambda x: trim(x)) AS ps FROM tracks WHERE title IS NOT NULL),
+q AS (SELECT *, list_max(list_filter(range(2, len(ps) + 1), lambda i: regexp_matches(ps[i], {counted}) OR (regexp_matches(ps[i], {tempo}) AND length(ps[i]) < 70))) AS i FROM p),
+r AS (SELECT *, ps[i] AS mv, regexp_matches(ps[i], {counted}) AS c, CASE {" ".join(mark_arms)} END AS k FROM q)
+SELECT row_id, CASE WHEN i IS NULL THEN trim(title) ELSE array_to_string(ps[:i - 1], ' - ') END AS work,
+  CASE WHEN c THEN coalesce(TRY_CAST(nullif(regexp_extract(mv, {counted}, 1), '') AS INTEGER), CAST(nullif(list_position({text.ROMAN}, lower(regexp_extract(mv, {counted}, 2))), 0) AS INTEGER)) END AS number,
+  CASE WHEN i IS NULL THEN NULL WHEN c THEN trim(regexp_extract(mv, {counted}, 3)) ELSE mv END AS movement, k.s AS system, k.n AS mark,
+  ({rest} <> '' AND (regexp_matches({rest}, {tempo}) OR len(string_split_regex({rest}, '\\s+')) <= 4)) OR {plain} IN ({sung}) OR (regexp_matches({plain}, '^(?:{text.TEMPO})') AND len(string_split_regex(trim(title), '\\s+')) <= 5) AS bare,
+  regexp_replace({key}, '[^a-z0-9]+', '', 'g') AS title_key, coalesce(nullif({work}, ''), trim(title)) AS work_title FROM r
+"""
+
+
+@query(_title_sql())
 def titles_split(spark, d):
     """Work, movement, catalogue mark and key of all titles."""
     t = table(spark, d, "tracks").where("title is not null")
@@ -382,7 +412,16 @@ def titles_split(spark, d):
     )
 
 
-@query()
+_GROUP_RX, _LED_RX = _quoted(text.GROUP), _quoted(text._LED_BY + "([^;/]+)")
+
+
+@query(f"""
+WITH a AS (SELECT row_id, artist_raw AS raw, nullif(trim(regexp_extract(artist_raw, {_LED_RX}, 1)), '') AS l FROM tracks WHERE artist_raw IS NOT NULL),
+b AS (SELECT row_id, raw, CASE WHEN NOT regexp_matches(l, {_GROUP_RX}) AND len(string_split_regex(l, '\\s+')) <= 5 THEN l END AS led FROM a),
+c AS (SELECT row_id, led, string_split_regex(CASE WHEN led IS NOT NULL THEN regexp_replace(raw, {_quoted(text._LED_BY + ".*$")}, '') ELSE raw END, '\\s*[;/]\\s*|\\s+&\\s+|(?i)\\s+feat\\.?\\s+') AS ch FROM b),
+e AS (SELECT row_id, led, list_filter(list_transform(flatten(list_transform(ch, lambda x: CASE WHEN contains(x, ',') AND regexp_matches(x, {_GROUP_RX}) THEN string_split(x, ',') ELSE [x] END)), lambda y: trim(y)), lambda z: z <> '') AS ps FROM c)
+SELECT row_id, array_to_string(list_filter(ps, lambda x: NOT regexp_matches(x, {_GROUP_RX})), '; ') AS people, array_to_string(list_filter(ps, lambda x: regexp_matches(x, {_GROUP_RX})), '; ') AS groups, led AS led_by FROM e
+""")
 def artists_split(spark, d):
     """People, groups and the leader named in packed artist fields."""
     t = table(spark, d, "tracks").where("artist_raw is not null").select("row_id", text.artist_parts(F.col("artist_raw")).alias("a"))
