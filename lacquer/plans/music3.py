@@ -457,3 +457,13 @@ FROM tracks WHERE recording_date IS NOT NULL GROUP BY 1, 2
 def session_rows(spark, d):
     """The session build's rows: what was recorded at one place on one date."""
     return sinks.session_rows(table(spark, d, "tracks"))
+
+
+@query("""
+SELECT row_id, coalesce(nullif(trim(recording_date), ''), 'undated') || ' - ' || coalesce(CASE WHEN trim(tune) <> '' THEN tune END, 'untitled') || CASE WHEN regexp_full_match(take, '\\d+') THEN ' (take ' || take || ')' WHEN take IS NOT NULL THEN ' (' || take || ' take)' ELSE '' END
+  || CASE WHEN lower(venue) LIKE '%room%' THEN ' [live]' ELSE '' END AS label FROM tracks
+""")
+def session_labels(spark, d):
+    """Entries of session playlists."""
+    kind = F.when(F.lower("venue").contains("room"), "live").otherwise("studio")
+    return table(spark, d, "tracks").select("row_id", sinks.session_label(F.col("recording_date"), F.col("tune"), F.col("take"), kind).alias("label"))

@@ -180,10 +180,11 @@ def scan_index(records: DataFrame) -> DataFrame:
     return records.groupBy("path").agg(F.max_by(F.struct("size", "mtime", F.col("error").isNull().alias("readable")), F.coalesce("mtime", F.lit(-1))).alias("r")).select("path", "r.*")
 
 
-def checkpointed(existing: DataFrame | None, answers: DataFrame, key: str, path: str) -> None:
-    """A cache of answers written next to the old one and swapped in, so that a lost run leaves the old cache whole."""
-    out = answers if existing is None else upsert(existing, answers, key)
-    out.write.mode("overwrite").parquet(path)
+def session_label(date: Column, tune: Column, take: Column, provenance: Column) -> Column:
+    """An entry of a session playlist: date, tune, take and the kind of occasion where it isn't a studio."""
+    numbered = F.when(take.rlike(r"^\d+$"), F.concat(F.lit(" (take "), take, F.lit(")"))).when(take.isNotNull(), F.concat(F.lit(" ("), take, F.lit(" take)")))
+    kind = F.when(provenance != "studio", F.concat(F.lit(" ["), provenance, F.lit("]")))
+    return F.concat(F.coalesce(blank_to_null(date), F.lit("undated")), F.lit(" - "), F.coalesce(blank_to_null(tune), F.lit("untitled")), F.coalesce(numbered, F.lit("")), F.coalesce(kind, F.lit("")))
 
 
 def csv_tables(tables: dict[str, tuple[DataFrame, list[str]]], root: str) -> None:

@@ -158,3 +158,23 @@ def test_numbers_and_sizes(spark):
     assert one(spark, lambda c: text.byte_units(c.cast("bigint")), "1536") == "1.5 KB"
     assert one(spark, text.album_title, "Requiem (1962) [FLAC] - Live") == "Requiem"
     assert one(spark, lambda c: text.work_title(c, F.lit("K"), F.lit("626")), "Requiem, K.626 in D") == "Requiem"
+
+
+def test_session_blocks(spark):
+    block = """590504 Somewhere
+THE BLUE NOTES QUINTET:
+Personnel: Ann One, Bo Two (tp); Cy Three (p).
+Location: Studio A, Old Town
+Date: May 4, 1959  Engineer: D. Four
+   a. "Night  River" (A. One) 4:37 First Label 12
+   b. "Leaving Home" 10:02
+
+NOTE: the second take
+is lost
+
+more"""
+    got = one(spark, text.session_block, block)
+    assert (got["group"], got["personnel"], got["location"], got["engineer"], got["note"]) == ("THE BLUE NOTES QUINTET", "Ann One, Bo Two (tp); Cy Three (p)", "Studio A, Old Town", "D. Four", "the second take is lost")
+    assert [tuple(t) for t in got["tunes"]] == [("a", "Night River", "A. One", "4:37", "First Label 12"), ("b", "Leaving Home", None, "10:02", None)]
+    empty = one(spark, text.session_block, "")
+    assert empty["group"] is None and empty["tunes"] == []
