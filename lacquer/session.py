@@ -43,3 +43,17 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder and cut its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_by(df: DataFrame, key: str) -> DataFrame:
+    """:func:`cut` of ``df`` partitioned by ``key``, so that later joins on it move the other side only.
+
+    Adaptive plans do not tell how their result is partitioned, so they are off meanwhile.
+    """
+    conf = df.sparkSession.conf
+    adaptive, parts = conf.get("spark.sql.adaptive.enabled"), int(conf.get("spark.sql.shuffle.partitions"))
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df.repartition(parts, key))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
