@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacquer.session import cut
+from lacquer.session import cut, cut_by
 
 BANDS = ("easy", "middle", "hard")
 #: Graded documents used at most.
@@ -160,7 +160,7 @@ def _informed(blocks: DataFrame, words: DataFrame) -> DataFrame:
     """
     need = blocks.select("block", F.posexplode("vocabulary").alias("i", "w"))
     got = need.join(words.select("w", "v", "p"), "w").groupBy("block").agg(F.collect_list(F.struct("i", "v", "p")).alias("x"))
-    return blocks.join(got.select("block", F.col("x.i").alias("at"), F.col("x.v").alias("v"), F.col("x.p").alias("p")), "block", "left")
+    return blocks.join(got.select("block", F.col("x.i").alias("at"), F.col("x.v").alias("v"), F.col("x.p").alias("p")).hint("shuffle_hash"), "block", "left")
 
 
 def graded(labels: DataFrame, key: str, band: str, max_labels: int = MAX_LABELS) -> DataFrame:
@@ -187,7 +187,6 @@ def reading_levels(
     prior's level; repeated rows each come out. Without graded examples every document is
     ``middle``. A language or word form is not asked for: words carry it.
     """
-    spark = docs.sparkSession
     kind = dict(docs.dtypes)[key]
     known = cut(graded(labels, key, band, max_labels))
     prior = known.agg(F.avg("y")).first()[0]
@@ -210,8 +209,7 @@ def reading_levels(
                 yield pd.DataFrame([packer.row(number, example)])
                 number += 1
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    every = cut(texts.mapInPandas(encode, _BLOCK.format(kind=kind)).repartition(parts, "block"))
+    every = cut_by(texts.mapInPandas(encode, _BLOCK.format(kind=kind)), "block")
     # the graded documents are in blocks of their own besides
     blocks, examples = every.where("not example"), every.where("example")
 
