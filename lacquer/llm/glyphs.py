@@ -119,18 +119,22 @@ def repairs(word: str) -> list[str]:
     return [r for s in dict.fromkeys([*order, "LATIN"]) if (r := respell(word, s)) is not None]
 
 
-def repair_text(plain: str, known: frozenset[str] | set[str]) -> str:
-    """``plain`` with its mixed words repaired; ``known`` are the candidate words the corpus has."""
+def repair_text(plain: str, known: frozenset[str] | set[str], unwitnessed: bool = True) -> str:
+    """``plain`` with its mixed words repaired; ``known`` are the candidate words the corpus has.
+
+    ``unwitnessed`` words, of which the corpus knows no form, are respelt in their dominant
+    script, or stay as they are if it is off.
+    """
     out = []
     for token in re.split(r"( +)", plain):
         ways = repairs(token)
         if ways:
-            token = next((w for w in ways if core(w) in known), ways[0])
+            token = next((w for w in ways if core(w) in known), ways[0] if unwitnessed else token)
         elif len(scripts_by_weight(token)) > 1:  # parts in different scripts, e.g. joined by a hyphen
             parts = []
             for p in re.split(r"([\W\d_]+)", token):
                 w = repairs(p)
-                parts.append(next((x for x in w if core(x) in known), w[0]) if w else p)
+                parts.append(next((x for x in w if core(x) in known), w[0] if unwitnessed else p) if w else p)
             token = "".join(parts)
         out.append(token)
     return unicodedata.normalize("NFC", "".join(out))
@@ -162,12 +166,14 @@ def _long(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     ).select(*[f"_k{i}" for i in range(len(keys))], "_f.field", "_f.value").where(F.col("value").isNotNull())
 
 
-def consistent_form(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+def consistent_form(df: DataFrame, keys: list[str], fields: list[str], unwitnessed: bool = False) -> DataFrame:
     """Every non-null (keys, field, value) with its consistent form ``fixed``.
 
     Nulls give no row; an empty value stays empty; a value of invisible characters only
     becomes empty; repeated rows each come out; the keys need not be unique as long as
-    equal keys have equal values. Extra columns are ignored, whatever their names.
+    equal keys have equal values. Extra columns are ignored, whatever their names. A mixed
+    word stays if no repair of it is in the corpus, unless ``unwitnessed`` words are to be
+    respelt too.
     """
     nk = [f"_k{i}" for i in range(len(keys))]
     long = _long(df, keys, fields)
@@ -187,7 +193,7 @@ def consistent_form(df: DataFrame, keys: list[str], fields: list[str]) -> DataFr
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            fixed = [repair_text(p, set(h)) for p, h in zip(pdf["plain"], pdf["hits"], strict=True)]
+            fixed = [repair_text(p, set(h), unwitnessed) for p, h in zip(pdf["plain"], pdf["hits"], strict=True)]
             out = pdf[[*nk, "field", "value"]].assign(fixed=fixed)
             yield out.loc[out.index.repeat(pdf["times"])]
 
