@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 from lacquer.functions.dates import mid_period
 from lacquer.functions.text import flat, leaf
 from lacquer.operators.ordered import carry, spread, spread_number
+from lacquer.session import cut
 
 #: Rows up to which a literal list or vocabulary counts as small.
 SMALL = 10_000
 #: Rows up to which an ordered list of intervals is compared one by one.
 FEW = 200
+#: Items of a set up to which pairs of them are made.
+MANY = 64
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -146,25 +149,37 @@ def unique_prefix(fragments: DataFrame, fragment: str, keys: DataFrame, key: str
 def set_overlap(left: DataFrame, lkey: str, right: DataFrame, rkey: str, item: str, least: int, share: float) -> DataFrame:
     """Pairs whose sets share ``least`` items or more and ``share`` of the left set.
 
-    Exact prefix filter: with ``share`` of its items a pair has one of the left set's
-    rarest size - ceil(share * size) + 1 in common, and only those meet the other side.
+    Exact prefix filter: a pair that shares ``need`` items has two of the left set's rarest
+    size - need + 2 in common, and only pairs of those meet the other side's pairs, so that
+    a common item alone makes no candidate. Sets of more than ``MANY`` such items have too
+    many pairs; they meet by one of their rarest size - need + 1. Of those that meet, 256
+    bits of either set tell most that cannot share ``need`` items before anything moves.
     Columns: lkey, rkey, shared, left_size, right_size, of_left, of_right.
     """
     a = left.select(F.col(lkey), F.col(item).alias("_i")).where("_i is not null").distinct()
     b = right.select(F.col(rkey), F.col(item).alias("_i")).where("_i is not null").distinct()
+    marks = lambda name: [F.bit_or(F.expr(f"if(pmod(xxhash64(_i), 4) = {k}, shiftleft(1L, cast(pmod(shiftright(xxhash64(_i), 2), 64) as int)), 0L)")).alias(f"{name}{k}") for k in range(4)]
     freq = b.groupBy("_i").agg(F.count("*").alias("_df"))
-    na = a.groupBy(lkey).agg(F.count("*").alias("left_size"))
-    nb = b.groupBy(rkey).agg(F.count("*").alias("right_size"))
-    need = F.ceil(F.col("left_size") * share)
+    na = a.groupBy(lkey).agg(F.count("*").alias("left_size"), *marks("_lm"))
+    nb = b.groupBy(rkey).agg(F.count("*").alias("right_size"), *marks("_rm"))
+    need = F.greatest(F.ceil(F.col("left_size") * share), F.lit(max(least, 1)))
     # items of the left set that the other side lacks are its rarest; they need no index
     have = a.join(freq, "_i")
-    enough = have.groupBy(lkey).agg(F.count("*").alias("_have")).join(na, lkey).where(F.col("_have") >= need)
-    ranked = spread_number(have.join(enough, lkey), [lkey], ["_df", "_i"], "_r")
-    prefix = ranked.where(F.col("_r") <= F.col("_have") - need + 1).select(lkey, "_i", need.alias("_need"))
-    cand = prefix.join(b, "_i").select(lkey, rkey, "_need").distinct().join(nb.where(F.col("right_size") >= least), rkey).where("right_size >= _need").select(lkey, rkey)
+    enough = have.groupBy(lkey).agg(F.count("*").alias("_have")).join(na, lkey).withColumn("_need", need).where("_have >= _need")
+    ranked = spread_number(have.join(enough, lkey), [lkey], ["_df", "_i"], "_r").withColumn("_n", F.col("_have") - F.col("_need") + 1)
+    ahead = cut(ranked.where("_r <= _n + 1").select(lkey, "_i", "_r", "_n", "_need", "left_size", *[f"_lm{k}" for k in range(4)]))
+    sets = b.join(ahead.select("_i").distinct(), "_i", "left_semi").join(nb.where(F.col("right_size") >= least), rkey)
+    alone, alone2 = (F.col("_n") > MANY) | (F.col("_need") < 2), F.col("right_size") > MANY
+    pairs = lambda df, key: df.join(df.select(key, F.col("_i").alias("_j")), key).where("_i < _j").withColumn("_k", F.xxhash64("_i", "_j")).drop("_i", "_j")
+    lost = sum((F.bit_count(F.col(f"_lm{k}").bitwiseAND(F.bitwise_not(f"_rm{k}"))) for k in range(4)), F.lit(0))
+    can = (F.col("right_size") >= F.col("_need")) & (F.col("left_size") - lost >= F.col("_need"))
+    one = ahead.where("_r <= _n")
+    met = [pairs(ahead.where(~alone), lkey).join(pairs(sets.where(~alone2), rkey), "_k"), one.where(alone).join(sets, "_i"), one.where(~alone).join(sets.where(alone2), "_i")]
+    met = [m.where(can).select(lkey, rkey) for m in met]
+    cand = cut(met[0].unionByName(met[1]).unionByName(met[2]).distinct())
     # the right sets are spread first: a hot left set is met item by item and never copied
     full = cand.join(b, rkey).join(a, [lkey, "_i"]).groupBy(lkey, rkey).agg(F.count("*").alias("shared"))
-    out = full.join(na, lkey).join(nb, rkey).where((F.col("shared") >= least) & (F.col("shared") >= F.col("left_size") * share))
+    out = full.join(na.select(lkey, "left_size"), lkey).join(nb.select(rkey, "right_size"), rkey).where((F.col("shared") >= least) & (F.col("shared") >= F.col("left_size") * share))
     return out.withColumn("of_left", F.col("shared") / F.col("left_size")).withColumn("of_right", F.col("shared") / F.col("right_size"))
 
 

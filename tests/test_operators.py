@@ -70,6 +70,22 @@ def test_set_overlap_loses_no_pair(spark):
     assert got == {(x, y, len(a[x] & b[y])) for x in a for y in b if len(a[x] & b[y]) >= 2 and len(a[x] & b[y]) >= 0.5 * len(a[x])}
 
 
+def test_set_overlap_of_common_items_makes_few_candidates(spark, monkeypatch):
+    rnd = random.Random(9)
+    # everyone has one of three standards and otherwise items of their own; some sets are copies, large ones among them
+    sets = {f"l{i}": {f"s{rnd.randrange(3)}"} | {f"x{i}_{j}" for j in range(rnd.randrange(2, 6))} for i in range(60)}
+    sets |= {f"big{i}": {f"y{i}_{j}" for j in range(90)} | {"s0"} for i in range(2)} | {"tiny": {"s0"}}
+    other = {f"r{k}": {x for x in v if rnd.random() < 0.8} | {f"s{rnd.randrange(3)}"} for k, v in sets.items() if rnd.random() < 0.4 or k[0] != "l"}
+    rows = lambda d, n: spark.createDataFrame([(k, x) for k, v in d.items() for x in v], f"{n} string, i string")
+    sizes, cut = [], joins.cut
+    monkeypatch.setattr(joins, "cut", lambda df: sizes.append((df.columns, (out := cut(df)).count())) or out)
+    for least, share in ((2, 0.5), (1, 0.5), (3, 0.1)):
+        got = {(r.l, r.r, r.shared) for r in joins.set_overlap(rows(sets, "l"), "l", rows(other, "r"), "r", "i", least, share).collect()}
+        assert got == {(x, y, n) for x, v in sets.items() for y, w in other.items() if (n := len(v & w)) >= least and n >= share * len(v)}
+        if least > 1:
+            assert len(got) <= sizes[-1][1] < 3 * len(got) and sizes[-1][0] == ["l", "r"]
+
+
 def test_dictionary_joins(spark):
     texts = spark.createDataFrame([(1, "A/The Cats (Cy Three)"), (2, "Complete Copenhagen"), (3, "Om live")], "id int, p string")
     vocab = spark.createDataFrame([("The Cats", 1), ("Cy Three", 2), ("Om", 3), ("Copenhagen", 4), ("A", 5)], "term string, ord int")
