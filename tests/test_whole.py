@@ -1,6 +1,6 @@
 """Whole tables, the folder of loose files included, and hot groups split over tasks."""
 
-from lacquer.operators import ordered
+from lacquer.operators import joins, ordered
 from lacquer.plans import registry
 
 
@@ -41,3 +41,16 @@ def test_duplicates_name_every_member(spark, sf):
     for r in run("duplicate_content_members"):
         same.setdefault((r.n, r.first_release, r.last_release), set()).add(r.release_id)
     assert sorted((len(m), min(m), max(m)) for m in same.values()) == sorted((r.n, r.first_release, r.last_release) for r in run("duplicate_contents"))
+
+
+def test_a_standard_that_everyone_plays_makes_no_candidates(spark, tmp_path, monkeypatch):
+    make = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    make("tracks", [(f"r{k}", t) for k in range(40) for t in ("standard", f"a{k}", f"b{k}", f"c{k}")], "release_id string, tune string")
+    make("ext_tracks", [(f"{p}{k}", t) for k in range(40) for p in "ef" for t in ("standard", f"a{k}", f"b{k}")], "ext_release_id string, title string")
+    make("releases", [(f"r{k}", 1960) for k in range(40)], "release_id string, release_year int")
+    make("ext_releases", [(f"{p}{k}", 1960 if p == "e" else 1961) for k in range(40) for p in "ef"], "ext_release_id string, release_year int")
+    sizes, cut = [], joins.cut
+    monkeypatch.setattr(joins, "cut", lambda df: sizes.append((out := cut(df)).count()) or out)
+    got = registry.queries()["overlap_best"](spark, str(tmp_path)).collect()
+    assert sorted((r.release_id, r.best) for r in got) == sorted((f"r{k}", f"e{k}") for k in range(40))
+    assert sizes[-1] == 80
