@@ -1,7 +1,10 @@
 """Whole tables, the folder of loose files included, and hot groups split over tasks."""
 
+import time
+
 from lacquer.operators import joins, ordered
 from lacquer.plans import registry
+from lacquer.session import FREE, cut, cut_by
 
 
 def test_zip_meets_the_folder_of_loose_files(spark, tmp_path):
@@ -54,3 +57,19 @@ def test_a_standard_that_everyone_plays_makes_no_candidates(spark, tmp_path, mon
     got = registry.queries()["overlap_best"](spark, str(tmp_path)).collect()
     assert sorted((r.release_id, r.best) for r in got) == sorted((f"r{k}", f"e{k}") for k in range(40))
     assert sizes[-1] == 80
+
+
+def test_a_cut_leaves_its_rows_and_partitions_but_no_shuffle_files(spark):
+    def shuffles():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for i in range(files.size()) if (n := files.apply(i).getName()).startswith("shuffle_")}
+
+    before = shuffles()
+    df = cut(spark.range(1000).repartition(5))
+    for _ in range(50):
+        if shuffles() <= before:
+            break
+        time.sleep(0.2)
+    assert shuffles() <= before and df.count() == 1000 and spark.conf.get(FREE, "false") == "false"
+    keyed = cut_by(spark.range(1000).toDF("k"), "k")
+    assert keyed.groupBy("k").count()._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 0
