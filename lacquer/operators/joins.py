@@ -183,6 +183,24 @@ def set_overlap(left: DataFrame, lkey: str, right: DataFrame, rkey: str, item: s
     return out.withColumn("of_left", F.col("shared") / F.col("left_size")).withColumn("of_right", F.col("shared") / F.col("right_size"))
 
 
+def equal_sets(sets: DataFrame, key: str, item: str, facts: DataFrame) -> DataFrame:
+    """Each row of ``facts`` (the key and others) whose key has items, with ``rep``, the largest key of equal items and equal others.
+
+    What only depends on those needs the reps alone, so copies don't multiply. Sets of more
+    than ``MANY`` items are not gathered; they stand for themselves.
+    """
+    others = [c for c in facts.columns if c != key]
+    d = sets.select(F.col(key), F.col(item).alias("_i")).where("_i is not null").distinct()
+    size = d.groupBy(key).agg(F.count("*").alias("_n"))
+    few = d.join(size.where(F.col("_n") <= MANY), key).groupBy(key).agg(F.array_sort(F.collect_list("_i")).alias("_s")).join(facts, key)
+    first = few.groupBy("_s", *others).agg(F.max(key).alias("rep")).select(F.col("_s").alias("_s2"), *[F.col(c).alias(f"_o_{c}") for c in others], "rep")
+    same = F.col("_s") == F.col("_s2")
+    for c in others:
+        same = same & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    many = size.where(F.col("_n") > MANY).join(facts, key).select(*facts.columns, F.col(key).alias("rep"))
+    return cut(few.join(first, same).select(*facts.columns, "rep").unionByName(many))
+
+
 def best_overlap(overlaps: DataFrame, lkey: str, rkey: str, bonus: Column, order: str) -> DataFrame:
     """For each left key the counterpart of the highest share plus bonus, the first in ``order`` on ties."""
     rank = F.struct((F.col("of_left") + bonus).alias("s"), (-F.col(order)).alias("o"))

@@ -347,10 +347,16 @@ def overlap_two_way(spark, d):
 @query(_OVERLAP_SQL + """, y AS (SELECT o.*, r.release_year IS NOT DISTINCT FROM e.release_year AND r.release_year IS NOT NULL AS same FROM o JOIN releases r USING (release_id) JOIN ext_releases e USING (ext_release_id))
 SELECT release_id, arg_max(ext_release_id, {'s': shared * 1.0 / left_size + CASE WHEN same THEN 0.5 ELSE 0.0 END, 'k': ext_release_id}) AS best FROM y GROUP BY 1""")
 def overlap_best(spark, d):
-    o = joins.set_overlap(_tunes(spark, d), "release_id", _ext_tunes(spark, d).where("ext_release_id is not null"), "ext_release_id", "tune", 3, 0.5)
-    o = o.join(table(spark, d, "releases").select("release_id", F.col("release_year").alias("y1")), "release_id").join(table(spark, d, "ext_releases").select("ext_release_id", F.col("release_year").alias("y2")), "ext_release_id")
+    """Releases of the same tunes and year have the same counterpart, so one of each meets one of each."""
+    a, b = _tunes(spark, d), _ext_tunes(spark, d).where("ext_release_id is not null")
+    ours = joins.equal_sets(a, "release_id", "tune", table(spark, d, "releases").select("release_id", F.col("release_year").alias("y1")))
+    theirs = joins.equal_sets(b, "ext_release_id", "tune", table(spark, d, "ext_releases").select("ext_release_id", F.col("release_year").alias("y2")))
+    left, right = ours.select(F.col("rep").alias("release_id"), "y1").distinct(), theirs.select(F.col("rep").alias("ext_release_id"), "y2").distinct()
+    o = joins.set_overlap(a.join(left, "release_id", "left_semi"), "release_id", b.join(right, "ext_release_id", "left_semi"), "ext_release_id", "tune", 3, 0.5)
     score = F.struct((F.col("of_left") + F.when(F.col("y1") == F.col("y2"), 0.5).otherwise(0.0)).alias("s"), F.col("ext_release_id"))
-    return o.groupBy("release_id").agg(F.max_by("ext_release_id", score).alias("best"))
+    best = o.join(left, "release_id").join(right, "ext_release_id").groupBy(F.col("release_id").alias("rep"), F.col("y1").alias("_y")).agg(F.max(score).alias("_b"))
+    every = ours.join(best, (ours["rep"] == best["rep"]) & ours["y1"].eqNullSafe(best["_y"]))
+    return every.groupBy("release_id").agg(F.max("_b").alias("_b")).select("release_id", F.col("_b.ext_release_id").alias("best"))
 
 
 @query("""

@@ -59,6 +59,22 @@ def test_a_standard_that_everyone_plays_makes_no_candidates(spark, tmp_path, mon
     assert sizes[-1] == 80
 
 
+def test_copies_of_a_release_make_no_candidates_of_their_own(spark, tmp_path, monkeypatch):
+    make = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    # release k comes 20 times, half of them of one year and half of another or none; so does its counterpart
+    year = lambda k, i: (1960 + k, 1970 + k if k % 2 else None)[i % 2]
+    make("tracks", [(f"r{k}_{i}", f"{t}{k}") for k in range(6) for i in range(20) for t in "abc"], "release_id string, tune string")
+    make("ext_tracks", [(f"e{k}_{i}", f"{t}{k}") for k in range(6) for i in range(20) for t in "abc"] + [("e0_gone", f"{t}0") for t in "abc"], "ext_release_id string, title string")
+    make("releases", [(f"r{k}_{i}", year(k, i)) for k in range(6) for i in range(20)], "release_id string, release_year int")
+    make("ext_releases", [(f"e{k}_{i}", year(k, i)) for k in range(6) for i in range(20)], "ext_release_id string, release_year int")
+    sizes, cut = [], joins.cut
+    monkeypatch.setattr(joins, "cut", lambda df: sizes.append((out := cut(df)).count()) or out)
+    got = {r.release_id: r.best for r in registry.queries()["overlap_best"](spark, str(tmp_path)).collect()}
+    best = lambda k, i: max(f"e{k}_{j}" for j in range(20) if year(k, i) is None or year(k, j) == year(k, i))
+    assert got == {f"r{k}_{i}": best(k, i) for k in range(6) for i in range(20)}
+    assert sizes[-1] == 6 * 2 * 2
+
+
 def test_a_cut_leaves_its_rows_and_partitions_but_no_shuffle_files(spark):
     def shuffles():
         files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
