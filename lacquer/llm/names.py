@@ -42,18 +42,18 @@ PLACEHOLDERS = frozenset(
 )
 NICKNAMES = {
     "al": "albert,alan,alfred", "alec": "alexander", "alex": "alexander,alexandra", "andy": "andrew,anders", "ben": "benjamin", "bert": "albert,robert,herbert", "beth": "elizabeth", "betty": "elizabeth",
-    "bill": "william", "billy": "william", "bob": "robert", "bobby": "robert", "cathy": "katherine", "charlie": "charles", "chris": "christopher", "chuck": "charles", "dan": "daniel", "danny": "daniel", "dave": "david",
+    "bill": "william", "billy": "william", "bob": "robert", "bobby": "robert", "cathy": "katherine", "charlie": "charles", "chris": "christopher", "chuck": "charles", "kit": "christopher", "dan": "daniel", "danny": "daniel", "dave": "david",
     "dick": "richard", "don": "donald", "dot": "dorothy", "dottie": "dorothy", "drew": "andrew", "ed": "edward", "eddie": "edward", "ellie": "eleanor", "frank": "francis", "fred": "frederick,alfred", "freddie": "frederick",
     "gerry": "gerald", "greg": "gregory", "hal": "henry,harold", "hank": "henry", "harry": "henry,harold", "jack": "john", "jamie": "james", "jerry": "gerald", "jim": "james", "jimmy": "james", "jo": "josephine", "joe": "joseph",
     "johnny": "john", "josie": "josephine", "kate": "katherine", "kathy": "katherine", "kitty": "katherine", "larry": "lawrence", "len": "leonard", "lenny": "leonard", "liz": "elizabeth", "lou": "louis,louise",
     "maggie": "margaret", "meg": "margaret", "mick": "michael", "mickey": "michael", "mike": "michael", "nat": "nathaniel", "nate": "nathaniel", "ned": "edward", "nell": "eleanor", "nick": "nicholas", "pat": "patricia,patrick",
-    "patty": "patricia", "peggy": "margaret", "pete": "peter", "phil": "philip", "ray": "raymond", "rich": "richard", "rick": "richard", "rob": "robert", "ron": "ronald", "sam": "samuel", "sandy": "alexander,alexandra",
+    "patty": "patricia", "patsy": "patricia", "peggy": "margaret", "pete": "peter", "phil": "philip", "ray": "raymond", "rich": "richard", "rick": "richard", "rob": "robert", "ron": "ronald", "sam": "samuel", "sandy": "alexander,alexandra",
     "steve": "stephen", "sue": "susannah,susan", "susie": "susannah,susan", "ted": "edward,theodore", "teddy": "edward,theodore", "theo": "theodore", "tim": "timothy", "tom": "thomas", "tommy": "thomas", "tony": "anthony",
     "trish": "patricia", "vic": "victor,victoria", "vicky": "victoria", "vince": "vincent", "wally": "walter", "walt": "walter", "will": "william", "zach": "zachary", "zack": "zachary",
 }
 KINDS = {
     "duo": "duo", "trio": "trio", "3o": "trio", "3tet": "trio", "quartet": "quartet", "quartett": "quartet", "quartette": "quartet", "qrt": "quartet", "qt": "quartet", "4tet": "quartet",
-    "quintet": "quintet", "quintett": "quintet", "qnt": "quintet", "5tet": "quintet", "sextet": "sextet", "sextett": "sextet", "6tet": "sextet", "septet": "septet", "septett": "septet", "7tet": "septet",
+    "quintet": "quintet", "quintett": "quintet", "qnt": "quintet", "5tet": "quintet", "sextet": "sextet", "sextett": "sextet", "sxt": "sextet", "6tet": "sextet", "septet": "septet", "septett": "septet", "7tet": "septet",
     "octet": "octet", "octett": "octet", "8tet": "octet", "nonet": "nonet", "9tet": "nonet", "ensemble": "ensemble", "ensembl": "ensemble", "ens": "ensemble", "orchestra": "orchestra", "orchestre": "orchestra",
     "orchester": "orchestra", "orch": "orchestra", "ork": "orchestra", "band": "band", "bigband": "big band", "singers": "singers", "sngrs": "singers", "choir": "choir", "chor": "choir", "players": "players", "plyrs": "players",
     "circle": "circle", "tr": "trio", "bb": "big band", "brothers": "brothers", "group": "group",
@@ -146,6 +146,8 @@ def same_given(a: str, b: str) -> bool:
 
 #: Weights of the parts of a name in its cosine, and the cosine from which names are linked.
 SURNAME, GIVEN, LEAST = 0.6, 0.4, 0.65
+#: A given name is established if it has so many surnames, unless a name one edit from it has ``COMMONER`` times as many.
+SURNAMES, COMMONER = 4, 4
 #: Initials that are so much nearer to one of two clusters are linked to it.
 NEAR = 0.06
 #: Weights of the features of a given part: a trigram, a first letter, a formal name, a middle initial.
@@ -324,6 +326,26 @@ def similar_names(names: DataFrame, word: str = "word", by: list[str] | None = N
 _PARSED = "kind string, first string, last string, inits string, nick string, fixed boolean"
 
 
+def slips(counts: DataFrame) -> DataFrame:
+    """The given names ``w`` (of SURNAMES or more in ``as_given``) that are a typing error of a name COMMONER times as common.
+
+    The typing errors of a common name grow with the data as the name does, so a count alone
+    does not tell them from names. Words within one edit share themselves without a letter;
+    they meet on that. Names of the list of nicknames are none.
+    """
+    known = sorted({*NICKNAMES, *(f for v in NICKNAMES.values() for f in v.split(","))})
+    less = F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.concat(F.substring(F.col("w"), F.lit(1), i - 1), F.substring(F.col("w"), i + 1, F.length("w"))))
+    v = counts.where(F.col("as_given") >= SURNAMES).select("w", "as_given", F.explode(F.array_distinct(F.concat(F.array("w"), less))).alias("v"))
+    to = v.select("v", F.col("w").alias("to"), F.col("as_given").alias("to_given"))
+    met = v.where(~F.col("w").isin(known)).join(to, "v").where(F.col("to_given") >= COMMONER * F.col("as_given")).select("w", "to").distinct()
+
+    @F.pandas_udf("boolean")
+    def one_edit(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([osa(x, y, 1) <= 1 for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    return met.where(one_edit("w", "to")).select("w").distinct()
+
+
 def link_names(spellings: DataFrame, col: str = "name", threshold: float = 0.55) -> DataFrame:
     """Each distinct spelling that is a name, with the ``entity`` it belongs to.
 
@@ -342,9 +364,10 @@ def link_names(spellings: DataFrame, col: str = "name", threshold: float = 0.55)
     # which of two words is the given name: it meets more partners as one than as a surname
     people = parsed.where("kind = 'person' and first <> ''")
     roles = people.select(F.explode(F.array(F.struct(F.col("first").alias("w"), F.col("last").alias("p"), F.lit(1).alias("r")), F.struct(F.col("last").alias("w"), F.col("first").alias("p"), F.lit(-1).alias("r")))).alias("x"))
-    score = roles.select("x.w", "x.p", "x.r").distinct().groupBy("w").agg(F.sum("r").alias("score"), F.sum(F.when(F.col("r") > 0, 1).otherwise(0)).alias("as_given"))
-    first = score.select(F.col("w").alias("first"), F.col("score").alias("fs"), F.col("as_given").alias("fg"))
-    last = score.select(F.col("w").alias("last"), F.col("score").alias("ls"), F.col("as_given").alias("lg"))
+    score = cut(roles.select("x.w", "x.p", "x.r").distinct().groupBy("w").agg(F.sum("r").alias("score"), F.sum(F.when(F.col("r") > 0, 1).otherwise(0)).alias("as_given")))
+    score = score.join(slips(score).withColumn("slip", F.lit(True)), "w", "left").withColumn("sure", (F.col("as_given") >= SURNAMES) & F.isnull("slip"))
+    first = score.select(F.col("w").alias("first"), F.col("score").alias("fs"), F.col("sure").alias("fe"))
+    last = score.select(F.col("w").alias("last"), F.col("score").alias("ls"), F.col("as_given").alias("lg"), F.col("sure").alias("le"))
     scored = parsed.join(first, "first", "left").join(last, "last", "left")
     swap = ~F.col("fixed") & (F.col("ls") > F.col("fs")) & (F.col("lg") >= 2)
     keyed = cut(scored.select(
@@ -354,7 +377,7 @@ def link_names(spellings: DataFrame, col: str = "name", threshold: float = 0.55)
         F.when(swap, F.col("last")).otherwise(F.col("first")).alias("given"),
         "inits",
         "nick",
-        (F.coalesce(F.when(swap, F.col("lg")).otherwise(F.col("fg")), F.lit(0)) >= 4).alias("established"),
+        F.coalesce(F.when(swap, F.col("le")).otherwise(F.col("fe")), F.lit(False)).alias("established"),
     ))
 
     # names whose other part is a typing error of a better known one: their given parts are equal, so

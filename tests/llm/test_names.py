@@ -2,7 +2,7 @@ import itertools
 import math
 import random
 
-from lacquer.llm.names import average_linkage, is_placeholder, link_names, name_cosines, osa, parse_name, similar_names, variant_pairs
+from lacquer.llm.names import average_linkage, is_placeholder, link_names, name_cosines, osa, parse_name, similar_names, slips, variant_pairs
 
 
 def test_osa_against_definition():
@@ -71,6 +71,20 @@ def test_linking_and_edge_cases(spark):
     assert link_names(df.limit(0)).count() == 0
 
 
+def test_a_frequent_slip_of_a_common_given_name_is_no_name(spark):
+    # many rows bring the same typing error with many surnames
+    last = [f"{a}{b}{c}" for a in ("Hod", "Vel", "Kras", "Mun") for b in ("imer", "ustar", "okal") for c in ("feld", "worth", "nau")]
+    rows = [f"Otto {x}" for x in last] + [f"Ida {x}" for x in last[:20]] + [f"Ottto {x}" for x in last[:6]] + [f"Ada {x}" for x in last[10:30]]
+    rows += [f"O. {last[0]}", f"I. {last[0]}", "Kit Bramund", "Christopher Bramund", "Patsy Stelgard", "Patricia Stelgard", "Wigolok Sxt.", "Wigolok Sextet"]
+    entity = {r.name: r.entity for r in link_names(spark.createDataFrame([(x,) for x in rows], "name string")).collect()}
+    assert all(entity[f"Ottto {x}"] == entity[f"Otto {x}"] for x in last[:6]) and entity[f"O. {last[0]}"] == entity[f"Otto {last[0]}"]
+    assert all(entity[f"Ada {x}"] != entity[f"Ida {x}"] for x in last[10:20])
+    assert len({entity[x] for x in rows[-6:]}) == 3
+    counts = [("otto", 400), ("ottto", 90), ("otot", 100), ("oto", 101), ("ada", 40), ("ida", 30), ("tim", 20), ("tom", 99), ("aad", 4), ("aada", 3), ("toot", 50)]
+    got = {r.w for r in slips(spark.createDataFrame(counts, "w string, as_given bigint")).collect()}
+    assert got == {a for a, n in counts if n >= 4 and a != "tim" and any(m >= 4 * n and osa(a, b, 1) == 1 for b, m in counts)} and got == {"ottto", "otot", "aad"}
+
+
 def test_linkage_over_sparse_pairs_is_average_linkage():
     rnd = random.Random(11)
     given = ["hugo", "henry", "lotte", "bob", "robert", "rupert", "ruprt", "karin", "l", "robret", "lote"]
